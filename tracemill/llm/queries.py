@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules, sharding, substring_dedup, suffix_dedup
+from . import bpe, classifier, exact_dedup, packing, quality_rules, sharding, substring_dedup, suffix_dedup, token_store
 from .common import shared_dir, table, text_or_empty
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file, in the place where each machine has the package installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in four batches of falling size, are sharded and compacted, and are read through the manifest."""
     docs = table(spark, sf_dir, "documents")
@@ -24,6 +31,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -36,12 +48,24 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read(token_store.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_substring_dedup, op4_quality_rules, op5_suffix_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_substring_dedup, op4_quality_rules, op5_suffix_dedup, op6_bpe, op8_packing, op9_token_store, op10_exact_dedup)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
