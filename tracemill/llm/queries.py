@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, exact_dedup, packing, quality_rules, sharding, substring_dedup, suffix_dedup, token_store
+from . import bpe, classifier, exact_dedup, jaccard_join, packing, quality_rules, sharding, substring_dedup, suffix_dedup, token_store
 from .common import shared_dir, table, text_or_empty
 
 
@@ -52,6 +52,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -65,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_substring_dedup, op4_quality_rules, op5_suffix_dedup, op6_bpe, op8_packing, op9_token_store, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_substring_dedup, op4_quality_rules, op5_suffix_dedup, op6_bpe, op7_jaccard_join, op8_packing, op9_token_store, op10_exact_dedup)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
