@@ -99,6 +99,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their failing lines, in the columns of the input (n_chars follows the text)."""
     names = docs.columns
-    judged = judge(docs, tuple(c for c in names if c != "text")).filter("kept")
+    # a filter on `kept` alone would be pushed through the projections and judge every text several times over
+    judged = judge(docs, tuple(c for c in names if c != "text")).withColumn("_row", F.monotonically_increasing_id()).filter("kept and _row >= 0")
     new = {"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}
     return judged.select(*(new[c].alias(c) if c in new else F.col(c) for c in names))
