@@ -25,6 +25,7 @@ TARGET_BYTES = 64 << 20
 #: A tier holds shards of sizes within this factor; it is merged once it has this many shards.
 TIER_FACTOR, FAN_IN = 4, 4
 SMALLEST_TIER = 1 << 18
+CODEC = "zstd"
 
 MANIFEST = "path string, n_rows bigint, n_bytes bigint, checksum bigint"
 
@@ -83,7 +84,7 @@ class ShardStore:
         known = self.versions()
         base = known[-1] if known else 0
         path = f"{self.root}/data/{uuid.uuid4().hex}"
-        docs.write.parquet(path)
+        docs.write.option("compression", CODEC).parquet(path)
         return self.commit(self.manifest().unionByName(self._stats(path)).coalesce(1), base)
 
     def plan(self, target_bytes: int = TARGET_BYTES) -> DataFrame:
@@ -107,7 +108,7 @@ class ShardStore:
         n = plan.select("target").distinct().count()
         rows = self.spark.read.parquet(*paths).withColumn("_from", F.col("_metadata.file_path"))
         merged = f"{self.root}/data/{uuid.uuid4().hex}"
-        rows.join(plan.withColumnRenamed("path", "_from").withColumnRenamed("target", "_target"), "_from").drop("_from").repartition(n, "_target").write.partitionBy("_target").parquet(merged)
+        rows.join(plan.withColumnRenamed("path", "_from").withColumnRenamed("target", "_target"), "_from").drop("_from").repartition(n, "_target").write.partitionBy("_target").option("compression", CODEC).parquet(merged)
         fresh = self._stats(merged)
         total = [F.sum("n_rows").alias("r"), F.sum("checksum").alias("c")]
         was, now = old.join(plan, "path", "left_semi").agg(*total).first(), fresh.agg(*total).first()
