@@ -43,16 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    spark._jvm.System.gc()  # the shuffle files of what has just been written go now, not when the driver's heap is full
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unique_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, text and _id: a unique long in the order of doc_id.
+def unique_ids(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, _id (a unique long in the order of doc_id) and the columns `keep`.
 
     Where doc_id is unique and never null it is itself the key. Else rows are numbered in the order of (doc_id, text),
     null ids last, and written, so that a recomputed task cannot number tied rows anew.
     """
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = docs.select("doc_id", text_or_empty().alias("text"), *keep)
     twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull())
     if twice.isEmpty():
         return rows.withColumn("_id", F.col("doc_id").cast("long"))

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .textnum import BYTE, Spans, anchored_runs, buffer_of, pieces, word_spans
 
 
@@ -64,20 +65,28 @@ def anchored(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.select("_id", "text").mapInArrow(emit, "_id long, i int, a long, s long")
 
 
-def repeated(runs: DataFrame, *more) -> DataFrame:
-    """The runs whose anchor occurs twice or more, with n (occurrences), branching (more than one content) and `more`.
+def repeated(docs: DataFrame, unit: Unit) -> DataFrame:
+    """_id, i, a of the runs whose anchor occurs twice or more, with what the runs of the same content have in common:
+    source (least _id), copies (of the content) and contents, n and
+    rarest (of the anchor: contents, runs, runs of its rarest content).
 
-    The aggregate combines in the map tasks, so a hot anchor sends one row per task; in the join back each anchor has one
-    row on the small side, and adaptive execution can split a hot one on the other.
+    The counts combine in the map tasks, so a hot anchor sends one row per task; in the joins back each key has one row
+    on the small side, and adaptive execution can split a hot one on the other. Written, as several steps need it.
     """
-    anchors = runs.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"), *more).filter("n > 1")
-    anchors = anchors.withColumn("branching", F.col("lo") != F.col("hi")).drop("lo", "hi")
-    return runs.join(anchors, "a")
+    runs = anchored(docs, unit)
+    anchors = runs.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    found = written(runs.join(anchors.hint("shuffle_hash"), "a"), "runs")
+    contents = found.groupBy("a", "s").agg(F.min("_id").alias("source"), F.count("*").alias("copies"))
+    anchors = contents.groupBy("a").agg(F.count("*").alias("contents"), F.sum("copies").alias("n"), F.min("copies").alias("rarest"))
+    return written(found.join(contents.join(anchors, "a"), ["a", "s"]), "paths")
 
 
-def per_text(docs: DataFrame, lists: DataFrame, names: list[str], how: str, work: Callable, schema: str) -> DataFrame:
-    """Join documents with lists of spans by _id, and call work(batch) for each Arrow batch (doc columns first)."""
-    joined = docs.select("_id", "doc_id", "text").join(lists, "_id", how).select("_id", "doc_id", "text", *names)
+def per_text(docs: DataFrame, lists: DataFrame, names: list[str], work: Callable, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Join all documents with lists of spans by _id, and call work(batch) for each Arrow batch (doc columns first).
+
+    Two such joins in one plan share the one shuffle of the texts, as both are left joins of the same columns.
+    """
+    joined = docs.select("_id", "doc_id", "text", *keep).join(lists, "_id", "left").select("_id", "doc_id", "text", *names, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

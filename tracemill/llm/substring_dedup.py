@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import unique_ids
-from .runs import Unit, anchored, cover, flat, parts, per_text, repeated
+from .runs import Unit, cover, flat, parts, per_text, repeated
 from .textnum import BASES, Spans
 
 WINDOW, GRAM = 20, 5
@@ -41,6 +41,8 @@ def _edges(docs: DataFrame, paths: DataFrame, unit: Unit) -> DataFrame:
             units, at, _, _ = unit.read(data, offsets)
             r = unit.runs(units, at)
             own = (row >= lo) & (row < hi)
+            if not own.any():
+                continue
             k = np.searchsorted(r["text"], row[own] - lo) + run[own]
             n = r["last"][k] - r["first"][k] + 1
             which = np.repeat(np.arange(len(k)), n)
@@ -52,25 +54,22 @@ def _edges(docs: DataFrame, paths: DataFrame, unit: Unit) -> DataFrame:
                 ["_id", "p", "a", "e"],
             )
 
-    return per_text(docs, lists, ["runs"], "inner", work, "_id long, p int, a long, e long")
+    return per_text(docs, lists, ["runs"], work, "_id long, p int, a long, e long")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, n_spans, and kept_text (null unless `texts`)."""
     unit = Unit(window, gram, True)
     d = unique_ids(docs)
-    found = repeated(anchored(d, unit), F.min("_id").alias("source"))
-    # paths without branches: all copies but those in the source document go
-    whole = found.filter("not branching and _id != source").select("_id", "i")
+    paths = repeated(d, unit)
+    # a path that an earlier document has goes as a whole, whatever number of edges it stands for
+    whole = paths.filter("_id != source").select("_id", "i")
     # where paths branch: one source document for each content, and the edges of the sources against each other
-    forks = found.filter("branching").select("_id", "i", "a", "s")
-    sources = forks.groupBy("a", "s").agg(F.min("_id").alias("source"))
-    placed = forks.join(sources, ["a", "s"])
-    edges = _edges(d, placed.filter("_id = source").select("_id", "i"), unit)
+    edges = _edges(d, paths.filter("_id = source and contents > 1").select("_id", "i"), unit)
     firsts = edges.groupBy("a", "e").agg(F.min("_id").alias("source"), F.max("_id").alias("other")).filter("source != other").drop("other")
     single = edges.join(firsts, ["a", "e"]).filter("_id != source")
     spans = (
-        whole.unionByName(placed.filter("_id != source").select("_id", "i")).select("_id", "i", F.lit(None).cast("int").alias("p"))
+        whole.select("_id", "i", F.lit(None).cast("int").alias("p"))
         .unionByName(single.select("_id", F.lit(None).cast("int").alias("i"), "p"))
         .groupBy("_id").agg(F.collect_list("i").alias("runs"), F.collect_list("p").alias("edges"))
     )
@@ -117,4 +116,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "n_spans", "kept_text"],
             )
 
-    return per_text(d, spans, ["runs", "edges"], "left", work, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, kept_text string")
+    return per_text(d, spans, ["runs", "edges"], work, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, kept_text string")

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import unique_ids
-from .runs import Unit, anchored, cover, flat, parts, per_text, repeated
+from .runs import Unit, cover, flat, parts, per_text, repeated
 from .textnum import BASES, BYTE, Spans
 
-WINDOW, GRAM = 200, 32
+WINDOW, GRAM = 200, 48
 #: Occurrences of an anchor for which it takes one more shard.
 SPLIT = 4096
-SHARDS_PER_PARTITION = 4
+SHARDS_PER_PARTITION = 16
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -44,26 +44,28 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j : j + n]
-    left = np.minimum(n - np.arange(n), 8).astype(np.uint8)  # a suffix that ends is less than one that goes on with zeros
-    order = np.lexsort((left, key))
+    order = np.argsort(key)
+    key = key[order]
     new = np.ones(n, bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (left[order][1:] != left[order][:-1])
+    new[1:] = key[1:] != key[:-1]
     slots = np.arange(n)
     group = np.maximum.accumulate(np.where(new, slots, 0))
-    rank = np.empty(n + 1, np.int64)
-    rank[order], rank[n] = group, -1
+    rank = np.empty(n, np.int64)
+    rank[order] = group
     h = 8
     while True:
         open_slots = np.flatnonzero(~new | np.append(~new[1:], False))
         if not len(open_slots):
             return order
         at, own = order[open_slots], group[open_slots]
-        then = rank[np.minimum(at + h, n)]
-        again = np.lexsort((then, own))
-        at, own, then = at[again], own[again], then[again]
+        # where a suffix has ended it is less than all that go on, and the shorter the less
+        then = np.where(at + h < n, rank[np.minimum(at + h, n - 1)], n - 1 - at - h)
+        both = own * (2 * n + h) + then
+        again = np.argsort(both)
+        at, both = at[again], both[again]
         order[open_slots] = at
         first = np.ones(len(at), bool)
-        first[1:] = (own[1:] != own[:-1]) | (then[1:] != then[:-1])
+        first[1:] = both[1:] != both[:-1]
         new[open_slots] = first
         group = np.maximum.accumulate(np.where(new, slots, 0))
         rank[at] = group[open_slots]
@@ -142,7 +144,7 @@ def _contents(docs: DataFrame, runs: DataFrame, unit: Unit) -> DataFrame:
                 ["_id", "i", "shard", "spread", "single", "content"],
             )
 
-    return per_text(docs, lists, ["runs"], "inner", work, "_id long, i int, shard long, spread boolean, single boolean, content binary")
+    return per_text(docs, lists, ["runs"], work, "_id long, i int, shard long, spread boolean, single boolean, content binary")
 
 
 def _in_shards(contents: DataFrame, window: int, merges: int) -> DataFrame:
@@ -157,53 +159,43 @@ def _in_shards(contents: DataFrame, window: int, merges: int) -> DataFrame:
                 units = BYTE[np.frombuffer(content, np.uint8)]
                 one, two = (Spans(units, b)(p, p + window).view(np.int64) for b in BASES)
                 open_ = ~hit if single else np.zeros(len(hit), bool)
-                out += [(int((x & 0x7FFFFFFFFFFFFFFF) % merges), int(x), int(y), _id, i, int(q), int(q) + 1, bool(o)) for q, x, y, o in zip(p, one, two, open_, strict=True)]
+                out += [(int((x & 0x7FFFFFFFFFFFFFFF) % merges), True, int(x), int(y), _id, i, int(q), int(q) + 1, bool(o)) for q, x, y, o in zip(p, one, two, open_, strict=True)]
             if single:
                 lo, hi = _stretches(hit)
-                out += [((hash((_id, i)) & 0x7FFFFFFF) % merges, None, None, _id, i, int(x), int(y), False) for x, y in zip(lo, hi, strict=True)]
-        d = pd.DataFrame(out, columns=["bucket", "one", "two", "_id", "i", "lo", "hi", "open"])
-        d["one"], d["two"] = d["one"].astype("Int64"), d["two"].astype("Int64")
-        if not len(d):
-            return d
-        keyed = d["one"].notna()
+                out += [((hash((_id, i)) & 0x7FFFFFFF) % merges, False, 0, 0, _id, i, int(x), int(y), False) for x, y in zip(lo, hi, strict=True)]
+        d = pd.DataFrame(out, columns=["bucket", "keyed", "one", "two", "_id", "i", "lo", "hi", "open"]).astype({"keyed": bool})
         # a shard sends each window once: as evidence, or as the one that asks
-        d = pd.concat([d[~keyed], d[keyed].sort_values("open", ascending=False).drop_duplicates(["one", "two"])])
-        return d
+        windows = d[d["keyed"]].sort_values("open", ascending=False).drop_duplicates(["one", "two"])
+        return pd.concat([d[~d["keyed"]], windows]) if len(windows) else d
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        done, keyed = pdf[pdf["one"].isna()], pdf[pdf["one"].notna()]
+        done, keyed = pdf[~pdf["keyed"]], pdf[pdf["keyed"]].sort_values(["one", "two"])
         if len(keyed):
-            pairs = np.rec.fromarrays([keyed["one"].to_numpy(np.int64), keyed["two"].to_numpy(np.int64)], names="one,two")
-            line = np.sort(pairs, order=["one", "two"])
-            packed, ask = line["one"], pairs["one"]
-            lo, hi = np.searchsorted(packed, ask, "left"), np.searchsorted(packed, ask, "right")
-            two, want = line["two"], pairs["two"]
-            count = np.array([np.searchsorted(two[a:b], w, "right") - np.searchsorted(two[a:b], w, "left") for a, b, w in zip(lo, hi, want, strict=True)])
+            one, two = keyed["one"].to_numpy(), keyed["two"].to_numpy()
+            lo, hi = np.searchsorted(one, one, "left"), np.searchsorted(one, one, "right")
+            count = np.array([np.searchsorted(two[a:b], w, "right") - np.searchsorted(two[a:b], w, "left") for a, b, w in zip(lo, hi, two, strict=True)])
             keyed = keyed[(count > 1) & keyed["open"].to_numpy(bool)]
         return pd.concat([done, keyed])[["_id", "i", "lo", "hi"]]
 
-    sharded = contents.groupBy("shard").applyInPandas(shard, "bucket int, one long, two long, _id long, i int, lo int, hi int, open boolean")
+    sharded = contents.groupBy("shard").applyInPandas(shard, "bucket int, keyed boolean, one long, two long, _id long, i int, lo int, hi int, open boolean")
     return sharded.groupBy("bucket").applyInPandas(merge, "_id long, i int, lo int, hi int")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True, split: int = SPLIT) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept_text (null unless `texts`)."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True, split: int = SPLIT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (null unless `texts`), and the columns `keep`."""
     unit = Unit(window, gram, False)
-    d = unique_ids(docs)
+    d = unique_ids(docs, keep)
     shards = SHARDS_PER_PARTITION * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = repeated(anchored(d, unit))
-    whole = found.filter("not branching").select("_id", "i")
-    forks = found.filter("branching").select("_id", "i", "a", "s", "n")
-    copies = forks.groupBy("a", "s").agg(F.count("*").alias("copies"), F.min("_id").alias("source"))
-    placed = forks.join(copies, ["a", "s"])
+    runs = repeated(d, unit)
+    whole = runs.filter("copies > 1").select("_id", "i")
     spread = F.floor(F.col("n") / split).cast("int")
-    sources = placed.filter("_id = source").select(
+    sources = runs.filter("_id = source and contents > 1 and rarest = 1").select(
         "_id", "i", F.pmod(F.xxhash64("a", F.when(spread > 0, F.pmod(F.col("s"), spread + 1)).otherwise(0)), F.lit(shards)).alias("shard"), (spread > 0).alias("spread"), (F.col("copies") == 1).alias("single")
     )
     partial = _in_shards(_contents(d, sources, unit), window, shards)
     none = F.lit(None).cast("int")
     spans = (
-        whole.unionByName(placed.filter("copies > 1").select("_id", "i")).select("_id", "i", none.alias("lo"), none.alias("hi"))
+        whole.select("_id", "i", none.alias("lo"), none.alias("hi"))
         .unionByName(partial).groupBy("_id").agg(F.collect_list(F.struct("i", "lo", "hi")).alias("runs"))
     )
 
@@ -232,8 +224,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
                 n_spans.append(int((g[1:] & ~g[:-1]).sum() + g[0]) if b > a else 0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).slice(lo, hi - lo), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()),
-                 pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode("utf-8", "ignore") if texts else None for x in kept], pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                 pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode("utf-8", "ignore") if texts else None for x in kept], pa.string()), *(batch.column(4 + c).slice(lo, hi - lo) for c in range(len(keep)))],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *keep],
             )
 
-    return per_text(d, spans, ["runs"], "left", work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    more = "".join(f", `{n}` {t}" for n, t in d.select(*keep).dtypes) if keep else ""
+    return per_text(d, spans, ["runs"], work, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string{more}", keep)
