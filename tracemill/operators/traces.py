@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 EPS = 1e-12
 #: Width at half height of a Gaussian over its sigma; fixed value.
 FWHM_PER_SIGMA = 2.35482
-ORDER = Window.partitionBy("trace").orderBy("i")
+
+
+def by_place():
+    """The window of a trace in order; made when it is needed, as that takes a session."""
+    return Window.partitionBy("trace").orderBy("i")
 
 
 def fisher(r: Column) -> Column:
@@ -19,7 +23,7 @@ def fisher(r: Column) -> Column:
 def smoothed(points: DataFrame) -> DataFrame:
     """Adds m, the moving average of three with zeros beyond the ends."""
     z = F.lit(0.0)
-    return points.withColumn("m", (F.coalesce(F.lag("y").over(ORDER), z) + F.col("y") + F.coalesce(F.lead("y").over(ORDER), z)) / 3)
+    return points.withColumn("m", (F.coalesce(F.lag("y").over(by_place()), z) + F.col("y") + F.coalesce(F.lead("y").over(by_place()), z)) / 3)
 
 
 def _zigzag(total: Column, n: Column, most: Column, least: Column) -> Column:
@@ -28,7 +32,7 @@ def _zigzag(total: Column, n: Column, most: Column, least: Column) -> Column:
 
 def shape(points: DataFrame) -> DataFrame:
     """n, SNR, CV, TPAS, ZZ, DZZ, PCC, SKEW, DENT, DM, JAG of each trace, from one window pass and one aggregate."""
-    lag, lead = (lambda c, k=1: F.lag(c, k).over(ORDER)), (lambda c: F.lead(c).over(ORDER))
+    lag, lead = (lambda c, k=1: F.lag(c, k).over(by_place())), (lambda c: F.lead(c).over(by_place()))
     d = smoothed(points).select("trace", "y", "m", lag("y").alias("p"), lag("y", 2).alias("pp"), lead("y").alias("q"), lag("m").alias("mp"), lead("m").alias("mq"))
     step = F.col("y") - F.col("p")
     s = d.groupBy("trace").agg(
@@ -70,7 +74,7 @@ def edges(points: DataFrame) -> DataFrame:
 
 def widths(points: DataFrame, fraction: float = 0.5) -> DataFrame:
     """left, right (interpolated crossings of the fraction of the apex), strict and with the ends of the trace allowed."""
-    d = points.withColumns({"next": F.lead("y").over(ORDER), "prev": F.lag("y").over(ORDER)}).join(apexes(points), "trace").withColumn("level", fraction * F.col("top"))
+    d = points.withColumns({"next": F.lead("y").over(by_place()), "prev": F.lag("y").over(by_place())}).join(apexes(points), "trace").withColumn("level", fraction * F.col("top"))
     low = F.col("y") < F.col("level")
     at = F.struct("i", "y", "next", "prev")
     s = d.groupBy("trace", "n", "apex", "top", "level").agg(
@@ -113,14 +117,14 @@ def robust_baseline(points: DataFrame) -> DataFrame:
 
 def local_maxima(points: DataFrame, height: float) -> DataFrame:
     """Number of points above a height that are greater than the one before and not less than the one after."""
-    d = points.withColumns({"p": F.lag("y").over(ORDER), "q": F.lead("y").over(ORDER)})
+    d = points.withColumns({"p": F.lag("y").over(by_place()), "q": F.lead("y").over(by_place())})
     return d.groupBy("trace").agg(F.count_if((F.col("y") > height) & (F.col("y") > F.col("p")) & (F.col("y") >= F.col("q"))).alias("n_maxima"))
 
 
 def triangular(points: DataFrame, half: int = 2) -> DataFrame:
     """y smoothed with weights 1, 2 ... half + 1 ... 2, 1 and zeros beyond the ends."""
     weight = [half + 1 - abs(k) for k in range(-half, half + 1)]
-    total = sum((w * F.coalesce(F.lag("y", -k).over(ORDER), F.lit(0.0)) for w, k in zip(weight, range(-half, half + 1), strict=True)), F.lit(0.0))
+    total = sum((w * F.coalesce(F.lag("y", -k).over(by_place()), F.lit(0.0)) for w, k in zip(weight, range(-half, half + 1), strict=True)), F.lit(0.0))
     return points.select("trace", "i", (total / sum(weight)).alias("y"))
 
 
@@ -136,7 +140,7 @@ def trimmed_baseline(points: DataFrame, share: float = 0.05) -> DataFrame:
 
 def derivatives(points: DataFrame, x: str = "i") -> DataFrame:
     """First derivative on an uneven grid: second order inside, one-sided at the ends."""
-    d = points.withColumns({f"{s}{c}": (F.lag if s == "p" else F.lead)(c).over(ORDER) for s in "pq" for c in (x, "y")})
+    d = points.withColumns({f"{s}{c}": (F.lag if s == "p" else F.lead)(c).over(by_place()) for s in "pq" for c in (x, "y")})
     h, k = F.col(x) - F.col(f"p{x}"), F.col(f"q{x}") - F.col(x)
     inner = (h * h * F.col("qy") + (k * k - h * h) * F.col("y") - k * k * F.col("py")) / (h * k * (h + k))
     return d.select("trace", "i", F.when(h.isNull(), (F.col("qy") - F.col("y")) / k).when(k.isNull(), (F.col("y") - F.col("py")) / h).otherwise(inner).alias("dy"))
