@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .pieces import BYTE_PATTERN, Memory, byte_alphabet, cut, piece_text, stands_alone
+from .pieces import BYTE_PATTERN, Memory, byte_alphabet, cut, piece_text, simple_parts, stands_alone
 
 BLOCK = 4096
 
@@ -162,7 +162,7 @@ class Transducer:
         self.merges = Merges(path)
         self.pattern = regex.compile(BYTE_PATTERN)
         self.added = regex.compile("|".join(map(regex.escape, sorted(self.merges.added, key=len, reverse=True))) or r"(?!)")
-        self.parts, self.memory = Memory(self._part, 150_000), Memory(self._piece, 150_000)
+        self.parts, self.memory = Memory(self._part, 250_000), Memory(self._piece, 250_000)
 
     def _part(self, part: str) -> tuple[str, bytes]:
         data = part.encode()
@@ -182,6 +182,9 @@ class Transducer:
         return out[0] if len(out) == 1 else (",".join([x[0] for x in out]), b"".join([x[1] for x in out]))
 
     def _piece(self, piece: str) -> tuple[str, bytes] | None:
+        if simple := simple_parts(piece):
+            found = [self.parts[p] for p in simple]
+            return found[0] if len(found) == 1 else (",".join([x[0] for x in found]), b"".join([x[1] for x in found]))
         return self._whole(piece_text(piece)) if stands_alone(piece) else None
 
     def encode(self, text: str) -> tuple[str, array]:

@@ -15,6 +15,8 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts of these characters only need no normalisation but lower case, and all pattern engines agree on them.
 PLAIN = re.compile(r"[ \nA-Za-z0-9À-ÖØ-öø-ÿ.,;:!?'\"()#*$%&|/+=@~_{}\[\]-]*\Z")
+#: Most pieces: a word of such letters with marks behind it. Both patterns cut it into the word and the marks.
+SIMPLE = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)\Z")
 
 
 def byte_alphabet() -> list[str]:
@@ -36,7 +38,7 @@ def spelled(text: str) -> str:
 class Memory(dict):
     """Values of recent keys: two generations of at most `size` keys each, so the space is bounded and frequent keys stay."""
 
-    def __init__(self, make: Callable[[str], object], size: int = 200_000):
+    def __init__(self, make: Callable[[str], object], size: int = 400_000):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
@@ -64,6 +66,18 @@ def stands_alone(piece: str) -> bool:
     return bool(piece) and not piece[-1].isspace() and piece != "\0" and ord(piece[-1]) >= 32
 
 
+def simple_parts(piece: str) -> list[str] | None:
+    """The pre-tokens of a simple piece for byte-level tokenizers."""
+    m = SIMPLE.match(piece)
+    if m is None:
+        return None
+    line, word, marks = m.groups()
+    parts = ["\n", word] if line else [" " + word]
+    if marks:
+        parts.append(marks)
+    return parts
+
+
 class LibraryTokens:
     """Token ids of the tokenizers library as little-endian bytes, remembered by piece.
 
@@ -80,7 +94,7 @@ class LibraryTokens:
         self.tok.no_padding()
         self.model, self.by_word = self.tok.model, by_word
         self.pattern = regex.compile(WORD_PATTERN if by_word else BYTE_PATTERN)
-        self.parts, self.memory = Memory(self._part, 100_000), Memory(self._piece)
+        self.parts, self.memory = Memory(self._part, 300_000), Memory(self._piece)
 
     def _part(self, part: str) -> bytes:
         return array("H", [t.id for t in self.model.tokenize(spelled(part))]).tobytes()
@@ -89,8 +103,14 @@ class LibraryTokens:
         return array("H", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes | None:
+        parts = self.parts
         if self.by_word:
+            if m := SIMPLE.match(piece):
+                _, word, marks = m.groups()
+                return parts[word.lower()] + parts[marks] if marks else parts[word.lower()]
             text = piece.lower() if PLAIN.match(piece) else None
+        elif simple := simple_parts(piece):
+            return b"".join([parts[p] for p in simple])
         elif not stands_alone(piece):
             return None
         else:
@@ -98,8 +118,7 @@ class LibraryTokens:
             text = piece if PLAIN.match(piece) else None
         if text is None:
             return self.whole(piece)
-        parts, found = self.parts, self.pattern.findall(text)
-        return parts[found[0]] if len(found) == 1 else b"".join([parts[p] for p in found])
+        return b"".join([parts[p] for p in self.pattern.findall(text)])
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 16-bit integers of this machine's (little-endian) order; the vocabularies fit."""
