@@ -98,7 +98,9 @@ def _merger(length: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.
                 n += 1
         for window in packer.windows:
             rows += _rows(window, first + n if last else None, None if last else group)
-        return pd.DataFrame(rows, columns=NAMES).astype({c: "Int64" for c in NAMES if c != "ids"})
+        columns = list(zip(*rows, strict=True)) or [()] * len(NAMES)
+        # whole numbers throughout: a float between would lose the low digits of sequence ids
+        return pd.DataFrame({c: list(v) if c == "ids" else pd.array(list(v), dtype="Int64") for c, v in zip(NAMES, columns, strict=True)})
 
     return again
 
