@@ -12,8 +12,9 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
    representatives enter the posting lists. Pairs are filtered by size, by class of links known so far, and by parity
    sketches (a lower bound of the difference), before sets are compared.
 4. Lists are worked off in rounds: first each group against one head of each of its lists, which ties large groups of
-   near copies together with as many pairs as rows; then, with groups expanded to members, all pairs of a list that are
-   still in different components. No link between documents of different components is left unchecked.
+   near copies together with as many pairs as rows; then, with groups expanded to members, lists that still hold
+   different components go to the shelf of their head, where sketches of all pairs of different components are compared
+   block by block as arrays, and only pairs that may link are made. No link between components is left unchecked.
 
 Hot keys: counts combine in the map tasks, joins back have one row for a key on the small side.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +38,8 @@ from .runs import parts
 from .textnum import BYTE, U, Spans, mix, word_spans
 
 PERCENT, SHINGLE = 90, 3
-#: Bits of a parity sketch; rounds against heads.
-SKETCH, HEADS = 512, 3
+#: Bits of a parity sketch; rounds against heads; documents in a block of a shelf.
+SKETCH, HEADS, BLOCK = 512, 2, 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -151,6 +153,52 @@ def _linked(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
     return near.select("a", "b", "set_a", "set_b").mapInArrow(same, "a long, b long")
 
 
+def _across(shelves: DataFrame, rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of different components on one shelf (head, _id) that sizes and parity sketches leave.
+
+    A shelf is dealt into blocks; each pair of blocks is compared as arrays in one place, so the rows that move are the
+    blocks, and only the pairs that may link are made. Shelves and blocks stream through a task in order.
+    """
+    counts = shelves.groupBy("head").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    d = shelves.join(counts, "head").withColumn("own", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(rows, "_id")
+    d = d.select("head", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "_id", "n", "component", "sketch")
+    key = ["head", "lo", "hi"]
+
+    def compare(parts_: list[pd.DataFrame]) -> pd.DataFrame:
+        g = pd.concat(parts_) if len(parts_) > 1 else parts_[0]
+        ids, n, of, own = (g[c].to_numpy() for c in ("_id", "n", "component", "own"))
+        sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), SKETCH // 64)
+        same, out = g["lo"].iloc[0] == g["hi"].iloc[0], []
+        for at in range(0, len(g), 128):
+            s = slice(at, at + 128)
+            total = n[s, None].astype(np.int64) + n[None, :]
+            ok = (of[s, None] != of[None, :]) & (ids[s, None] < ids[None, :]) & (100 * np.minimum(n[s, None], n[None, :]) >= percent * np.maximum(n[s, None], n[None, :]))
+            if not same:
+                ok &= own[s, None] != own[None, :]
+            i, j = np.nonzero(ok)
+            differ = np.bitwise_count(sketch[at + i] ^ sketch[j]).sum(1, dtype=np.int64)
+            left = (100 + percent) * (total[i, j] - differ) >= 2 * percent * total[i, j]
+            out.append(np.stack((ids[at + i[left]], ids[j[left]]), 1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            k = pdf[key].to_numpy()
+            cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+                part = pdf.iloc[lo:hi]
+                if held and tuple(held[0][key].iloc[0]) != tuple(k[lo]):
+                    yield compare(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield compare(held)
+
+    return d.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a long, b long")
+
+
 def _labelled(ids: DataFrame, components: DataFrame | None) -> DataFrame:
     """Adds component; what has no link yet is its own."""
     if components is None:
@@ -203,13 +251,9 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     full = lists.join(everyone, "g").select("token", "_id", "component", "n").unionByName(
         everyone.join(grouped.filter("_id != g").select("g").distinct(), "g", "left_semi").select(F.col("g").alias("token"), "_id", "component", "n")
     )
-    mixed = full.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
-    full = written(full.join(mixed, "token", "left_semi"), "mixed")
-    a, b = (full.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("_id", "component", "n"))) for side in ("a", "b"))
-    pairs = a.join(b, "token").filter(
-        (F.col("_id_a") < F.col("_id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    )
-    pairs = pairs.select(F.col("_id_a").alias("a"), F.col("_id_b").alias("b")).distinct()
+    mixed = full.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("_id", F.lit(HEADS)).alias("h"), "_id")).alias("x")).filter("lo != hi")
+    shelves = full.join(mixed.select("token", F.col("x._id").alias("head")), "token").select("head", "_id").distinct()
+    pairs = _across(written(shelves, "shelves"), _labelled(members.select("_id", "n", "sketch"), tied), percent).distinct()
     tied = connected(written(links.unionByName(_linked(pairs, members, sets, percent)), "linked"))
 
     ids = d.select("_id", "doc_id")
