@@ -3,6 +3,7 @@ from conftest import SMALL
 from oracle import connect, same_rows
 
 from tracemill.plans import more  # noqa: F401
+from tracemill.plans import peaks as _peaks  # noqa: F401
 from tracemill.plans import queries as plans
 
 
