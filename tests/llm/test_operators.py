@@ -141,7 +141,9 @@ def test_jaccard_join(docs, rows, none):
     assert jaccard_join.components(none).count() == 0
 
 
-def test_jaccard_join_chains_and_borders(spark):
+@pytest.mark.parametrize("block", [2048, 3])
+def test_jaccard_join_chains_and_borders(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join._across, "__defaults__", (block,))
     rnd = random.Random(4)
     base, rows = [f"t{i}" for i in range(90)], []
     for k in range(60):  # a slow drift: neighbours link, ends do not
