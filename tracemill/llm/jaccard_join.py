@@ -11,8 +11,8 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
 3. Equal sets are one class from the start. Classes of identical prefix and size are one group; only group
    representatives enter the posting lists. Pairs are filtered by size, by class of links known so far, and by parity
    sketches (a lower bound of the difference), before sets are compared.
-4. Lists are worked off in rounds: first each group against one head of each of its lists, which ties large groups of
-   near copies together with as many pairs as rows; then, with groups expanded to members, lists that still hold
+4. First each group is held against the head of each of its lists, the one with the most common extract, which ties large
+   groups of near copies together with as many pairs as rows; then, with groups expanded to members, lists that still hold
    different components go to the shelf of their head, where sketches of all pairs of different components are compared
    block by block as arrays, and only pairs that may link are made. No link between components is left unchecked.
 
@@ -38,8 +38,8 @@ from .runs import parts
 from .textnum import BYTE, U, Spans, mix, word_spans
 
 PERCENT, SHINGLE = 90, 3
-#: Bits of a parity sketch; rounds against heads; documents in a block of a shelf.
-SKETCH, HEADS, BLOCK = 512, 2, 2048
+#: Bits of a parity sketch; documents in a block of a shelf.
+SKETCH, BLOCK = 512, 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -222,7 +222,8 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = F.size("extract") - F.size("shared")
     members = (
         known.join(prefix, "_id").withColumn("left", F.col("reach") - own).filter("left > 0")
-        .select("_id", "n", "sketch", F.transform(F.slice("shared", 1, F.col("left")), lambda x: x["token"]).alias("tokens"), (own == 0).alias("alike"))
+        .select("_id", "n", "sketch", F.transform(F.slice("shared", 1, F.col("left")), lambda x: x["token"]).alias("tokens"), (own == 0).alias("alike"),
+                F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("weight"))
     )
     members = written(members, "members")
     # groups of identical prefixes and sizes
@@ -230,29 +231,24 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     grouped = written(
         members.join(group.select("n", "tokens", "g"), ["n", "tokens"], "left").select("_id", F.coalesce("g", "_id").alias("g")), "groups"
     )
-    lists = written(members.join(grouped.filter("_id = g").select("_id"), "_id", "left_semi").select(F.col("_id").alias("g"), F.explode("tokens").alias("token")), "lists")
+    lists = written(members.join(grouped.filter("_id = g").select("_id"), "_id", "left_semi").select(F.col("_id").alias("g"), "weight", F.explode("tokens").alias("token")), "lists")
     sets = written(_sets(d, members.select("_id")), "sets")
 
-    links, tied = grouped.filter("_id != g").select(F.col("g").alias("a"), F.col("_id").alias("b")), None
-    links = written(_linked(links, members, sets, percent), "linked")
-    for turn in range(HEADS):
-        # every group against one head of each of its lists
-        tied = connected(links)
-        labelled = _labelled(lists.withColumnRenamed("g", "_id"), tied)
-        heads = labelled.groupBy("token").agg(
-            F.min(F.struct(F.xxhash64("_id", F.lit(turn)).alias("h"), F.col("_id").alias("head"), F.col("component").alias("of"))).alias("x"), F.min("component").alias("lo"), F.max("component").alias("hi")
-        ).filter("lo != hi")
-        pairs = labelled.join(heads.select("token", "x.head", "x.of"), "token").filter("component != of")
-        pairs = pairs.select(F.least("_id", "head").alias("a"), F.greatest("_id", "head").alias("b")).distinct()
-        links = written(links.unionByName(_linked(pairs, members, sets, percent)), "linked")
-    # all pairs of a list that are still in different components, groups expanded to their members
+    # members against their group, and every group against the head of each of its lists: the one whose extract is the
+    # most common, so the text that near copies have been made from
+    head = F.max(F.struct("weight", (-F.col("_id")).alias("first"), F.col("_id").alias("head"))).alias("x")
+    tops = lists.withColumnRenamed("g", "_id").groupBy("token").agg(head, F.count("*").alias("m")).filter("m > 1").select("token", "x.head")
+    stars = lists.join(tops, "token").filter("g != head").select(F.least("g", "head").alias("a"), F.greatest("g", "head").alias("b"))
+    pairs = grouped.filter("_id != g").select(F.col("g").alias("a"), F.col("_id").alias("b")).unionByName(stars).distinct()
+    links = written(_linked(pairs, members, sets, percent), "linked")
+    # what is left: lists that hold different components, groups expanded to their members
     tied = connected(links)
-    everyone = _labelled(grouped, tied).join(members.select("_id", "n"), "_id")
-    full = lists.join(everyone, "g").select("token", "_id", "component", "n").unionByName(
-        everyone.join(grouped.filter("_id != g").select("g").distinct(), "g", "left_semi").select(F.col("g").alias("token"), "_id", "component", "n")
+    everyone = _labelled(grouped, tied).join(members.select("_id", "weight"), "_id")
+    full = lists.drop("weight").join(everyone, "g").select("token", "_id", "component", "weight").unionByName(
+        everyone.join(grouped.filter("_id != g").select("g").distinct(), "g", "left_semi").select(F.col("g").alias("token"), "_id", "component", "weight")
     )
-    mixed = full.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("_id", F.lit(HEADS)).alias("h"), "_id")).alias("x")).filter("lo != hi")
-    shelves = full.join(mixed.select("token", F.col("x._id").alias("head")), "token").select("head", "_id").distinct()
+    mixed = full.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), head).filter("lo != hi")
+    shelves = full.join(mixed.select("token", "x.head"), "token").select("head", "_id").distinct()
     pairs = _across(written(shelves, "shelves"), _labelled(members.select("_id", "n", "sketch"), tied), percent).distinct()
     tied = connected(written(links.unionByName(_linked(pairs, members, sets, percent)), "linked"))
 
