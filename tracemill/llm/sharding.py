@@ -108,7 +108,7 @@ class ShardStore:
         n = plan.select("target").distinct().count()
         rows = self.spark.read.parquet(*paths).withColumn("_from", F.col("_metadata.file_path"))
         merged = f"{self.root}/data/{uuid.uuid4().hex}"
-        rows.join(plan.withColumnRenamed("path", "_from").withColumnRenamed("target", "_target"), "_from").drop("_from").repartition(n, "_target").write.partitionBy("_target").option("compression", CODEC).parquet(merged)
+        rows.join(plan.withColumnRenamed("path", "_from").withColumnRenamed("target", "_target"), "_from").drop("_from").repartitionByRange(n, "_target").write.partitionBy("_target").option("compression", CODEC).parquet(merged)
         fresh = self._stats(merged)
         total = [F.sum("n_rows").alias("r"), F.sum("checksum").alias("c")]
         was, now = old.join(plan, "path", "left_semi").agg(*total).first(), fresh.agg(*total).first()
