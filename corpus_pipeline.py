@@ -4,7 +4,8 @@ Each stage reads what the stage before wrote. The last returns packed pieces, al
 
 1. quality rules: documents that fail go; failing lines of the others are removed.
 2. exact dedup: of equal texts the one with the smallest doc_id stays.
-3. near duplicates: of documents that n-gram Jaccard links join, the one with the smallest doc_id stays.
+3. near duplicates: of documents that links of Jaccard similarity 0.8 or more on five-word shingles join, the one with
+   the smallest doc_id stays.
 4. repeated substrings: bytes of strings that stand in several places are removed (a character cut by that goes whole);
    documents of which nothing is left go.
 5. packing: token ids in sequences of 4096.
@@ -20,6 +21,10 @@ from tracemill.llm.common import shared_dir, table, written
 from tracemill.llm.queries import tokenizer
 
 
+#: Words of a shingle and least similarity in percent of the near-duplicate stage.
+SHINGLE, PERCENT = 5, 80
+
+
 def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """The dropped ids are written first: Spark sees their size, and moves the texts only if they are many."""
     return docs.join(written(gone.select("doc_id"), name), "doc_id", "left_anti").select(*docs.columns)
@@ -34,7 +39,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, jaccard_join.components(docs).filter("doc_id != component_id"), "near-copies")
+    return _without(docs, jaccard_join.components(docs, PERCENT, SHINGLE).filter("doc_id != component_id"), "near-copies")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """N-gram Jaccard join: a grouped prefix join over distinct word shingles.
 
-Two documents link when the Jaccard similarity of their shingle sets is at least PERCENT. The join is exact:
+Two documents link when the Jaccard similarity of their sets of `size`-word shingles is at least `percent`. The join is exact:
 
 1. A document's extract is its q shingles of least hash, q a little over the prefix length p = n - ceil(t n) + 1. If two
    documents link, the extract with the lower greatest hash shares all but p - 1 of its shingles with the other one's.
@@ -18,7 +18,7 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
 
 Hot keys: counts combine in the map tasks, joins back have one row for a key on the small side.
 
-Edge cases: null and empty texts have no shingles and link with nothing; texts of one or two words have one shingle;
+Edge cases: null and empty texts have no shingles and link with nothing; texts of fewer words than a shingle have one;
 repeated rows link through their equal sets; null ids come last; further columns are ignored.
 """
 
@@ -37,6 +37,7 @@ from .components import connected
 from .runs import parts
 from .textnum import BYTE, U, Spans, mix, word_spans
 
+#: Least similarity in percent and words of a shingle of the registered query; callers can ask for others.
 PERCENT, SHINGLE = 90, 3
 #: Bits of a parity sketch; documents in a block of a shelf.
 SKETCH, BLOCK = 512, 2048
@@ -77,14 +78,14 @@ def _extract(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, p + p // 4 + 8)
 
 
-def summaries(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def summaries(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """_id, n, two keys of the whole set, parity sketch, extract, reach (prefix length within the extract)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for lo, hi, data, offsets in parts(batch.column(1)):
-                h, at = shingles(data, offsets)
+                h, at = shingles(data, offsets, size)
                 n, text = np.diff(at), np.repeat(np.arange(hi - lo), np.diff(at))
                 sums = [np.concatenate(([U(0)], np.cumsum(mix(h ^ U(salt))))) for salt in (0x5EED, 0xFACE)]
                 parity = (np.bincount(text * SKETCH + (h % U(SKETCH)).astype(np.int64), minlength=(hi - lo) * SKETCH) & 1).astype(np.uint8)
@@ -108,14 +109,14 @@ def summaries(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return docs.select("_id", "text").mapInArrow(run, "_id long, n int, k1 long, k2 long, sketch binary, extract array<long>, reach int")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
     """_id and the whole shingle set, as bytes, of the wanted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = []
             for _, _, data, offsets in parts(batch.column(1)):
-                h, at = shingles(data, offsets)
+                h, at = shingles(data, offsets, size)
                 sets += [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["_id", "shingles"])
 
@@ -206,10 +207,10 @@ def _labelled(ids: DataFrame, components: DataFrame | None) -> DataFrame:
     return ids.join(components, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
 
 
-def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id that links reach)."""
     d = unique_ids(docs)
-    known = written(summaries(d, percent), "summaries")
+    known = written(summaries(d, percent, size), "summaries")
     keys = ["n", "k1", "k2"]
     classes = written(known.filter("n > 0").groupBy(*keys).agg(F.min("_id").alias("rep")), "classes")
     reps = known.join(classes.select(F.col("rep").alias("_id")), "_id", "left_semi")
@@ -232,7 +233,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         members.join(group.select("n", "tokens", "g"), ["n", "tokens"], "left").select("_id", F.coalesce("g", "_id").alias("g")), "groups"
     )
     lists = written(members.join(grouped.filter("_id = g").select("_id"), "_id", "left_semi").select(F.col("_id").alias("g"), "weight", F.explode("tokens").alias("token")), "lists")
-    sets = written(_sets(d, members.select("_id")), "sets")
+    sets = written(_sets(d, members.select("_id"), size), "sets")
 
     # members against their group, and every group against the head of each of its lists: the one whose extract is the
     # most common, so the text that near copies have been made from
