@@ -3,12 +3,15 @@
 Each stage reads what the stage before wrote. The last returns packed pieces, all others the columns of documents:
 
 1. quality rules: documents that fail go; failing lines of the others are removed.
-2. exact dedup: of equal texts the one with the smallest doc_id stays.
+2. exact dedup: of equal texts one row stays, the one with the smallest doc_id.
 3. near duplicates: of documents that links of Jaccard similarity 0.8 or more on five-word shingles join, the one with
-   the smallest doc_id stays.
+   the smallest doc_id stays, as one row.
 4. repeated substrings: bytes of strings that stand in several places are removed (a character cut by that goes whole);
    documents of which nothing is left go.
 5. packing: token ids in sequences of 4096.
+
+Stages 2 and 3 tell rows apart by a key of their own, not by doc_id: rows with null or repeated ids are rows like all
+others, null ids come last, and a null text comes out empty.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import exact_dedup, jaccard_join, packing, quality_rules, suffix_dedup
-from tracemill.llm.common import shared_dir, table, written
+from tracemill.llm.common import shared_dir, table, unique_ids, written
 from tracemill.llm.queries import tokenizer
 
 
@@ -25,9 +28,19 @@ from tracemill.llm.queries import tokenizer
 SHINGLE, PERCENT = 5, 80
 
 
-def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """The dropped ids are written first: Spark sees their size, and moves the texts only if they are many."""
-    return docs.join(written(gone.select("doc_id"), name), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a unique key _id in the order of doc_id and text."""
+    return unique_ids(docs, tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    """What an operator reads to name rows by their key."""
+    return keyed.select(F.col("_id").alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, gone: DataFrame, names: list[str], name: str) -> DataFrame:
+    """The dropped keys are written first: Spark sees their size, and moves the texts only if they are many."""
+    return keyed.join(written(gone.select(F.col("doc_id").alias("_id")), name), "_id", "left_anti").select(*names)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +48,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.groups(docs).filter("not kept"), "copies")
+    keyed = _keyed(docs)
+    return _without(keyed, exact_dedup.groups(_by_key(keyed)).filter("not kept"), docs.columns, "copies")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, jaccard_join.components(docs, PERCENT, SHINGLE).filter("doc_id != component_id"), "near-copies")
+    keyed = _keyed(docs)
+    links = jaccard_join.components(_by_key(keyed), PERCENT, SHINGLE)
+    return _without(keyed, links.filter("doc_id != component_id"), docs.columns, "near-copies")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
