@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import box_pairs
+from .metrics import box_pairs, ratio
 
 
 def assign_boxes(boxes: DataFrame, least: float = 0.1, exact: float = 0.5) -> DataFrame:
@@ -33,6 +33,11 @@ def match_predictions(boxes: DataFrame, least: float = 0.5, score: float = 0.0)
 
     sample, prediction, score, target and iou (null for false positives).
     """
+    return _matched(boxes, [least], score).drop("level")
+
+
+def _matched(boxes: DataFrame, levels: list[float], score: float = 0.0) -> DataFrame:
+    """match_predictions at several least overlaps (level); the ordered lists of a sample are made once."""
     pairs = box_pairs(boxes.filter(F.col("target") | (F.col("score") >= score)))
     per = pairs.groupBy("sample", "prediction", "score").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("i"), "target"))).alias("targets"))
     alone = boxes.filter(~F.col("target") & (F.col("score") >= score)).select("sample", F.col("ord").alias("prediction"), "score")
@@ -42,45 +47,75 @@ def match_predictions(boxes: DataFrame, least: float = 0.5, score: float = 0.0)
 
     def step(s, x):
         best = F.get(F.filter(F.coalesce(x["targets"], F.array().cast("array<struct<i:double,target:double>>")), lambda y: ~F.array_contains(s["t"], y["target"])), F.lit(0))
-        hit = F.coalesce(-best["i"] >= least, F.lit(False))
+        hit = F.coalesce(-best["i"] >= F.col("level"), F.lit(False))
         row = F.struct(x["prediction"].alias("prediction"), (-x["s"]).alias("score"), F.when(hit, best["target"]).alias("target"), F.when(hit, -best["i"]).alias("iou"))
         return F.struct(F.when(hit, F.array_append(s["t"], best["target"])).otherwise(s["t"]).alias("t"), F.array_append(s["out"], row).alias("out"))
 
-    return lists.select("sample", F.explode(F.aggregate("x", start, step)["out"]).alias("m")).select("sample", "m.prediction", "m.score", "m.target", "m.iou")
+    lists = lists.select("sample", "x", F.explode(F.array(*(F.lit(float(v)) for v in levels))).alias("level"))
+    return lists.select("level", "sample", F.explode(F.aggregate("x", start, step)["out"]).alias("m")).select("level", "sample", "m.prediction", "m.score", "m.target", "m.iou")
 
 
 def detection(boxes: DataFrame, thresholds: list[float], least: float = 0.5) -> DataFrame:
-    """Precision, recall, F1, mean overlap and share of samples with the right count, at each score threshold."""
-    targets = boxes.agg(F.count_if("target").alias("n_targets"), F.count_distinct("sample").alias("n_samples"))
-    out = None
-    for t in thresholds:
-        m = match_predictions(boxes, least, t)
-        c = m.agg(F.count("target").alias("tp"), F.count("*").alias("n_predicted"), F.avg("iou").alias("mean_iou")).crossJoin(F.broadcast(targets))  # one row each
-        f = c.select(
-            F.lit(t).alias("threshold"), "tp", (F.col("n_predicted") - F.col("tp")).alias("fp"), (F.col("n_targets") - F.col("tp")).alias("fn"), F.coalesce(F.try_divide("tp", "n_predicted"), F.lit(0.0)).alias("precision"),
-            F.coalesce(F.try_divide("tp", "n_targets"), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide(2 * F.col("tp"), F.col("n_predicted") + F.col("n_targets")), F.lit(0.0)).alias("f1"), "mean_iou",
-        )
-        out = f if out is None else out.unionByName(f)
-    return out
+    """At each score threshold: counts, precision, recall, F1, mean and median overlap of matches, mean absolute errors of
+    their left and right edges, width, centre and coordinates, and how well samples' counts are met; 0 where there is nothing.
+
+    Predictions are matched in order of score, so the matches at a threshold are those of the lowest one from it upwards:
+    samples are matched once, and thresholds only group the outcome.
+    """
+    spark, grid = boxes.sparkSession, F.array(*(F.lit(float(t)) for t in thresholds))
+    m = _matched(boxes, [least], min(thresholds)).drop("level")
+    box = F.min(F.struct("x1", "y1", "x2", "y2"))
+    for side, of in (("target", "target"), ("prediction", "not target")):
+        m = m.join(boxes.filter(of).groupBy("sample", F.col("ord").alias(side)).agg(box.alias(f"{side}_box")), ["sample", side], "left")
+    hit, apart = F.col("target").isNotNull(), lambda c: F.abs(F.col(f"prediction_box.{c}") - F.col(f"target_box.{c}"))
+    both = lambda f: F.when(hit, F.abs(f("prediction_box") - f("target_box")))
+    m = m.select(
+        F.explode(F.filter(grid, lambda t: F.col("score") >= t)).alias("threshold"), "target", "iou", F.when(hit, apart("x1")).alias("left"), F.when(hit, apart("x2")).alias("right"),
+        both(lambda b: F.col(f"{b}.x2") - F.col(f"{b}.x1")).alias("width"), both(lambda b: (F.col(f"{b}.x1") + F.col(f"{b}.x2")) / 2).alias("centre"),
+        F.when(hit, (apart("x1") + apart("y1") + apart("x2") + apart("y2")) / 4).alias("coordinates"),
+    )
+    errors = ("left", "right", "width", "centre", "coordinates")
+    c = m.groupBy("threshold").agg(F.count("target").alias("tp"), F.count("*").alias("n_predicted"), F.avg("iou").alias("mean_iou"), F.median("iou").alias("median_iou"), *(F.avg(e).alias(f"{e}_mae") for e in errors))
+    # one row for each sample and threshold: how many boxes it has and how many are predicted
+    per = boxes.groupBy("sample").agg(F.count_if("target").alias("n"), F.collect_list(F.when(~F.col("target"), F.col("score"))).alias("scores"))
+    off = per.select("n", "scores", F.explode(grid).alias("threshold")).select("threshold", "n", F.abs(F.col("n") - F.size(F.filter("scores", lambda x: x >= F.col("threshold")))).alias("off"))
+    n = off.groupBy("threshold").agg(F.sum("n").alias("n_targets"), F.count("*").alias("n_samples"), F.avg((F.col("off") == 0).cast("int")).alias("count_accuracy"), F.avg("off").alias("count_mae"))
+    d = spark.range(1).select(F.explode(grid).alias("threshold")).join(n, "threshold", "left").join(c, "threshold", "left").fillna(0)
+    return d.select(
+        "threshold", "tp", (F.col("n_predicted") - F.col("tp")).alias("fp"), (F.col("n_targets") - F.col("tp")).alias("fn"), ratio(F.col("tp"), F.col("n_predicted")).alias("precision"),
+        ratio(F.col("tp"), F.col("n_targets")).alias("recall"), ratio(2 * F.col("tp"), F.col("n_predicted") + F.col("n_targets")).alias("f1"), "mean_iou", "median_iou", *(f"{e}_mae" for e in errors),
+        "count_accuracy", "count_mae", ratio(F.col("n_predicted"), F.col("n_samples")).alias("predictions_per_sample"),
+    )
+
+
+def detection_sweep(boxes: DataFrame, least: float = 0.5) -> DataFrame:
+    """detection at 0.05, 0.10 ... 0.95, and best: greatest F1, then recall, then precision, then nearness to one half, then the lower."""
+    d = detection(boxes, [round(k * 0.05, 2) for k in range(1, 20)], least)
+    order = F.struct("f1", "recall", "precision", (-F.abs(F.col("threshold") - 0.5)).alias("near"), (-F.col("threshold")).alias("low"))
+    return d.withColumn("best", order == F.max(order).over(Window.partitionBy(F.lit(0))))  # 19 rows
 
 
 def average_precision(boxes: DataFrame, levels: list[float]) -> DataFrame:
     """101-point interpolated average precision at each overlap. Ranks come from score buckets, not from one global window."""
     n = boxes.agg(F.count_if("target").alias("n"))
-    out = None
-    for level in levels:
-        m = match_predictions(boxes, level).withColumn("hit", F.col("target").isNotNull().cast("int")).withColumn("bucket", F.floor(F.col("score") * 64))
-        sums = m.groupBy("bucket").agg(F.sum("hit").alias("h"), F.count("*").alias("c"))
-        above = Window.partitionBy(F.lit(0)).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)  # 65 rows
-        sums = sums.select("bucket", F.coalesce(F.sum("h").over(above), F.lit(0)).alias("ah"), F.coalesce(F.sum("c").over(above), F.lit(0)).alias("ac"))
-        inside = Window.partitionBy("bucket").orderBy(F.col("score").desc(), "sample", "prediction").rowsBetween(Window.unboundedPreceding, 0)
-        p = m.join(sums, "bucket").crossJoin(F.broadcast(n)).select((F.col("ah") + F.sum("hit").over(inside)).alias("tp"), (F.col("ac") + F.count("*").over(inside)).alias("k"), "n")
-        reach = p.select((F.col("tp") / F.col("k")).alias("precision"), F.floor(F.col("tp") * 100 / F.col("n") + 1e-9).alias("step")).groupBy("step").agg(F.max("precision").alias("p"))
-        grid = boxes.sparkSession.range(101).withColumnRenamed("id", "level")
-        at = grid.join(reach, F.col("step") >= F.col("level"), "left").groupBy("level").agg(F.coalesce(F.max("p"), F.lit(0.0)).alias("p"))  # 101 by 101 rows
-        row = at.agg(F.avg("p").alias("ap")).select(F.lit(level).alias("iou"), "ap")
-        out = row if out is None else out.unionByName(row)
-    return out
+    m = _matched(boxes, levels).withColumn("hit", F.col("target").isNotNull().cast("int")).withColumn("bucket", F.floor(F.col("score") * 64))
+    sums = m.groupBy("level", "bucket").agg(F.sum("hit").alias("h"), F.count("*").alias("c"))
+    above = Window.partitionBy("level").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)  # 65 rows
+    sums = sums.select("level", "bucket", F.coalesce(F.sum("h").over(above), F.lit(0)).alias("ah"), F.coalesce(F.sum("c").over(above), F.lit(0)).alias("ac"))
+    inside = Window.partitionBy("level", "bucket").orderBy(F.col("score").desc(), "sample", "prediction").rowsBetween(Window.unboundedPreceding, 0)
+    p = m.join(sums, ["level", "bucket"]).crossJoin(F.broadcast(n)).select("level", (F.col("ah") + F.sum("hit").over(inside)).alias("tp"), (F.col("ac") + F.count("*").over(inside)).alias("k"), "n")
+    reach = p.select("level", (F.col("tp") / F.col("k")).alias("precision"), F.floor(F.try_divide(F.col("tp") * 100, F.col("n")) + 1e-9).alias("step")).groupBy("level", "step").agg(F.max("precision").alias("p"))
+    grid = boxes.sparkSession.range(101).select(F.col("id").alias("recall"), F.explode(F.array(*(F.lit(float(v)) for v in levels))).alias("level"))
+    reach = reach.withColumnRenamed("level", "_level")
+    at = grid.join(reach, (F.col("level") == F.col("_level")) & (F.col("step") >= F.col("recall")), "left").groupBy("level", "recall").agg(F.coalesce(F.max("p"), F.lit(0.0)).alias("p"))  # 101 by 101 rows a level
+    return at.groupBy(F.col("level").alias("iou")).agg(F.avg("p").alias("ap"))
+
+
+def average_precisions(boxes: DataFrame, more: list[float]) -> DataFrame:
+    """average_precision at 0.50, 0.55 ... 0.95 and at `more`; map is the mean over 0.50 to 0.95, on each row."""
+    levels = [round(0.5 + 0.05 * k, 2) for k in range(10)]
+    d = average_precision(boxes, sorted({*levels, *more}))
+    return d.withColumn("map", F.avg(F.when(F.col("iou").isin(levels), F.col("ap"))).over(Window.partitionBy(F.lit(0))))  # a row a level
 
 
 def islands(rows: DataFrame, tol: float, key: str = "mz") -> DataFrame:

@@ -135,12 +135,12 @@ def e6(spark, sf):
 
 @query("E7_detection_sweep")
 def e7(spark, sf):
-    return matching.detection(P.boxes(spark, sf), [0.1, 0.3, 0.5, 0.7], 0.3)
+    return matching.detection_sweep(P.boxes(spark, sf), 0.3)
 
 
 @query("E8_average_precision")
 def e8(spark, sf):
-    return matching.average_precision(P.boxes(spark, sf), [0.3, 0.5])
+    return matching.average_precisions(P.boxes(spark, sf), [0.3])
 
 
 def _detectors(spark, sf):
