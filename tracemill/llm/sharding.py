@@ -9,7 +9,8 @@ a lost driver leaves files that no manifest names, which `expire` removes.
 
 Row keys play no part in the placement, so a hot source or a group of copies cannot overload a file.
 
-Edge cases: an empty arrival commits a version without new shards; null columns, repeated rows and further columns are
+Edge cases: an empty arrival commits a version without new shards, but while a store has no rows its manifest names one
+empty shard, for the schema; null columns, repeated rows and further columns are
 stored as they are; two writers of one version: the second fails and can try again on the new version.
 """
 
@@ -85,7 +86,10 @@ class ShardStore:
         base = known[-1] if known else 0
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         docs.write.option("compression", CODEC).parquet(path)
-        return self.commit(self.manifest().unionByName(self._stats(path)).coalesce(1), base)
+        old, new = self.manifest(), self._stats(path)
+        if old.isEmpty() and (written := self.spark.read.parquet(path)).isEmpty():
+            new = self.spark.createDataFrame([(f, 0, 0, 0) for f in written.inputFiles()[:1]], MANIFEST)
+        return self.commit(old.unionByName(new).coalesce(1), base)
 
     def plan(self, target_bytes: int = TARGET_BYTES) -> DataFrame:
         """path, target: which merged file takes each shard; tiers with too few shards are not in it."""
@@ -117,9 +121,10 @@ class ShardStore:
         return self.commit(old.join(plan, "path", "left_anti").unionByName(fresh).coalesce(1), base)
 
     def read(self, version: int | None = None) -> DataFrame:
-        paths = [r.path for r in self.manifest(version).filter("n_rows > 0").select("path").collect()]
+        shards = self.manifest(version)
+        paths = [r.path for r in shards.filter("n_rows > 0").select("path").collect()] or [r.path for r in shards.select("path").take(1)]
         if not paths:
-            raise ValueError("the store has no rows yet")
+            raise ValueError("nothing has been appended to the store yet")
         return self.spark.read.parquet(*paths)
 
     def expire(self, keep: int = 1) -> int:
