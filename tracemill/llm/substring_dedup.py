@@ -4,10 +4,11 @@ Windows of WINDOW words are the edges of a De Bruijn graph over the corpus. Cons
 anchor are a path, one row. A repeated anchor that is always followed by the same content is a path without branches:
 it stays compact, whatever number of edges and copies it stands for, and the joins settle it as a whole. Only where
 contents differ does the graph branch; there each distinct path is expanded to edges, and edges are joined. Source
-coordinates (document, path, edge) decide and verify at the end: in every document the spans are laid over the words
-again, repeats within the document are found from its own edges, and what an earlier document has is removed.
+coordinates (document, path, edge) decide at the end: in every document the spans are laid over the words again,
+repeats within the document are found from its own edges, and what an earlier document has is removed.
 
-Paths and edges are identified by pairs of independent 64-bit hashes (anchor and content, anchor and edge).
+Paths are identified by anchor and content, 64 bits each of one base, and edges by the anchor and a hash of a second
+base. Words are not compared with the source's: nothing is verified beyond the hashes.
 
 Edge cases: null and empty texts have no words; texts shorter than a window lose nothing; of rows with the same id the
 one that sorts first by text counts as earlier; null ids come last; further columns are ignored.
