@@ -1,6 +1,7 @@
 """Compares a query's rows with those of its SQL in DuckDB, in any order."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 
@@ -19,7 +20,9 @@ def plain(v):
         return "None" if math.isnan(v) else repr(round(v, 6) + 0.0)
     if isinstance(v, (list, tuple)):
         return str([plain(x) for x in v])
-    if isinstance(v, bool) or v is None or isinstance(v, str):
+    if isinstance(v, dict):
+        return str({k: plain(x) for k, x in sorted(v.items())})
+    if not isinstance(v, (int, Decimal)) or isinstance(v, bool):  # texts, dates, times, bytes, nulls
         return str(v)
     return repr(round(float(v), 6) + 0.0)
 

@@ -1,25 +1,32 @@
-"""Connected components of pairs, by joins; every round is checkpointed in the shared folder."""
+"""Connected components of pairs, by joins; every round is written to the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def connected(pairs: DataFrame) -> DataFrame:
     """id, root (least id that pairs(a, b) reach). Labels spread to neighbours and then jump to their label's label."""
-    context = pairs.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(pairs.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("root")).checkpoint()
+    both = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         step = labels.join(near, "id").select("id", "root", F.least("root", "near").alias("least"))
         jump = labels.select(F.col("id").alias("least"), F.col("root").alias("far"))
-        new = step.join(jump, "least").select("id", F.col("root").alias("was"), F.least("least", "far").alias("root")).checkpoint()
+        new = written(step.join(jump, "least").select("id", F.col("root").alias("was"), F.least("least", "far").alias("root")), "labels")
         if new.filter("was != root").isEmpty():
             return new.select("id", "root")
         labels = new.select("id", "root")
+
+
+def grouped(ids: DataFrame, pairs: DataFrame, prefix: str = "G") -> DataFrame:
+    """id, root, members and group of every id: groups of two and more are numbered in the order of their roots, an id without a pair is its own root and has no group."""
+    from .tables import numbered
+
+    roots = connected(pairs)
+    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
+    names = numbered(sizes, ["root"], prefix, "group")
+    return ids.select("id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(names, "root", "left").select("id", "root", F.coalesce("members", F.lit(1)).alias("members"), "group")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .traces import apexes, by_place, smoothed
+from .traces import EPS, apexes, by_place, smoothed
 
 
 def maxima(points: DataFrame, height: float = 0.0) -> DataFrame:
@@ -15,12 +15,35 @@ def maxima(points: DataFrame, height: float = 0.0) -> DataFrame:
     return tops.select("trace", F.row_number().over(by_place()).alias("peak"), "i", "y")
 
 
+def prominences(points: DataFrame) -> DataFrame:
+    """place and prominence of each local maximum of y inside a trace; a plateau counts once, at its middle.
+
+    Plateaus are islands of equal neighbours, found by window functions. A maximum's base on one side is the least value
+    before the trace rises above it, on the trace's array of islands; a trace is bounded by the scans of its window.
+    """
+    new = F.when(F.lag("y").over(by_place()).eqNullSafe(F.col("y")), 0).otherwise(1)
+    steps = points.withColumn("_new", new).withColumn("island", F.sum("_new").over(by_place().rowsBetween(Window.unboundedPreceding, 0)))
+    islands = steps.groupBy("trace", "island").agg(F.floor((F.min("i") + F.max("i")) / 2).alias("place"), F.first("y").alias("y"))
+    rows = islands.groupBy("trace").agg(F.sort_array(F.collect_list(F.struct("island", "place", "y"))).alias("x"))
+    low = lambda part, y: F.aggregate(part, F.struct(y.alias("low"), F.lit(False).alias("done")), lambda s, e: F.when(s["done"] | (e["y"] > y), F.struct(s["low"].alias("low"), F.lit(True).alias("done"))).otherwise(F.struct(F.least(s["low"], e["y"]).alias("low"), F.lit(False).alias("done"))))["low"]
+    x = F.col("x")
+
+    def judged(e: Column, k: Column) -> Column:
+        top = (k > 0) & (k < F.size(x) - 1) & (F.get(x, k - 1)["y"] < e["y"]) & (F.get(x, k + 1)["y"] < e["y"])
+        base = F.greatest(low(F.reverse(F.slice(x, 1, k)), e["y"]), low(F.slice(x, k + 2, F.size(x)), e["y"]))
+        return F.struct(e["place"].alias("place"), F.when(top, e["y"] - base).alias("prominence"))
+
+    found = rows.select("trace", F.explode(F.filter(F.transform(x, judged), lambda s: s["prominence"].isNotNull())).alias("s"))
+    return found.select("trace", "s.place", "s.prominence")
+
+
 def secondary(points: DataFrame, away: int = 2) -> DataFrame:
-    """MOD: the greatest smoothed value that is a local maximum more than `away` points from the apex, over the apex's; 0 without one."""
-    d = smoothed(points).join(apexes(points), "trace").withColumns({"p": F.lag("m").over(by_place()), "q": F.lead("m").over(by_place())})
-    other = (F.col("m") > F.col("p")) & (F.col("m") >= F.col("q")) & (F.abs(F.col("i") - F.col("apex")) > away)
-    at_apex = F.max(F.when(F.col("i") == F.col("apex"), F.col("m")))
-    return d.groupBy("trace").agg(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.max(F.when(other, F.col("m"))), at_apex), F.lit(0.0))).alias("MOD"))
+    """MOD: the greatest prominence on the smoothed trace of a maximum more than `away` points from the apex, over the smoothed value at the apex; 0 without one."""
+    tops = apexes(points).select("trace", "apex")
+    m = smoothed(points).select("trace", "i", F.col("m").alias("y"))
+    best = prominences(m).join(tops, "trace").filter(F.abs(F.col("place") - F.col("apex")) > away).groupBy("trace").agg(F.max("prominence").alias("p"))
+    at_apex = m.join(tops, "trace").filter("i = apex").select("trace", F.col("y").alias("m"))
+    return at_apex.join(best, "trace", "left").select("trace", F.least(F.lit(1.0), F.coalesce("p", F.lit(0.0)) / (F.col("m") + EPS)).alias("MOD"))
 
 
 def core(points: DataFrame, share: float = 0.05, confirm: int = 2) -> DataFrame:
@@ -51,11 +74,17 @@ def valley_right(points: DataFrame, rise: float = 0.05, patience: int = 3) -> Da
 
 
 def shared_valleys(points: DataFrame, height: float) -> DataFrame:
-    """Between each peak and the next: the first place of the least value, where that is under both peaks."""
-    tops = maxima(points, height)
-    pairs = tops.withColumns({"next_i": F.lead("i").over(Window.partitionBy("trace").orderBy("peak")), "next_y": F.lead("y").over(Window.partitionBy("trace").orderBy("peak"))}).filter("next_i is not null")
-    between = pairs.select("trace", "peak", F.col("i").alias("a"), "next_i", F.least("y", "next_y").alias("under")).join(points, "trace").filter((F.col("i") > F.col("a")) & (F.col("i") < F.col("next_i")))
-    return between.groupBy("trace", "peak", "under").agg(F.min_by("i", F.struct("y", "i")).alias("valley"), F.min("y").alias("y")).filter("y < under").drop("under")
+    """Between each peak and the next: the first place of the least value, where that is under both peaks.
+
+    One window over the ordered trace numbers the stretches between peaks, so points meet no peaks but their own.
+    """
+    d = points.withColumns({"p": F.lag("y").over(by_place()), "q": F.lead("y").over(by_place())})
+    d = d.withColumn("top", F.coalesce((F.col("y") > height) & (F.col("y") > F.col("p")) & (F.col("y") >= F.col("q")), F.lit(False)))
+    d = d.withColumn("peak", F.sum(F.col("top").cast("int")).over(by_place().rowsBetween(Window.unboundedPreceding, 0)).cast("int")).filter("peak > 0")
+    inner = F.when(~F.col("top"), F.struct("y", "i"))
+    s = d.groupBy("trace", "peak").agg(F.max(F.when(F.col("top"), F.col("y"))).alias("own"), F.min(inner).alias("x"))
+    s = s.withColumn("next", F.lead("own").over(Window.partitionBy("trace").orderBy("peak")))
+    return s.filter(F.col("x.y") < F.least("own", "next")).filter("next is not null").select("trace", "peak", F.col("x.i").alias("valley"), F.col("x.y").alias("y"))
 
 
 def gaussian(points: DataFrame, sigma: float = 1.0, reach: int = 3) -> DataFrame:
@@ -78,8 +107,14 @@ def window_diagnostics(points: DataFrame, half: int = 10) -> DataFrame:
     return s.select("trace", "n_points", (F.col("top") - F.col("baseline")).alias("height"), "baseline", (F.col("area") - F.col("baseline") * (F.col("hi") - F.col("lo"))).alias("net_area"), ((F.col("apex") == F.col("lo")) | (F.col("apex") == F.col("hi"))).alias("at_edge"))
 
 
-def interval_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of closed intervals (trace, id, lo, hi) of one trace that touch, with whether b's middle lies in a."""
-    y = b.select("trace", F.col("id").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"))
+def interval_overlaps(a: DataFrame, b: DataFrame, span: int = 64) -> DataFrame:
+    """Pairs of closed intervals (trace, id, lo, hi) of one trace that touch, with whether b's middle lies in a.
+
+    Joined by buckets of the axis; a pair that shares several buckets counts in the one where it begins to touch.
+    """
+    bucket = F.explode(F.sequence(F.floor(F.col("lo") / span), F.floor(F.col("hi") / span))).alias("bucket")
+    x = a.select("trace", "id", "lo", "hi", bucket)
+    y = b.select("trace", F.col("id").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), bucket)
     middle = (F.col("other_lo") + F.col("other_hi")) / 2
-    return a.join(y, "trace").filter((F.col("lo") <= F.col("other_hi")) & (F.col("other_lo") <= F.col("hi"))).select("trace", "id", "other", ((middle >= F.col("lo")) & (middle <= F.col("hi"))).alias("core"))
+    touch = (F.col("lo") <= F.col("other_hi")) & (F.col("other_lo") <= F.col("hi")) & (F.floor(F.greatest("lo", "other_lo") / span) == F.col("bucket"))
+    return x.join(y, ["trace", "bucket"]).filter(touch).select("trace", "id", "other", ((middle >= F.col("lo")) & (middle <= F.col("hi"))).alias("core"))

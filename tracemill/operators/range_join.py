@@ -43,11 +43,18 @@ def dense(features: DataFrame, peaks: DataFrame, width: float = 5.0) -> DataFram
 
 
 def near_pairs(rows: DataFrame, key: str, x: str, y: str, ppm: float, gap: float) -> DataFrame:
-    """Pairs (a, b) of rows of one source, x within ppm and y within gap, by buckets of y."""
-    left = rows.select("source", F.col(key).alias("a"), F.col(x).alias("xa"), F.col(y).alias("ya")).withColumn("bucket", F.explode(F.sequence(F.floor((F.col("ya") - gap) / (4 * gap)), F.floor((F.col("ya") + gap) / (4 * gap)))))
-    right = rows.select("source", F.col(key).alias("b"), F.col(x).alias("xb"), F.col(y).alias("yb")).withColumn("bucket", F.floor(F.col("yb") / (4 * gap)))
+    """Pairs (a, b) of rows of one source, x (positive) within ppm and y within gap, by buckets of both: of log x, so that
+    ppm is a width, and of y. A dense source falls into as many buckets as it has places, and no bucket grows with the
+    source's range."""
+    wide, span = 4e-6 * ppm, 4 * gap
+    log = F.log(F.col(x))
+    slack = 1.01e-6 * ppm  # the logarithm of a ratio of ppm is a little off ppm itself
+    around = lambda v, reach, width: F.sequence(F.floor((v - reach) / width), F.floor((v + reach) / width))
+    left = rows.select("source", F.col(key).alias("a"), F.col(x).alias("xa"), F.col(y).alias("ya"), F.explode(around(log, slack, wide)).alias("bx"), around(F.col(y), gap, span).alias("bys"))
+    left = left.withColumn("by", F.explode("bys")).drop("bys")
+    right = rows.select("source", F.col(key).alias("b"), F.col(x).alias("xb"), F.col(y).alias("yb"), F.floor(log / wide).alias("bx"), F.floor(F.col(y) / span).alias("by"))
     ppm_of = F.abs(F.col("xa") - F.col("xb")) / ((F.col("xa") + F.col("xb")) / 2) * 1e6
-    return left.join(right, ["source", "bucket"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ya") - F.col("yb")) <= gap) & (ppm_of <= ppm)).select("source", "a", "b", ppm_of.alias("ppm"), F.abs(F.col("ya") - F.col("yb")).alias("gap"))
+    return left.join(right, ["source", "bx", "by"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ya") - F.col("yb")) <= gap) & (ppm_of <= ppm)).select("source", "a", "b", ppm_of.alias("ppm"), F.abs(F.col("ya") - F.col("yb")).alias("gap"))
 
 
 def top_by(rows: DataFrame, part: str, order: list, n: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def first_of(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first in an explicit total order."""
@@ -46,21 +48,38 @@ def sample_per(rows: DataFrame, part: list[str], key: str, n: int, seed: int = 0
 def numbered(rows: DataFrame, order: list[str], prefix: str, name: str = "number") -> DataFrame:
     """Dense ids prefix-000001 ... in a total order, without one task for all rows.
 
-    Rows are dealt by ranges of the order and written nowhere else: counts of the ranges give each its first number.
+    Rows are dealt by ranges of the order, sorted, and written once with their range and their place in it, so that all
+    later steps see the same ranges. Counts of the ranges give each its first number: one row for each range.
     """
-    d = rows.withColumn("_part", F.spark_partition_id()) if not order else rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(*order)
-    counts = d.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row for each partition
-    return d.join(before, "_part").withColumn(name, F.concat(F.lit(prefix), F.lpad((F.col("_before") + F.row_number().over(own)).cast("string"), 6, "0"))).drop("_part", "_before")
+    at = "_at"
+    while at in (*rows.columns, name):
+        at += "_"
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    d = written(ranged.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
+    counts = d.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    first = F.map_from_entries(F.collect_list(F.struct("_part", "_before")))
+    starts = before.agg(first.alias("_starts"))  # one row: a number for each range
+    return d.crossJoin(F.broadcast(starts)).withColumn(name, F.concat(F.lit(prefix), F.format_string("%06d", F.col("_starts")[part] + place + 1))).drop(at, "_starts")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, train: float = 0.8, val: float = 0.1, seed: int = 0) -> DataFrame:
-    """split of each row: cut-offs by rank in hash order within its label."""
-    w = Window.partitionBy(label)
-    d = rows.withColumns({"_r": F.row_number().over(w.orderBy(hash_order(key, seed), key)), "_n": F.count("*").over(w)})
+    """split of each row: cut-offs by rank in hash order within its label.
+
+    A label of any size is dealt by the first digits of the hash: counts of these give each part its first rank, so no
+    task sorts a whole label.
+    """
+    d = rows.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, 3))
+    counts = d.groupBy(label, "_b").agg(F.count("*").alias("_k"))
+    by = Window.partitionBy(label)  # 4,096 rows a label
+    parts = counts.select(
+        F.col(label).alias("_label"), F.col("_b").alias("_part"), F.sum("_k").over(by).alias("_n"), F.coalesce(F.sum("_k").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    )
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)))
+    d = d.join(parts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_part"))).withColumn("_r", F.col("_r") + F.col("_before"))
     split = F.when(F.col("_r") <= F.floor(train * F.col("_n")), "train").when(F.col("_r") <= F.floor((train + val) * F.col("_n")), "val").otherwise("test")
-    return d.withColumn("split", split).drop("_r", "_n")
+    return d.withColumn("split", split).drop("_r", "_n", "_h", "_b", "_label", "_part", "_before")
 
 
 def leave_one_out(rows: DataFrame, domain: str) -> DataFrame:

@@ -20,6 +20,11 @@ def fisher(r: Column) -> Column:
     return F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), r)))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r; null where one side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def smoothed(points: DataFrame) -> DataFrame:
     """Adds m, the moving average of three with zeros beyond the ends."""
     z = F.lit(0.0)
@@ -38,14 +43,14 @@ def shape(points: DataFrame) -> DataFrame:
     s = d.groupBy("trace").agg(
         F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.max("y").alias("top"), F.min("y").alias("low"), F.sum("y").alias("total"),
         F.sum((2 * F.col("y") - F.col("p") - F.col("q")) ** 2).alias("zz"), F.max("m").alias("m_top"), F.min("m").alias("m_low"), F.sum((2 * F.col("m") - F.col("mp") - F.col("mq")) ** 2).alias("m_zz"),
-        F.corr("y", "m").alias("r"), F.stddev_pop("m").alias("m_std"), F.skewness("y").alias("g1"),
+        correlation("y", "m").alias("r"), F.stddev_pop("m").alias("m_std"), F.skewness("y").alias("g1"),
         F.sum(F.when(F.col("y") > 0, F.col("y") * F.log2("y")).otherwise(0.0)).alias("ylog"), F.avg(F.abs(step)).alias("move"),
         F.sum(F.abs(F.signum(step) - F.signum(F.col("p") - F.col("pp")))).alias("turns"),
     )
     n, top, zz = F.col("n"), F.col("top"), _zigzag(F.col("zz"), F.col("n"), F.col("top"), F.col("low"))
     return s.filter((n >= 3) & (top > 0)).select(
         "trace", "n",
-        F.when(F.col("std") <= EPS, top).otherwise((top - F.col("mean")) / F.col("std")).alias("SNR"), (F.col("std") / F.col("mean")).alias("CV"),
+        F.when(F.col("std") <= EPS, top).otherwise((top - F.col("mean")) / F.col("std")).alias("SNR"), F.try_divide(F.col("std"), F.col("mean")).alias("CV"),
         F.log10(F.greatest(0.5 * n * top / F.col("total"), F.lit(EPS))).alias("TPAS"), zz.alias("ZZ"), (zz - _zigzag(F.col("m_zz"), n, F.col("m_top"), F.col("m_low"))).alias("DZZ"),
         F.when((F.col("std") > EPS) & (F.col("m_std") > EPS), fisher(F.col("r"))).alias("PCC"), (F.col("g1") * F.sqrt(n * (n - 1.0)) / (n - 2)).alias("SKEW"),
         (F.log2("total") - F.col("ylog") / F.col("total")).alias("DENT"), (F.col("move") / F.col("mean")).alias("DM"), (F.col("turns") / n).alias("JAG"),
@@ -96,7 +101,7 @@ def gauss_similarity(points: DataFrame) -> DataFrame:
     """GS: Fisher's z of the correlation with a Gaussian at the apex of the width at half height."""
     sigma = F.greatest(F.coalesce(F.col("strict") / FWHM_PER_SIGMA, (F.col("n") - 1) / 6.0), F.lit(1e-6))
     d = points.join(widths(points).select("trace", "apex", sigma.alias("sigma")), "trace").withColumn("g", F.exp(-0.5 * ((F.col("i") - F.col("apex")) / F.col("sigma")) ** 2))
-    s = d.groupBy("trace").agg(F.corr("y", "g").alias("r"), F.stddev_pop("y").alias("a"), F.stddev_pop("g").alias("b"))
+    s = d.groupBy("trace").agg(correlation("y", "g").alias("r"), F.stddev_pop("y").alias("a"), F.stddev_pop("g").alias("b"))
     return s.select("trace", F.when((F.col("a") > EPS) & (F.col("b") > EPS), fisher(F.col("r"))).alias("GS"))
 
 

@@ -11,8 +11,15 @@ from .queries import _APEX, _M, _NEAR, _SPLIT, _T, _accounts, _split, query, r
 _MAX = "x AS (SELECT *, lag(y) OVER o AS p, lead(y) OVER o AS q FROM t WINDOW o AS (PARTITION BY trace ORDER BY i)), k AS (SELECT trace, row_number() OVER (PARTITION BY trace ORDER BY i) AS peak, i, y FROM x WHERE y > 50 AND y > p AND y >= q)"
 
 
-@query("A15_secondary", f"""WITH {_T}, {_APEX}, m AS (SELECT trace, i, {_M} AS m FROM t WINDOW o AS (PARTITION BY trace ORDER BY i)), d AS (SELECT m.*, apex, lag(m) OVER o AS p, lead(m) OVER o AS q FROM m JOIN a USING (trace) WINDOW o AS (PARTITION BY trace ORDER BY i))
-SELECT trace, {r('least(1.0, coalesce(max(m) FILTER (m > p AND m >= q AND abs(i - apex) > 2) / nullif(max(m) FILTER (i = apex), 0), 0))')} AS MOD FROM d GROUP BY trace""")
+_PROMINENCE = """mm AS (SELECT m.trace, i, m, n, apex, lag(m) OVER (PARTITION BY m.trace ORDER BY i) AS p FROM m JOIN a USING (trace)),
+rise AS (SELECT x.trace, x.i, x.m, x.apex, coalesce(min(z.i), any_value(x.n)) AS stop FROM mm x LEFT JOIN mm z ON z.trace = x.trace AND z.i > x.i AND z.m <> x.m WHERE x.p < x.m GROUP BY x.trace, x.i, x.m, x.apex),
+peak AS (SELECT rise.* FROM rise JOIN mm z ON z.trace = rise.trace AND z.i = stop AND z.m < rise.m WHERE abs(floor((rise.i + stop - 1) / 2) - rise.apex) > 2),
+sides AS (SELECT peak.trace, peak.i, peak.m, peak.stop, coalesce(max(z.i) FILTER (z.i < peak.i AND z.m > peak.m), -1) AS lb, coalesce(min(z.i) FILTER (z.i > peak.i AND z.m > peak.m), 1000000) AS rb FROM peak JOIN mm z ON z.trace = peak.trace GROUP BY peak.trace, peak.i, peak.m, peak.stop),
+prom AS (SELECT sides.trace, sides.i, any_value(sides.m) - greatest(min(z.m) FILTER (z.i > lb AND z.i < sides.i), min(z.m) FILTER (z.i >= stop AND z.i < rb)) AS p FROM sides JOIN mm z ON z.trace = sides.trace GROUP BY sides.trace, sides.i)"""
+
+
+@query("A15_secondary", f"""WITH {_T}, {_APEX}, m AS (SELECT trace, i, {_M} AS m FROM t WINDOW o AS (PARTITION BY trace ORDER BY i)), {_PROMINENCE}
+SELECT trace, {r('least(1.0, coalesce(max(prom.p), 0) / (any_value(mm.m) + 1e-12))')} AS MOD FROM mm LEFT JOIN prom USING (trace) WHERE mm.i = mm.apex GROUP BY trace""")
 def a15(spark, sf):
     return peaks.secondary(P.traces(spark, sf))
 
