@@ -1,7 +1,7 @@
 import corpus_pipeline
 from conftest import SMALL
 from oracle import connect, same_rows
-from test_operators import brute_components
+from test_pipeline_near import brute_components
 
 from tracemill.llm import queries
 
@@ -15,7 +15,7 @@ def test_stages(spark):
         if name != "packing":
             assert out.columns == names
         if name == "n-gram Jaccard join":
-            found = brute_components([(r.doc_id, r.text) for r in docs.collect()])
+            found = brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80)  # five words, four fifths
             assert {r.doc_id for r in out.collect()} == {i for i, (_, c) in found.items() if c == i}
         if name == "exact dedup":
             first = {}

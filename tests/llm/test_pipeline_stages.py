@@ -34,6 +34,30 @@ def solid(t):
     return len(re.sub(r"[\x20\x09-\x0D]", "", t))
 
 
+def broken(x):
+    """The first rule that a line with a word breaks, in plain Python; bounds and lists as they are written, not taken from the operator."""
+    n, w, low, end = solid(x), len(WORD.findall(x)), x.lower(), re.sub(r"[\x20\x09-\x0D]+$", "", x)
+    furniture = (
+        "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "forgot your password", "log in to", "lorem ipsum",
+        "privacy policy", "read more", "share on", "sign up for", "skip to content", "subscribe to our", "terms of service", "terms of use", "view all comments",
+    )
+    if x.count("|") >= 2 or sum(c in "»›•·→" for c in x) >= 2:
+        return "navigation"
+    if 100 * sum(c in "#*$%&|<>" for c in x) > 10 * n:
+        return "symbols"
+    if 100 * x.count("!") > 10 * n or (not re.search("[a-zß-öø-ÿ]", x) and len(re.findall("[A-ZÀ-ÖØ-Þ]", x)) >= 12):
+        return "shouting"
+    if any(p in low for p in furniture):
+        return "boilerplate"
+    if any(p in low for p in ("http://", "https://", "www.")) and w < 8:
+        return "link"
+    if not any(c.isalpha() for c in x):
+        return "no_letters"
+    if end.endswith(("...", "…")) and w < 8:
+        return "teaser"
+    return "unfinished" if w < 4 and end[-1] not in ".!?;:…\"'”’)]" else None
+
+
 def quality(rows):
     out = []
     for i, t in rows:
@@ -44,11 +68,14 @@ def quality(rows):
         for at in seen.values():
             covered |= {q for p in at if len(at) > 1 for q in (p, p + 1, p + 2)}
 
-        def good(x):
-            n, marks = solid(x), sum(c in quality_rules.SYMBOLS for c in x)
-            return not n or not (x.count("|") >= 2 or 10 * marks > n or 10 * x.count("!") > n or any(b in x.lower() for b in quality_rules.BOILERPLATE))
-
-        left = "\n".join(x for x in (t or "").split("\n") if good(x))
+        seen_lines, left = set(), []
+        for x in (t or "").split("\n"):
+            if not WORD.search(x):
+                left.append(x)
+            elif broken(x) is None and x not in seen_lines:
+                seen_lines.add(x)
+                left.append(x)
+        left = "\n".join(left)
         if len(w) >= 50 and 2 * len(covered) <= len(w) and 2 * solid(left) >= solid(t):
             out.append((i, left))
     return out
@@ -127,3 +154,44 @@ def test_transducer_on_odd_texts_of_any_length(name):
     assert sum(len(x) >= 6 for x in odd) > 200
     wrong = [x for x in odd if ours.encode(x)[1].tolist() != library.encode(x, add_special_tokens=False).ids]
     assert not wrong, (len(wrong), wrong[:3])
+
+
+LINES = {
+    "Home | News | About us today": "navigation", "Start » Shop » Cart": "navigation", "one ### two ### three": "symbols", "A line with 5 % in it and more words.": None, "BUY NOW WHILE STOCKS LAST.": "shouting", "WOW!!! so much!!!": "shouting",
+    "GO ON.": None, "All Rights Reserved by the people who wrote this.": "boilerplate", "See https://example.org/a?b for it.": "link", "We put the whole report at https://example.org for everyone to read.": None, "12 / 34 - 56": "no_letters",
+    "And so it goes on...": "teaser", "And so it goes on … ": "teaser", "It went on and on and on, as these things always do...": None, "Contact": "unfinished", "Sign in here": "unfinished", "It is done.": None, "A heading of some four words": None, "«Ja»": "unfinished",
+    "É » é » è": "navigation", "ÀÉÈÙÀÉÈÙÀÉÈÙ": "shouting",
+}
+
+
+def test_rules_of_lines(spark):
+    d = spark.createDataFrame([(k, x) for k, x in enumerate(LINES)], "doc_id int, text string")
+    got = {r.doc_id: r.reasons for r in quality_rules.judge(d).collect()}
+    assert {x: got[k] or None for k, x in enumerate(LINES)} == LINES == {x: broken(x) for x in LINES}
+
+
+def test_cleaned_text_of_random_documents(spark):
+    rnd = random.Random(9)
+    words = [f"word{k}" for k in range(60)] + ["Über", "»", "|", "!!!", "###", "http://x.y", "ABC", "a.", "...", "42"]
+    lines = ["", " ", *LINES, *(" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 14))) for _ in range(60))]
+    rows = [(k, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 25)))) for k in range(150)]
+    found = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(quality(rows))
+    assert {i for i, r in found.items() if r.kept} == set(want) and 10 < len(want) < 140
+    for i, t in rows:
+        left, seen, rules = [], set(), set()
+        for x in t.split("\n"):
+            if WORD.search(x):
+                rule = broken(x) or ("repeated" if x in seen else None)
+                rules.add(rule)
+                seen |= {x} if broken(x) is None else set()
+            else:
+                rule = None
+            left += [x] if rule is None else []
+        assert found[i].clean_text == "\n".join(left) and set(filter(None, found[i].reasons.split(","))) == rules - {None}
+        assert found[i].clean_chars == solid("\n".join(left)) and found[i].n_failed_lines == len(t.split("\n")) - len(left)
+
+
+def test_a_clean_document_is_left_alone(spark):
+    text = "A first line that ends as it should.\n\nIt has seven blank lines, \"quotes\" and 3 % of marks; nothing else to see.\n" + " ".join(f"w{k}" for k in range(60)) + "."
+    assert [r.text for r in quality_rules.clean(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()] == [text]

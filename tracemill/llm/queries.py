@@ -93,32 +93,43 @@ FROM w LEFT JOIN kept USING (doc_id)
 
 
 def _judge_sql() -> str:
-    furniture = " OR ".join(f"contains(lower(l), '{p}')" for p in quality_rules.BOILERPLATE)
-    count = lambda t, c: f"(length({t}) - length(translate({t}, '{c}', '')))"
-    good = (
-        f"({_SOLID.format(t='l')} = 0 OR NOT ({count('l', '|')} >= {quality_rules.MIN_BARS} OR 100 * {count('l', quality_rules.SYMBOLS)} > {quality_rules.MAX_MARKS} * {_SOLID.format(t='l')}"
-        f" OR 100 * {count('l', '!')} > {quality_rules.MAX_MARKS} * {_SOLID.format(t='l')} OR {furniture}))"
+    q = quality_rules
+    count = lambda t, c: f"len(regexp_extract_all({t}, '{c}'))"
+    quoted = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+    any_of = lambda xs: "(" + " OR ".join(f"contains(lower(l), '{x}')" for x in xs) + ")"
+    n, n_words, trimmed = _SOLID.format(t="l"), f"len({_WORDS.format(t='l')})", r"regexp_replace(l, '[\x20\x09-\x0D]+$', '')"
+    tests = (
+        f"{count('l', '[|]')} >= {q.MIN_BARS} OR {count('l', '[' + q.MENU_MARKS + ']')} >= {q.MIN_BARS}",
+        f"100 * {count('l', '[' + q.SYMBOLS + ']')} > {q.MAX_MARKS} * {n}",
+        f"100 * {count('l', '!')} > {q.MAX_MARKS} * {n} OR (NOT regexp_matches(l, '[a-zß-öø-ÿ]') AND {count('l', '[A-ZÀ-ÖØ-Þ]')} >= {q.MIN_CAPITALS})",
+        any_of(q.BOILERPLATE), f"{any_of(q.LINKS)} AND {n_words} < {q.MIN_SENTENCE}", r"NOT regexp_matches(l, '\pL')",
+        f"(ends_with({trimmed}, '...') OR ends_with({trimmed}, '…')) AND {n_words} < {q.MIN_SENTENCE}", f"{n_words} < {q.MIN_PHRASE} AND right({trimmed}, 1) NOT IN ({quoted(q.SENTENCE_END)})",
     )
+    rule = f"CASE WHEN {n} = 0 THEN NULL " + " ".join(f"WHEN {t} THEN '{name}'" for name, t in zip(q.RULES, tests, strict=True)) + " END"
+    base = f"n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEATED} * n_words"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, {_WORDS.format(t="t")} AS ws, string_split(t, chr(10)) AS ls FROM d),
 tri AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY doc_id),
+line AS (SELECT doc_id, i, l, {n} AS solid, {rule} AS rule FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM w)),
+seen AS (SELECT *, rule IS NULL AND (solid = 0 OR row_number() OVER (PARTITION BY doc_id, l, rule IS NULL ORDER BY i) = 1) AS stays FROM line),
+c AS (SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (stays), '') AS clean_text, count(*) FILTER (NOT stays) AS n_failed_lines,
+    count(*) FILTER (solid > 0) - count(DISTINCT l) FILTER (solid > 0) AS n_dup_lines,
+    array_to_string(list_concat(list_sort(list_distinct(coalesce(list(rule) FILTER (rule IS NOT NULL), []))), CASE WHEN count(*) FILTER (NOT stays AND rule IS NULL) > 0 THEN ['repeated'] ELSE [] END), ',') AS reasons
+  FROM seen GROUP BY doc_id),
 f AS (
-  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST({_SOLID.format(t='t')} AS BIGINT) AS word_chars, CAST({count('t', quality_rules.SYMBOLS)} AS BIGINT) AS n_symbols,
-    CAST(len(list_filter(ls, lambda l: {_SOLID.format(t='l')} > 0)) - len(list_distinct(list_filter(ls, lambda l: {_SOLID.format(t='l')} > 0))) AS BIGINT) AS n_dup_lines,
-    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, array_to_string(list_filter(ls, lambda l: {good}), chr(10)) AS clean_text
-  FROM w LEFT JOIN rep USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED} * n_words) AS base_failed,
-  (NOT (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED} * n_words) AND 100 * {_SOLID.format(t='clean_text')} >= {quality_rules.MIN_KEPT} * word_chars) AS kept,
-  CAST({_SOLID.format(t='clean_text')} AS BIGINT) AS clean_chars{{more}}
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST({_SOLID.format(t='t')} AS BIGINT) AS word_chars, CAST({count('t', '[' + q.SYMBOLS + ']')} AS BIGINT) AS n_symbols,
+    n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, n_failed_lines, reasons, clean_text
+  FROM w JOIN c USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) AS base_failed,
+  (NOT ({base}) AND 100 * {_SOLID.format(t='clean_text')} >= {q.MIN_KEPT} * word_chars) AS kept, n_failed_lines, reasons, CAST({_SOLID.format(t='clean_text')} AS BIGINT) AS clean_chars
 FROM f
 """
 
 
-OP4 = _judge_sql().replace("{more}", "")
+OP4 = _judge_sql()
 
 OP10 = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
