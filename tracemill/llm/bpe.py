@@ -4,12 +4,18 @@ The encoder reads bytes and emits tokens as soon as no byte that may still come
 is computed from the merge list: a boundary is changed from the right only through a chain of merges, each of which
 takes the left part of what the merge before it needed, at a lower rank; the longest such chain, in bytes, is the
 sufficient lookahead. Beyond it tokens are final, so the encoder holds a block and the lookahead, whatever the length
-of its input. The decoder turns token bytes to text with an incremental UTF-8 state machine, block by block.
+of its input. The decoder turns token bytes to text with an incremental UTF-8 state machine.
 
-Encoding is a projection of one row: no shuffle. Pieces between spaces are remembered, in bounded space.
+A text is read in stretches of about BLOCK characters that end where a pre-token must end (a space behind something
+else); a stretch without such a place is read pre-token by pre-token, and a long pre-token in blocks. Every pre-token
+goes through the encoder; what it emits for short ones is remembered, in bounded space. Digests are fed stretch by
+stretch, so beside the text itself the memory is constant.
 
-Edge cases: null and empty texts have no tokens; the strings of added tokens in a text become those tokens, as in the
-tokenizers library; other columns pass through `keep` or are dropped.
+Encoding is a projection of one row: no shuffle.
+
+Edge cases: an empty table gives no rows; null and empty texts have no tokens; texts of any length take the memory of a
+stretch; the strings of added tokens in a text become those tokens, as in the tokenizers library; ids must be numbers,
+null and repeated ones are rows like others; further columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ from .common import text_or_empty
 from .pieces import BYTE_PATTERN, Memory, byte_alphabet, cut, piece_text, simple_parts, stands_alone
 
 BLOCK = 4096
+#: A place where a pre-token ends whatever follows.
+SAFE = regex.compile(r"(?<=[^\s\x00-\x1f]) ")
 
 
 class Merges:
@@ -156,50 +164,80 @@ class Decoder:
 
 
 class Transducer:
-    """Encodes and decodes texts; remembers pre-tokens and pieces in bounded space."""
+    """Encodes and decodes texts in stretches; remembers pre-tokens and pieces in bounded space."""
 
     def __init__(self, path: str):
         self.merges = Merges(path)
+        self.encoder = Encoder(self.merges)
         self.pattern = regex.compile(BYTE_PATTERN)
         self.added = regex.compile("|".join(map(regex.escape, sorted(self.merges.added, key=len, reverse=True))) or r"(?!)")
         self.parts, self.memory = Memory(self._part, 250_000), Memory(self._piece, 250_000)
 
-    def _part(self, part: str) -> tuple[str, bytes]:
-        data = part.encode()
-        if len(data) <= self.merges.lookahead + BLOCK:
-            ids = self.merges.merged(data)
-        else:
-            encoder = Encoder(self.merges)
-            ids = encoder.feed(data) + encoder.flush()
+    def _emitted(self, ids: list[int]) -> tuple[str, bytes]:
         return ",".join(map(str, ids)), array("H", ids).tobytes()
 
-    def _whole(self, text: str) -> tuple[str, bytes]:
-        out, at = [], 0
-        for m in self.added.finditer(text):
-            out += [self.parts[p] for p in self.pattern.findall(text[at : m.start()])] + [(str(i := self.merges.added[m[0]]), array("H", [i]).tobytes())]
+    def _part(self, part: str) -> tuple[str, bytes]:
+        return self._emitted(self.encoder.feed(part.encode()) + self.encoder.flush())
+
+    def _tokens(self, text: str, start: int, end: int) -> Iterator[tuple[str, bytes]]:
+        """Pre-token by pre-token, with added tokens between; long ones in blocks, as their tokens become stable."""
+
+        def between(a: int, b: int) -> Iterator[tuple[str, bytes]]:
+            for m in self.pattern.finditer(text, a, b):
+                lo, hi = m.span()
+                if hi - lo <= BLOCK:
+                    yield self.parts[text[lo:hi]]
+                    continue
+                for at in range(lo, hi, BLOCK):
+                    if ids := self.encoder.feed(text[at : min(at + BLOCK, hi)].encode()):
+                        yield self._emitted(ids)
+                yield self._emitted(self.encoder.flush())
+
+        at = start
+        for m in self.added.finditer(text, start, end):
+            yield from between(at, m.start())
+            yield self._emitted([self.merges.added[m[0]]])
             at = m.end()
-        out += [self.parts[p] for p in self.pattern.findall(text[at:])]
-        return out[0] if len(out) == 1 else (",".join([x[0] for x in out]), b"".join([x[1] for x in out]))
+        yield from between(at, end)
+
+    def _joined(self, found: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+        return found[0] if len(found) == 1 else (",".join([x[0] for x in found]), b"".join([x[1] for x in found]))
 
     def _piece(self, piece: str) -> tuple[str, bytes] | None:
         if simple := simple_parts(piece):
-            found = [self.parts[p] for p in simple]
-            return found[0] if len(found) == 1 else (",".join([x[0] for x in found]), b"".join([x[1] for x in found]))
-        return self._whole(piece_text(piece)) if stands_alone(piece) else None
+            return self._joined([self.parts[p] for p in simple])
+        if not stands_alone(piece):
+            return None
+        text = piece_text(piece)
+        return self._joined(list(self._tokens(text, 0, len(text))))
+
+    def stream(self, text: str) -> Iterator[tuple[str, bytes]]:
+        """Decimal ids joined by commas, and ids as bytes, of one stretch after the other."""
+        at, n, memory = 0, len(text), self.memory
+        while at < n:
+            place = SAFE.search(text, at + BLOCK)
+            end = place.start() if place else n
+            if end - at <= 4 * BLOCK:
+                part = text[at:end]
+                # a stretch after the first starts with a space, which belongs to its first piece
+                found = [memory[p] for p in (part[1:].replace("\n", " \n").split(" ") if at else cut(part))]
+                yield self._joined(list(self._tokens(text, at, end)) if None in found else found)
+            else:
+                held: list[tuple[str, bytes]] = []
+                for x in self._tokens(text, at, end):
+                    held.append(x)
+                    if len(held) >= BLOCK or len(x[1]) > BLOCK:
+                        yield self._joined(held)
+                        held = []
+                if held:
+                    yield self._joined(held)
+            at = end
 
     def encode(self, text: str) -> tuple[str, array]:
-        """Decimal ids joined by commas, and the ids."""
-        memory = self.memory
-        found = [memory[p] for p in cut(text)] if text else []
-        if None in found:
-            found = [self._whole(text)]
+        """The whole text at once: decimal ids joined by commas, and the ids."""
+        found = list(self.stream(text))
         return ",".join([x[0] for x in found]), array("H", b"".join([x[1] for x in found]))
 
-    def decode(self, ids: array) -> Iterator[str]:
-        decoder = Decoder(self.merges)
-        for i in range(0, len(ids), BLOCK):
-            yield decoder.feed(ids[i : i + BLOCK], i + BLOCK >= len(ids))
-
 
 @functools.cache
 def transducer(path: str) -> Transducer:
@@ -215,12 +253,18 @@ def round_trip(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
         for batch in batches:
             rows, kept = [], []
             for text in batch.column(1):
-                line, found = t.encode(text.as_py())
-                digest = hashlib.sha256()
-                for part in t.decode(found):
-                    digest.update(part.encode())
-                rows.append((len(found), hashlib.sha256(line.encode()).hexdigest(), digest.hexdigest()))
-                kept.append(found.tolist() if ids else None)
+                one, two, decoder, n, comma, found = hashlib.sha256(), hashlib.sha256(), Decoder(t.merges), 0, b"", []
+                for line, part in t.stream(text.as_py()):
+                    stretch = array("H", part)
+                    n += len(stretch)
+                    one.update(comma + line.encode())
+                    two.update(decoder.feed(stretch).encode())
+                    comma = b","
+                    if ids:
+                        found += stretch
+                two.update(decoder.feed((), True).encode())
+                rows.append((n, one.hexdigest(), two.hexdigest()))
+                kept.append(found if ids else None)
             n, one, two = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string()), pa.array(kept, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 

@@ -36,13 +36,18 @@ def spelled(text: str) -> str:
 
 
 class Memory(dict):
-    """Values of recent keys: two generations of at most `size` keys each, so the space is bounded and frequent keys stay."""
+    """Values of recent keys of at most LONGEST characters: two generations of at most `size` keys each, so the space is
+    bounded and frequent keys stay. Longer keys are made anew each time."""
+
+    LONGEST = 64
 
     def __init__(self, make: Callable[[str], object], size: int = 400_000):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key: str):
+        if len(key) > self.LONGEST:
+            return self.make(key)
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
