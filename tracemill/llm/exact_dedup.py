@@ -4,13 +4,15 @@ A normalised text is cut where its content says so (after a sentence mark, betwe
 equal texts have equal chunks wherever they stand. Each chunk's bytes are shuffled once, into the chunk dictionary,
 where an identifier is verified: it must name one chunk text only. A document is then its ordered list of identifiers
 (the recipe), a fiftieth of its text, and only recipes are grouped and joined. If two chunk texts ever share an
-identifier, the documents that hold it get recipes of SHA-256 digests instead, so the result stays exact.
+identifier, all recipes are made of whole SHA-256 digests instead, so the result stays exact.
 
 Hot groups: grouping recipes combines in the map tasks first, so a group of any size sends one row per task; the join
 back has one row per group on its small side, and adaptive execution can split the large one.
 
-Edge cases: null texts count as empty, and all empty texts are one group; of rows with the same id and the same text
-each counts in group_size and each is marked kept if the id is the group's smallest; null ids never win over others.
+Edge cases: an empty table gives no rows; null texts count as empty, and all empty texts are one group; a very long text
+is one row with a recipe of a fiftieth of its length; of rows with the same id and the same text each counts in
+group_size and each is marked kept if the id is the group's smallest; null ids never win over others; further columns
+are ignored, or pass through `keep` in a struct, so their names cannot clash (result columns win over kept ones).
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, text_or_empty
+from .common import WS, struct_of, text_or_empty
 
 #: Least and greatest chunk length in UTF-16 units; a chunk ends after the first sentence mark between them.
 MIN_CHUNK, MAX_CHUNK = 256, 2048
@@ -34,35 +36,34 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
+def identifier(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
 def collisions(docs: DataFrame, text: str = "text") -> DataFrame:
     """Identifiers of more than one chunk text. Each distinct chunk is moved once, after combining in the map tasks."""
-    rows = docs.select(F.explode(chunks(normalised(text))).alias("chunk")).select(F.xxhash64("chunk").alias("id"), "chunk")
+    rows = docs.select(F.explode(chunks(normalised(text))).alias("chunk")).select(identifier(F.col("chunk")).alias("id"), "chunk")
     return rows.groupBy("id", "chunk").agg(F.lit(1).alias("one")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
 
 
+def _recipes(docs: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
+    """keep (a struct), doc_id, recipe and text_sha256 of each row."""
+    d = docs.select(struct_of(keep, "keep"), "doc_id", normalised(text).alias("norm")).select("keep", "doc_id", "norm", chunks(F.col("norm")).alias("chunks"))
+    verified = collisions(docs, text).isEmpty()
+    name = identifier if verified else lambda c: F.sha2(c, 256)
+    return d.select("keep", "doc_id", F.transform("chunks", lambda c: name(c)).alias("recipe"), F.sha2("norm", 256).alias("text_sha256"))
+
+
 def recipes(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`keep`, recipe (verified chunk identifiers in order) and text_sha256 of each row."""
-    d = docs.select(*keep, normalised(text).alias("_norm")).select(*keep, "_norm", chunks(F.col("_norm")).alias("_chunks"))
-    bad = collisions(docs, text)
-    by_id = F.transform("_chunks", lambda c: F.xxhash64(c))
-    if bad.isEmpty():
-        return d.select(*keep, by_id.alias("recipe"), F.sha2("_norm", 256).alias("text_sha256"))
-    # not met in practice: an identifier stands for two texts, so digests take its place wherever it occurs
-    d = d.withColumns({"_ids": by_id, "_row": F.monotonically_increasing_id()})
-    digest = F.conv(F.substring(F.sha2(F.col("c"), 256), 1, 15), 16, 10).cast("long")
-    fixed = (
-        d.select("_row", F.posexplode("_chunks").alias("p", "c")).select("_row", "p", F.xxhash64("c").alias("id"), digest.alias("d"))
-        .join(bad.withColumn("hit", F.lit(True)), "id", "left")
-        .groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", F.when(F.col("hit"), F.col("d")).otherwise(F.col("id")).alias("v")))), lambda x: x["v"]).alias("_fixed"))
-    )
-    return d.join(fixed, "_row", "left").select(*keep, F.coalesce("_fixed", "_ids").alias("recipe"), F.sha2("_norm", 256).alias("text_sha256"))
+    return _recipes(docs, keep, text).select(*(F.col(f"keep.`{c}`") for c in keep if c not in ("recipe", "text_sha256")), "recipe", "text_sha256")
 
 
 def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """One row per input row: keep columns, keep_id, group_size, kept, text_sha256."""
-    rows = recipes(docs, keep, text)
+    rows = _recipes(docs, keep, text)
+    result = {
+        "keep_id": F.col("keep_id"), "group_size": F.col("group_size"), "kept": F.col("doc_id").eqNullSafe(F.col("keep_id")), "text_sha256": F.col("text_sha256")
+    }
     best = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return (
-        rows.withColumnRenamed("recipe", "_r").join(best, F.col("_r") == F.col("recipe"))
-        .select(*keep, "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
-    )
+    return rows.join(best, "recipe").select(*(F.col(f"keep.`{c}`") for c in keep if c not in result), *(v.alias(c) for c, v in result.items()))
