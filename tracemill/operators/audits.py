@@ -111,3 +111,20 @@ def digest(rows: DataFrame, split: str, columns: list[str]) -> DataFrame:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def lock(digests: DataFrame, path: str, split: str = "split") -> DataFrame:
+    """Freeze the digests of splits at a path; where they are frozen already, a digest that differs is an error.
+
+    Returns what is frozen. The first writer wins: a folder that exists is never written again.
+    """
+    spark = digests.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
+        digests.write.mode("errorifexists").json(path)
+    frozen = spark.read.schema(digests.schema).json(path)
+    changed = frozen.exceptAll(digests).unionByName(digests.exceptAll(frozen)).select(split).distinct()
+    names = [r[0] for r in changed.collect()]  # a row for each split
+    if names:
+        raise ValueError(f"splits differ from the lock: {sorted(map(str, names))}")
+    return frozen

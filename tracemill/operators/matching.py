@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -133,7 +134,7 @@ def islands(rows: DataFrame, tol: float, key: str = "mz") -> DataFrame:
 
 
 def align(rows: DataFrame, mz_tol: float, rt_tol: float) -> DataFrame:
-    """Greedy alignment of detectors' tables (algo, feature, mz, rt, intensity) to running centroids.
+    """Greedy alignment of detectors' tables (algo, feature, mz, rt, intensity) to running centroids, kept sorted by m/z.
 
     A row joins the first centroid within both tolerances that its detector may join, and moves it; order is detector, mz, rt.
     Centroids stay inside their m/z island, so islands are independent: aligned, n, mz, rt and greatest intensity per detector.
@@ -144,7 +145,7 @@ def align(rows: DataFrame, mz_tol: float, rt_tol: float) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # one island after the other; what is held is the centroids of one
-        island, centres = None, []
+        island, centres, line = None, [], []
 
         def close() -> list[tuple]:
             return [(island, k, c["n"], c["mz"], c["rt"], c["by"]) for k, c in enumerate(centres)]
@@ -154,12 +155,17 @@ def align(rows: DataFrame, mz_tol: float, rt_tol: float) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 if r.island != island:
                     out += close()
-                    island, centres = r.island, []
-                c = next((c for c in centres if abs(c["mz"] - r.mz) <= mz_tol and abs(c["rt"] - r.rt) <= rt_tol), None)
-                if c is None:
-                    c = {"mz": r.mz, "rt": r.rt, "n": 0, "by": {}}
-                    centres.append(c)
+                    island, centres, line = r.island, [], []
+                near = (k for _, k in line[bisect_left(line, (r.mz - 2 * mz_tol, -1)) : bisect_left(line, (r.mz + 2 * mz_tol, -1))] if abs(centres[k]["mz"] - r.mz) <= mz_tol and abs(centres[k]["rt"] - r.rt) <= rt_tol)
+                k = min(near, default=None)  # the first of them that was made
+                if k is None:
+                    k = len(centres)
+                    centres.append({"mz": r.mz, "rt": r.rt, "n": 0, "by": {}})
+                else:
+                    del line[bisect_left(line, (centres[k]["mz"], k))]
+                c = centres[k]
                 c["mz"], c["rt"], c["n"] = (c["mz"] * c["n"] + r.mz) / (c["n"] + 1), (c["rt"] * c["n"] + r.rt) / (c["n"] + 1), c["n"] + 1
+                insort(line, (c["mz"], k))
                 c["by"][r.algo] = max(c["by"].get(r.algo, 0.0), 0.0 if pd.isna(r.intensity) else r.intensity)
             yield pd.DataFrame(out, columns=names)
         yield pd.DataFrame(close(), columns=names)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -25,21 +27,24 @@ def confusion(rows: DataFrame, by: list[str] | None = None, threshold: float = 0
     )
 
 
-def ranked_counts(rows: DataFrame, by: list[str] | None = None, buckets: int = 64) -> DataFrame:
+def ranked_counts(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts of positives and negatives at each distinct score and at all higher ones.
 
-    Tied scores are one point. Scores in [0, 1] are cut into buckets; the sums of whole buckets are one small table, so
-    the running sums inside a bucket are a window of that bucket alone.
+    Tied scores are one point. Points are dealt by ranges of the score as it is distributed, and written with their range;
+    the sums of whole ranges are one small table, so the running sums inside a range are a window of that range alone.
     """
     by = by or []
     points = rows.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    points = points.withColumn("bucket", F.least(F.floor(F.col("score") * buckets), F.lit(buckets - 1)))
-    sums = points.groupBy(*by, "bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    above = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    points = written(points.repartitionByRange(*by, F.col("score").desc()).withColumn("range", F.spark_partition_id()), "points")
+    sums = points.groupBy(*by, "range").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
+    above = Window.partitionBy(*(by or [F.lit(0)])).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     total = Window.partitionBy(*(by or [F.lit(0)]))
-    sums = sums.select(*by, "bucket", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("an"), F.sum("bp").over(total).alias("n_pos"), F.sum("bn").over(total).alias("n_neg"))
-    inside = Window.partitionBy(*by, "bucket").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return points.join(sums, [*by, "bucket"]).select(*by, "score", "pos", "neg", (F.col("ap") + F.sum("pos").over(inside)).alias("tp"), (F.col("an") + F.sum("neg").over(inside)).alias("fp"), "n_pos", "n_neg")
+    sums = sums.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("range").alias("_range"), F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("an"), F.sum("bp").over(total).alias("n_pos"), F.sum("bn").over(total).alias("n_neg"))
+    inside = Window.partitionBy(*by, "range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("range") == F.col("_range")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return points.join(sums, same).select(*by, "score", "pos", "neg", (F.col("ap") + F.sum("pos").over(inside)).alias("tp"), (F.col("an") + F.sum("neg").over(inside)).alias("fp"), "n_pos", "n_neg")
 
 
 def ranking(rows: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -113,3 +113,11 @@ def all_missing(rows: DataFrame, attributes: list[str]) -> tuple[DataFrame, Data
     """The rows with some attribute, and those without any."""
     none = F.coalesce(*(F.col(a).cast("double") for a in attributes)).isNull()
     return rows.filter(~none), rows.filter(none)
+
+
+def dhash(matrix: Column) -> Column:
+    """16 hex digits of the 64 comparisons left > right in a matrix of 8 rows of 9 grey values, row after row."""
+    bit = lambda k: (F.get(matrix, (k + F.floor(k / 8)).cast("int")) > F.get(matrix, (k + F.floor(k / 8) + 1).cast("int"))).cast("int")
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
+    digits = F.transform(F.sequence(F.lit(0), F.lit(60), F.lit(4)), lambda j: F.lower(F.hex(sum((F.get(bits, j + k) * 2 ** (3 - k) for k in range(1, 4)), F.get(bits, j) * 8).cast("bigint"))))
+    return F.array_join(digits, "")

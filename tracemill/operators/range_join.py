@@ -57,6 +57,15 @@ def near_pairs(rows: DataFrame, key: str, x: str, y: str, ppm: float, gap: float
     return left.join(right, ["source", "bx", "by"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ya") - F.col("yb")) <= gap) & (ppm_of <= ppm)).select("source", "a", "b", ppm_of.alias("ppm"), F.abs(F.col("ya") - F.col("yb")).alias("gap"))
 
 
+def near_duplicates(pairs: DataFrame, marks: DataFrame, most: int = 4) -> DataFrame:
+    """Pairs with the Hamming distance of their difference hashes (16 hex digits), whether it is `most` at most, and whether their labels differ."""
+    for side in "ab":
+        pairs = pairs.join(marks.select(F.col("id").alias(side), F.col("dhash").alias(f"h{side}"), F.col("label").alias(f"l{side}")), side)
+    half = lambda c, k: F.conv(F.substring(c, k, 8), 16, 10).cast("bigint")
+    hamming = sum((F.bit_count(half("ha", k).bitwiseXOR(half("hb", k))) for k in (1, 9)), F.lit(0)).cast("int")
+    return pairs.select("a", "b", "ppm", "gap", hamming.alias("hamming"), (hamming <= most).alias("high_similarity"), (F.col("la") != F.col("lb")).alias("label_conflict"))
+
+
 def top_by(rows: DataFrame, part: str, order: list, n: int) -> DataFrame:
     """The first n rows of each part in a total order."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*order))).filter(F.col("rank") <= n)

@@ -135,6 +135,20 @@ def seed_relation(seeds: DataFrame, peaks: DataFrame, tolerance: float = 0.05, r
     )
 
 
+def relation_checks(relations: DataFrame, furthest: float) -> DataFrame:
+    """name, value (rows that break it) and status of the contract checks on the rows of seed_relation."""
+    matched, own = F.col("n_matched") > 0, F.col("relation").isin("false", "shoulder")
+    faults = {
+        "bound_order": ~((F.col("seed_lo") < F.col("seed_rt")) & (F.col("seed_rt") < F.col("seed_hi"))),
+        "bound_move": ~own & ((F.col("seed_rt") - F.col("seed_lo") > furthest) | (F.col("seed_hi") - F.col("seed_rt") > furthest)),
+        "label_is_match": (F.col("relation") == "false") == matched, "highest_of_matched": F.col("highest").isNull() == matched,
+        "union_holds_seed": ~own & ((F.col("union_lo") > F.col("seed_lo")) | (F.col("union_hi") < F.col("seed_hi"))),
+    }
+    one = relations.agg(*(F.count_if(v).alias(c) for c, v in faults.items()))
+    rows = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in faults))).alias("x")).select("x.*")
+    return rows.withColumn("status", F.when(F.col("value") == 0, "pass").otherwise("fail"))
+
+
 def logistic_baseline(rows: DataFrame, label: str, columns: list[str], split: str = "split", key: str = "seed", permute: bool = False) -> DataFrame:
     """key, label, split, score of every row, from a logistic regression on columns with train medians for nulls and train scales.
 

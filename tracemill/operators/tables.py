@@ -111,3 +111,27 @@ def stale(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
 def require_unique(rows: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def require(rows: DataFrame, faults: DataFrame, message: str) -> DataFrame:
+    """rows, or an error if `faults` has any row; checked where the rows are read, by one row of a count."""
+    bad = faults.agg(F.count("*").alias("_bad"))  # one row
+    ok = F.when(F.col("_bad") > 0, F.raise_error(F.concat(F.lit(message + ": "), F.col("_bad").cast("string"))).cast("boolean")).otherwise(True)
+    return rows.crossJoin(F.broadcast(bad)).filter(ok).drop("_bad")
+
+
+def lookup(rows: DataFrame, dimension: DataFrame, key: str, other: str) -> DataFrame:
+    """rows with the columns of a dimension by key; a key that is null or that the dimension lacks is an error."""
+    unknown = rows.select(key).join(dimension, F.col(key) == F.col(other), "left_anti")
+    return require(rows.join(dimension, F.col(key) == F.col(other)).drop(other), unknown, f"unknown {key}")
+
+
+def exactly(rows: DataFrame, part: str, n: int) -> DataFrame:
+    """rows, or an error if a part has not n of them."""
+    return require(rows, rows.groupBy(part).agg(F.count("*").alias("_n")).filter(F.col("_n") != n), f"parts without {n} rows")
+
+
+def single_value(rows: DataFrame, part: str, value: str) -> DataFrame:
+    """part, value and n_rows of each part; a part with two values or none is an error."""
+    s = rows.groupBy(part).agg(F.min(value).alias(value), F.count_distinct(value).alias("_k"), F.count("*").alias("n_rows"))
+    return require(s.drop("_k"), s.filter("_k <> 1"), f"parts without one {value}")

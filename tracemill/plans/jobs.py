@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import attributes, boundaries, peaks, records, traces
+from ..operators import attributes, boundaries, normalize, peaks, range_join, records, tables, traces
 from ..sources import proxies as P
 from .peaks import _MAX
-from .queries import _DENSE, _T, query, r
+from .queries import _DENSE, _NEAR, _T, SQL, _accounts, query, r
 
 _E = "1e-12"
 _CROSS = lambda x1, y1, x2, y2: f"CASE WHEN abs({y2} - {y1}) < {_E} THEN ({x1} + {x2}) / 2 ELSE {x1} + greatest(0.0, least(1.0, (h - {y1}) / ({y2} - {y1}))) * ({x2} - {x1}) END"
@@ -198,3 +198,37 @@ def e11(spark, sf):
     s = traces.shape(P.traces(spark, sf)).join(P.table(spark, sf, "customer").select(F.col("c_custkey").alias("trace"), (F.col("c_acctbal") > 4500).cast("int").alias("label")), "trace")
     d = s.withColumn("split", F.when(F.pmod(F.xxhash64("trace"), F.lit(5)) == 0, "test").otherwise("train"))
     return records.logistic_baseline(d, "label", ["SNR", "CV", "TPAS", "ZZ", "DZZ", "PCC", "SKEW", "DENT", "DM", "JAG"], key="trace")
+
+
+@query("G12_one_tolerance", f"SELECT source, {r('any_value(ppm)')} AS ppm, count(*) AS n_rows FROM (SELECT source, round(tol / mz * 1e6, 3) AS ppm FROM ({P.FEATURES})) GROUP BY source")
+def g12(spark, sf):
+    return tables.single_value(P.features(spark, sf).select("source", F.round(F.col("tol") / F.col("mz") * 1e6, 3).alias("ppm")), "source", "ppm")
+
+
+_MATRIX = "SELECT vec_id, label, list_concat(embedding, embedding[1:8]) AS m FROM embeddings"
+_BITS = f"SELECT vec_id, label, list_transform(range(64), lambda k: CASE WHEN m[k + k // 8 + 1] > m[k + k // 8 + 2] THEN 1 ELSE 0 END) AS bits FROM ({_MATRIX})"
+
+
+def _dhash(spark, sf):
+    e = P.table(spark, sf, "embeddings")
+    return e.select("vec_id", "label", normalize.dhash(F.concat("embedding", F.slice("embedding", 1, 8))).alias("dhash"))
+
+
+@query("A33_dhash_hex", f"SELECT vec_id, array_to_string(list_transform(range(16), lambda j: substr('0123456789abcdef', CAST(8 * bits[4 * j + 1] + 4 * bits[4 * j + 2] + 2 * bits[4 * j + 3] + bits[4 * j + 4] + 1 AS BIGINT), 1)), '') AS dhash FROM ({_BITS})")
+def a33_hex(spark, sf):
+    return _dhash(spark, sf).select("vec_id", "dhash")
+
+
+@query("J9_near_duplicates", f"""WITH n AS ({_NEAR}), b AS ({_BITS})
+SELECT a, n.b AS b, {r('ppm')} AS ppm, {r('gap')} AS gap, CAST(list_sum(list_transform(range(1, 65), lambda k: abs(x.bits[k] - y.bits[k]))) AS INTEGER) AS hamming,
+  list_sum(list_transform(range(1, 65), lambda k: abs(x.bits[k] - y.bits[k]))) <= 30 AS high_similarity, x.label <> y.label AS label_conflict FROM n JOIN b x ON x.vec_id = a JOIN b y ON y.vec_id = n.b""")
+def j9_duplicates(spark, sf):
+    pairs = range_join.near_pairs(_accounts(spark, sf), "id", "mz", "rt", 400, 2)
+    return range_join.near_duplicates(pairs, _dhash(spark, sf).select(F.col("vec_id").alias("id"), "dhash", "label"), 30)
+
+
+@query("V2_relation_checks", f"""WITH j AS ({SQL['J12_seed_relation']}), c AS (SELECT 'bound_order' AS name, count(*) FILTER (NOT (seed_lo < seed_rt AND seed_rt < seed_hi)) AS value FROM j UNION ALL SELECT 'bound_move', count(*) FILTER (relation IN ('single', 'split', 'shift') AND (seed_rt - seed_lo > 6 OR seed_hi - seed_rt > 6)) FROM j
+UNION ALL SELECT 'label_is_match', count(*) FILTER ((relation = 'false') <> (n_matched = 0)) FROM j UNION ALL SELECT 'highest_of_matched', count(*) FILTER ((highest IS NULL) <> (n_matched = 0)) FROM j
+UNION ALL SELECT 'union_holds_seed', count(*) FILTER (relation NOT IN ('false', 'shoulder') AND (union_lo > seed_lo OR union_hi < seed_hi)) FROM j) SELECT name, value, CASE WHEN value = 0 THEN 'pass' ELSE 'fail' END AS status FROM c""")
+def v2(spark, sf):
+    return records.relation_checks(j12(spark, sf), 6.0)

@@ -490,7 +490,7 @@ def j17(spark, sf):
 @query("J7_dimension_lookup", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def j7(spark, sf):
     c, n, g = (P.table(spark, sf, t) for t in ("customer", "nation", "region"))
-    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(g, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+    return tables.lookup(tables.lookup(c, n, "c_nationkey", "n_nationkey"), g, "n_regionkey", "r_regionkey").select("c_custkey", "n_name", "r_name")
 
 
 @query("J8_label_merge", f"SELECT seed, source, coalesce(label, -1) AS label, label IS NOT NULL AS labelled FROM ({P.SEEDS})")
