@@ -8,7 +8,8 @@ Training reads a bounded sample of the labelled rows (SAMPLE rows, those of the
 vectors, in one task. Scoring covers every whole text, where it lies, with the weights sent to the tasks: their size is
 fixed by BITS, whatever the data.
 
-Edge cases: null and empty texts have no n-grams and score the bias; without training rows every score is 0.5; rows
+Edge cases: an empty table gives no scores; a text of any length is one sparse vector, in pieces of whole texts; further
+columns, whatever their names, are never read; null and empty texts have no n-grams and score the bias; without training rows every score is 0.5; rows
 with null labels or ids are not learnt from; a document with several label rows counts once for each.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 from .runs import parts
-from .textnum import BYTE, U, Spans, mix, word_spans
+from .textnum import U, mix, word_hashes, word_spans
 
 BITS, SCALE, SAMPLE, EPOCHS = 18, 20.0, 12_000, 4
 #: Of follow-the-regularised-leader: learning rate, smoothing, L1 and L2 weights.
@@ -46,13 +47,13 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Text index and hashed slot of each n-gram."""
     starts, ends, words = word_spans(data, offsets)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(words))
-    word = Spans(BYTE[data])(starts, ends)
+    word = word_hashes(data, starts, ends)
     kind = _KIND[data]
     first = np.ones(len(data), bool)
     first[1:] = kind[1:] != kind[:-1]
     first[starts] = True
     place = np.concatenate(([0], np.cumsum(first)))
-    shape = Spans(BYTE[kind[first]])(place[starts], place[ends]) if len(starts) else word
+    shape = word_hashes(kind[first], place[starts], place[ends], 3)
     pair = mix(word[:-1] * U(3) + word[1:] * U(7))
     pair[word[:-1] == word[1:]] = U(1)
     same = text[:-1] == text[1:]

@@ -11,15 +11,20 @@ Two documents link when the Jaccard similarity of their sets of `size`-word shin
 3. Equal sets are one class from the start. Classes of identical prefix and size are one group; only group
    representatives enter the posting lists. Pairs are filtered by size, by class of links known so far, and by parity
    sketches (a lower bound of the difference), before sets are compared.
-4. First each group is held against the head of each of its lists, the one with the most common extract, which ties large
-   groups of near copies together with as many pairs as rows; then, with groups expanded to members, lists that still hold
+4. First each group is held against one head of its lists, the one with the most common extract, which ties large
+   groups of near copies together with no more pairs than rows; then, with groups expanded to members, lists that still hold
    different components go to the shelf of their head, where sketches of all pairs of different components are compared
    block by block as arrays, and only pairs that may link are made. No link between components is left unchecked.
 
 Hot keys: counts combine in the map tasks, joins back have one row for a key on the small side.
 
-Edge cases: null and empty texts have no shingles and link with nothing; texts of fewer words than a shingle have one;
-repeated rows link through their equal sets; null ids come last; further columns are ignored.
+Shingles are 64-bit hashes that are not linear in their words (textnum.fold), so no text makes them agree for every
+seed; sets are compared as sets of hashes. By chance a pair of sets of a thousand shingles agrees in one wrong hash once
+in ten trillion pairs.
+
+Edge cases: an empty table gives no rows; null and empty texts have no shingles and link with nothing; texts of fewer
+words than a shingle have one; a very long text is one set in one task; repeated rows link through their equal sets; null
+ids come last, and ids must be numbers; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import unique_ids, written
 from .components import connected
 from .runs import parts
-from .textnum import BYTE, U, Spans, mix, word_spans
+from .textnum import U, gram_hashes, mix, word_hashes, word_spans
 
 #: Least similarity in percent and words of a shingle of the registered query; callers can ask for others.
 PERCENT, SHINGLE = 90, 3
@@ -50,13 +55,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     """Distinct shingle hashes of each text, ascending, and n + 1 offsets."""
     data = _LOWER[data]
     starts, ends, words = word_spans(data, offsets)
-    units = Spans(BYTE[data])(starts, ends)
+    units = word_hashes(data, starts, ends)
     counts = np.diff(words)
-    first = np.concatenate([np.arange(max(0, len(units) - size + 1)), words[:-1][(counts > 0) & (counts < size)]])
-    text = np.repeat(np.arange(len(counts)), counts)[first] if len(units) else np.zeros(0, np.int64)
-    last = np.minimum(first + size, words[text + 1])
-    whole = last - first == np.minimum(size, counts[text])
-    text, h = text[whole], Spans(units)(first[whole], last[whole])
+    of = np.repeat(np.arange(len(counts)), counts)
+    h = gram_hashes(units, size)
+    whole = of[: len(h)] == of[size - 1 :]
+    found = [(of[: len(h)][whole], h[whole])]
+    for few in range(1, size):
+        short = np.flatnonzero(counts == few)
+        if len(short):
+            found.append((short, mix(gram_hashes(units, few)[words[short]] + U(few))))
+    text, h = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((h, text))
     text, h = text[order], h[order]
     new = np.ones(len(h), bool)
@@ -235,8 +244,8 @@ def components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     lists = written(members.join(grouped.filter("_id = g").select("_id"), "_id", "left_semi").select(F.col("_id").alias("g"), "weight", F.explode("tokens").alias("token")), "lists")
     sets = written(_sets(d, members.select("_id"), size), "sets")
 
-    # members against their group, and every group against the head of each of its lists: the one whose extract is the
-    # most common, so the text that near copies have been made from
+    # members against their group, and every group against the best of the heads of its lists (a list's head is the one
+    # whose extract is the most common, so the text that near copies have been made from): one pair for each document
     head = F.max(F.struct("weight", (-F.col("_id")).alias("first"), F.col("_id").alias("head"))).alias("x")
     tops = lists.withColumnRenamed("g", "_id").groupBy("token").agg(head, F.count("*").alias("m")).filter("m > 1").select("token", "x.head")
     stars = lists.join(tops, "token").filter("g != head").select(F.least("g", "head").alias("a"), F.greatest("g", "head").alias("b"))

@@ -1,17 +1,22 @@
 """Substring deduplication over words: De Bruijn compaction.
 
-Windows of WINDOW words are the edges of a De Bruijn graph over the corpus. Consecutive edges of a document under one
-anchor are a path, one row. A repeated anchor that is always followed by the same content is a path without branches:
-it stays compact, whatever number of edges and copies it stands for, and the joins settle it as a whole. Only where
-contents differ does the graph branch; there each distinct path is expanded to edges, and edges are joined. Source
-coordinates (document, path, edge) decide at the end: in every document the spans are laid over the words again,
-repeats within the document are found from its own edges, and what an earlier document has is removed.
-
-Paths are identified by anchor and content, 64 bits each of one base, and edges by the anchor and a hash of a second
-base. Words are not compared with the source's: nothing is verified beyond the hashes.
-
-Edge cases: null and empty texts have no words; texts shorter than a window lose nothing; of rows with the same id the
-one that sorts first by text counts as earlier; null ids come last; further columns are ignored.
+Windows of WINDOW words are the edges of a De Bruijn graph over the corpus, its nodes the WINDOW - 1 words that two
+neighbouring windows share. The whole graph is never built: only windows under an anchor that occurs twice can be
+repeated (runs.py), and consecutive windows under one anchor are a path, one row from the start.
+
+1. Paths of equal words are one path, with the coordinates of its source: the least document, the first place in it.
+   All its other occurrences are repeats, whatever number of edges and copies it stands for.
+2. Where an anchor has several paths the graph may branch: the sources of these paths are expanded to edges, and an edge
+   that stands in several sources is a repeat in all but the first of them.
+3. Degrees of the nodes between repeated edges come from counts of distinct neighbours. Edges that meet in a node with one
+   edge in and one edge out are a nonbranching path; joins contract such paths in rounds of doubling (a path under one anchor has at most
+   WINDOW - GRAM + 1 edges, so the rounds are few and fixed), and what moves on is one span for each path and occurrence.
+4. Source coordinates verify: paths and edges are told apart by 128-bit BLAKE2 digests of the words at their coordinates,
+   never by anchor or node hashes alone. In every document the spans are laid over the words again.
+
+Edge cases: an empty table gives no rows; null and empty texts have no words; texts shorter than a window lose nothing;
+long texts are read as numpy arrays in one task; of rows with the same id the one that sorts first by text counts as
+earlier; null ids come last, and ids must be numbers; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,100 +26,103 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unique_ids
-from .runs import Unit, cover, flat, parts, per_text, repeated
-from .textnum import BASES, Spans
+from .common import discard, unique_ids, written
+from .runs import Unit, Words, cover, flat, numbers, parts, per_text, repeated
 
 WINDOW, GRAM = 20, 5
+#: What names an edge: its anchor and the two halves of the digest of its words.
+EDGE = ["a", "e", "f"]
 
 
-def _edges(docs: DataFrame, paths: DataFrame, unit: Unit) -> DataFrame:
-    """_id, p (start of the edge in its document, in words), a, e (hash of the edge) for each edge of the given paths."""
-    lists = paths.groupBy("_id").agg(F.collect_list("i").alias("runs"))
+def _edges(docs: DataFrame, paths: DataFrame, window: int) -> DataFrame:
+    """_id, p (start of the edge in its document, in words), a, e and f (digest) for the edges of the paths."""
+    lists = paths.groupBy("_id").agg(F.collect_list(F.struct("first", "n", "a")).alias("runs"))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        row, run = flat(batch.column(3))
+        row, runs = flat(batch.column(3))
+        first, n, a = (numbers(x) for x in runs.flatten())
         for lo, hi, data, offsets in parts(batch.column(2)):
-            units, at, _, _ = unit.read(data, offsets)
-            r = unit.runs(units, at)
             own = (row >= lo) & (row < hi)
             if not own.any():
                 continue
-            k = np.searchsorted(r["text"], row[own] - lo) + run[own]
-            n = r["last"][k] - r["first"][k] + 1
-            which = np.repeat(np.arange(len(k)), n)
-            start = r["first"][k][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            text = r["text"][k][which]
-            edge = Spans(units, BASES[1])(start, start + unit.window)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[lo:hi][text], pa.int64()), pa.array((start - at[text]).astype(np.int32)), pa.array(r["anchor"][k][which].view(np.int64)), pa.array(edge.view(np.int64))],
-                ["_id", "p", "a", "e"],
-            )
-
-    return per_text(docs, lists, ["runs"], work, "_id long, p int, a long, e long")
+            w = Words(data, offsets)
+            size = n[own]
+            which = np.repeat(np.arange(len(size)), size)
+            p = first[own][which] + np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+            text = row[own][which]
+            at = w.at[text - lo] + p
+            blake, plain = hashlib.blake2b, w.plain
+            spans = zip(w.place[at].tolist(), (w.place[at + window] - 1).tolist(), strict=True)
+            digest = np.frombuffer(b"".join([blake(plain[x:y], digest_size=16).digest() for x, y in spans]), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[text], pa.int64()), pa.array(p.astype(np.int32)), pa.array(a[own][which]), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["_id", "p", *EDGE])
+
+    return per_text(docs, lists, ["runs"], work, "_id long, p int, a long, e long, f long")
+
+
+def _compacted(occurrences: DataFrame, longest: int, window: int) -> DataFrame:
+    """Of each repeated edge: he, hf (the edge where its nonbranching path begins, or one fewer than `window` edges before, so that the first and the last edge of a stretch cover all of it) and steps from there.
+
+    Two edges share a node where one follows the other in a document. A node with one edge in and one edge out is passed
+    straight through, so its edges are linked, and the links are contracted in rounds of doubling.
+    """
+    here = Window.partitionBy("_id", "a").orderBy("p")
+    after = occurrences.select(*EDGE, (F.lead("p").over(here) == F.col("p") + 1).alias("next"), F.lead("e").over(here).alias("e2"), F.lead("f").over(here).alias("f2"))
+    nodes = after.filter("next").groupBy(*EDGE, "e2", "f2").agg(F.lit(1).alias("one"))
+    one = F.count("*").alias("degree")
+    out = nodes.groupBy(*EDGE).agg(one).filter("degree = 1").drop("degree")
+    into = nodes.groupBy("a", "e2", "f2").agg(one).filter("degree = 1").drop("degree")
+    links = nodes.join(out, EDGE).join(into, ["a", "e2", "f2"]).select("a", F.col("e2").alias("e"), F.col("f2").alias("f"), F.col("e").alias("he"), F.col("f").alias("hf"))
+    edges = occurrences.groupBy(*EDGE).agg(F.lit(1).alias("one")).drop("one")
+    paths = edges.join(links.filter("e != he or f != hf"), EDGE, "left").withColumn("steps", F.when(F.col("he").isNull(), 0).otherwise(1))
+    paths = paths.withColumns({"he": F.coalesce("he", "e"), "hf": F.coalesce("hf", "f")})
+    reach = 1
+    while reach < longest and 2 * reach < window:
+        paths = written(paths, "contracted")
+        far = paths.select("a", F.col("e").alias("he"), F.col("f").alias("hf"), F.col("he").alias("e2"), F.col("hf").alias("f2"), F.col("steps").alias("more"))
+        paths = paths.join(far, ["a", "he", "hf"]).select(*EDGE, F.col("e2").alias("he"), F.col("f2").alias("hf"), (F.col("steps") + F.col("more")).alias("steps"))
+        reach *= 2
+    return paths
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, n_spans, and kept_text (null unless `texts`)."""
-    unit = Unit(window, gram, True)
     d = unique_ids(docs)
-    paths = repeated(d, unit)
-    # a path that an earlier document has goes as a whole, whatever number of edges it stands for
-    whole = paths.filter("_id != source").select("_id", "i")
-    # where paths branch: one source document for each content, and the edges of the sources against each other
-    edges = _edges(d, paths.filter("_id = source and contents > 1").select("_id", "i"), unit)
-    firsts = edges.groupBy("a", "e").agg(F.min("_id").alias("source"), F.max("_id").alias("other")).filter("source != other").drop("other")
-    single = edges.join(firsts, ["a", "e"]).filter("_id != source")
-    spans = (
-        whole.select("_id", "i", F.lit(None).cast("int").alias("p"))
-        .unionByName(single.select("_id", F.lit(None).cast("int").alias("i"), "p"))
-        .groupBy("_id").agg(F.collect_list("i").alias("runs"), F.collect_list("p").alias("edges"))
-    )
+    paths = repeated(d, Unit(window, gram, True))
+    source = (F.col("_id") == F.col("source")) & (F.col("k") == 0)
+    whole = paths.filter(~source).select("_id", F.col("first").alias("lo"), (F.col("first") + F.col("n") - 1).alias("hi"))
+    edges = written(_edges(d, paths.filter(source & (F.col("contents") > 1)).select("_id", "first", "n", "a"), window), "edges")
+    twice = edges.groupBy(*EDGE).agg(F.min("_id").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    occurrences = written(edges.join(twice, EDGE), "occurrences")
+    discard(edges)
+    inside = Window.partitionBy(*EDGE, "_id").orderBy("p")
+    later = occurrences.withColumn("k", F.row_number().over(inside)).filter("_id != least or k > 1").select("_id", "p", *EDGE)
+    compact = later.join(_compacted(occurrences, window - gram + 1, window), EDGE).groupBy("_id", "a", "he", "hf", F.col("p") - F.col("steps")).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    spans = whole.unionByName(compact.select("_id", "lo", "hi")).groupBy("_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        run_row, run = flat(batch.column(3))
-        edge_row, edge = flat(batch.column(4))
+        row, found = flat(batch.column(3))
+        first, last = (numbers(x) for x in found.flatten())
         for lo, hi, data, offsets in parts(batch.column(2)):
-            units, at, starts, ends = unit.read(data, offsets)
-            n, text_of = len(units), np.repeat(np.arange(hi - lo), np.diff(at))
-            gone_from, gone_to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            own = (run_row >= lo) & (run_row < hi)
-            if own.any():
-                r = unit.runs(units, at)
-                k = np.searchsorted(r["text"], run_row[own] - lo) + run[own]
-                gone_from.append(r["first"][k])
-                gone_to.append(r["last"][k] + unit.window)
-            own = (edge_row >= lo) & (edge_row < hi)
-            p = at[edge_row[own] - lo] + edge[own]
-            gone_from.append(p)
-            gone_to.append(p + unit.window)
-            # repeats within a document, from its own edges
-            p = np.arange(max(0, n - unit.window + 1))
-            p = p[text_of[p] == text_of[p + unit.window - 1]] if len(p) else p
-            if len(p):
-                h = Spans(units, BASES[1])(p, p + unit.window)
-                order = np.lexsort((p, h, text_of[p]))
-                same = (h[order][1:] == h[order][:-1]) & (text_of[p][order][1:] == text_of[p][order][:-1])
-                p = p[order[1:][same]]
-                gone_from.append(p)
-                gone_to.append(p + unit.window)
-            gone = cover(n, np.concatenate(gone_from), np.concatenate(gone_to))
-            raw, removed, kept, n_spans = data.tobytes(), [], [], []
-            opens = gone & ~np.concatenate(([False], gone[:-1])) if n else gone
+            w = Words(data, offsets)
+            own = (row >= lo) & (row < hi)
+            base = w.at[row[own] - lo]
+            gone = cover(len(w.starts), base + first[own], base + last[own] + window)
+            removed, kept, n_spans = [], [], []
             for j in range(hi - lo):
-                a, b = at[j], at[j + 1]
-                stay = np.flatnonzero(~gone[a:b]) + a
-                kept.append(b" ".join([raw[x:y] for x, y in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)]))
-                removed.append(b - a - len(stay))
-                n_spans.append(int(opens[a:b].sum() + (bool(b > a and gone[a]) and not opens[a])))
+                a, b = int(w.at[j]), int(w.at[j + 1])
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], gone[a:b], [False])).view(np.int8)))
+                stays = np.concatenate(([a], a + edge, [b])).reshape(-1, 2).tolist()
+                kept.append(b" ".join([w.text(x, y) for x, y in stays if y > x]))
+                removed.append(int(gone[a:b].sum()))
+                n_spans.append(len(edge) // 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()),
+                [batch.column(1).slice(lo, hi - lo), pa.array(np.diff(w.at), pa.int64()), pa.array(removed, pa.int64()),
                  pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(n_spans, pa.int64()), pa.array([x.decode("utf-8", "replace") if texts else None for x in kept], pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "n_spans", "kept_text"],
             )
 
-    return per_text(d, spans, ["runs", "edges"], work, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, kept_text string")
+    return per_text(d, spans, ["spans"], work, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, kept_text string")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_RNG = np.random.default_rng(20240229)
-#: A random 64-bit value for each byte, and odd bases of two independent polynomial hashes; fixed by the seed.
-BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-BASES = tuple(U(int(x) * 8 + 5) for x in _RNG.integers(2**58, 2**60, 2))
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 64
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: Keeps the first k bytes of a little-endian 64-bit load, k up to 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,36 +22,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1) modulo 2 ** 64; kept for the next call."""
-    out = _POWERS.get(int(base))
-    if out is None or len(out) < n:
-        out = np.full(max(n, 1 << 16), base, U)
-        out[0] = 1
-        _POWERS[int(base)] = np.multiply.accumulate(out, out=out)
-    return _POWERS[int(base)][:n]
-
-
-def inverse(base: np.uint64) -> np.uint64:
-    """Of an odd number modulo 2 ** 64."""
-    return U(pow(int(base), -1, 1 << 64))
+def fold(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two neighbours; not linear in them, so that no text makes it fail for every seed as polynomials do."""
+    x = left * U(0x9E3779B97F4A7C15) + right
+    x ^= x >> U(32)
+    x *= U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(29))
+
+
+def loads(data: np.ndarray) -> np.ndarray:
+    """The 64 bits that start at each byte, and zeros behind the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; the length is part of it, and salts give independent hashes."""
+    size = ends - starts
+    at = loads(data)
+    out = mix(size.astype(U) + U(salt * 0x5851F42D4C957F2D + 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
+    out = mix(out ^ (at[starts] & _FIRST[np.minimum(size, 8)]))
+    done, more = 8, np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    while len(more):
+        out[more] = mix(fold(out[more], at[starts[more] + done] & _FIRST[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), seed=salt)
+    return out
 
 
-class Spans:
-    """Polynomial hashes of any spans of a sequence of 64-bit units, by prefix sums modulo 2 ** 64."""
+def gram_hashes(units: np.ndarray, width: int, have: int = 1) -> np.ndarray:
+    """Hash of each `width` consecutive units, by doubling; `units` are hashes of `have` units each already."""
+    while have < width:
+        step = min(have, width - have)
+        if len(units) <= step:
+            return np.zeros(0, U)
+        units = fold(units[:-step], units[step:])
+        have += step
+    return mix(units)
 
-    def __init__(self, units: np.ndarray, base: np.uint64 = BASES[0]):
-        n = len(units)
-        self.prefix = np.zeros(n + 1, U)
-        np.cumsum(units * powers(base, n), out=self.prefix[1:])
-        self.back = powers(inverse(base), n + 1)
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Mixed hash of units[start:end]; the length is part of it."""
-        return mix((self.prefix[end] - self.prefix[start]) * self.back[start] + mix((end - start).astype(U) + U(1)))
+def byte_grams(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each `width` (8 or more) consecutive bytes."""
+    return gram_hashes(loads(data)[: max(0, len(data) - 7)], width, 8)
 
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,19 +116,16 @@ def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return at.astype(np.int64)
 
 
-def anchored_runs(units: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> dict[str, np.ndarray]:
+def anchored_runs(grams: np.ndarray, offsets: np.ndarray, gram: int, window: int) -> dict[str, np.ndarray]:
     """Cut the windows of `window` units of each text into runs that share their least gram, as winnowing does.
 
     Equal windows choose the same gram at the same place in them, so equal windows are always in runs of equal anchors.
-    Returns, for each run: text (index), first and last (starts of its first and last window, in units of all texts),
-    anchor (hash of the gram) and content (hash of all its units with the place of the anchor).
+    Returns, for each run: text (index), first and last (starts of its first and last window, in units of all texts)
+    and anchor (hash of the gram).
     """
-    spans = Spans(units)
-    n = len(units)
     lengths = np.diff(offsets)
-    if n < window or not (lengths >= window).any():
-        return {k: np.zeros(0, np.int64 if k in ("text", "first", "last") else U) for k in ("text", "first", "last", "anchor", "content")}
-    grams = spans(np.arange(n - gram + 1), np.arange(gram, n + 1))
+    if not (lengths >= window).any():
+        return {k: np.zeros(0, U if k == "anchor" else np.int64) for k in ("text", "first", "last", "anchor")}
     at = window_argmin(grams, window - gram + 1)
     text = np.repeat(np.arange(len(lengths)), lengths)[: len(at)]
     inside = np.arange(len(at)) + window <= offsets[text + 1]
@@ -123,5 +135,4 @@ def anchored_runs(units: np.ndarray, offsets: np.ndarray, gram: int, window: int
     new[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    lo, hi, anchor_at = starts[first], starts[last], at[first]
-    return {"text": text[first], "first": lo, "last": hi, "anchor": grams[anchor_at], "content": mix(spans(lo, hi + window) ^ mix((anchor_at - lo).astype(U)))}
+    return {"text": text[first], "first": starts[first], "last": starts[last], "anchor": grams[at[first]]}
