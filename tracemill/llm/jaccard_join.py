@@ -247,8 +247,9 @@ def components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     # members against their group, and every group against the best of the heads of its lists (a list's head is the one
     # whose extract is the most common, so the text that near copies have been made from): one pair for each document
     head = F.max(F.struct("weight", (-F.col("_id")).alias("first"), F.col("_id").alias("head"))).alias("x")
-    tops = lists.withColumnRenamed("g", "_id").groupBy("token").agg(head, F.count("*").alias("m")).filter("m > 1").select("token", "x.head")
-    stars = lists.join(tops, "token").filter("g != head").select(F.least("g", "head").alias("a"), F.greatest("g", "head").alias("b"))
+    tops = lists.withColumnRenamed("g", "_id").groupBy("token").agg(head, F.count("*").alias("m")).filter("m > 1").select("token", "x.head", F.col("x.weight").alias("top"))
+    best = lists.join(tops, "token").filter("g != head").groupBy("g").agg(F.max(F.struct("top", (-F.col("head")).alias("first"), "head")).alias("x"))
+    stars = best.select(F.least("g", "x.head").alias("a"), F.greatest("g", "x.head").alias("b"))
     pairs = grouped.filter("_id != g").select(F.col("g").alias("a"), F.col("_id").alias("b")).unionByName(stars).distinct()
     links = written(_linked(pairs, members, sets, percent), "linked")
     # what is left: lists that hold different components, groups expanded to their members
