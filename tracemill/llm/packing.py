@@ -7,7 +7,9 @@ merged: rounds of MERGE tasks' leftovers each, until one window is left, the onl
 
 Documents are not shuffled; only leftovers move, and no task takes more than MERGE * OPEN windows of them.
 
-Edge cases: null and empty texts are the end id alone; equal ids in several rows are several documents.
+Edge cases: an empty table gives no pieces; null and empty texts are the end id alone; equal and null ids in several rows
+are several documents; a text of any length is encoded by one task and cut over as many windows as it needs; ids must be
+numbers; further columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations

@@ -5,12 +5,14 @@ documents' ids and where each starts), and a skippable frame with the seek table
 size of every frame and a checksum of its content, then the number of frames and a magic number. A reader seeks to the
 end, reads the table and the directory, and decompresses only the frames that hold what it wants.
 
-Writing: one shuffle by ranges of doc_id, so that files follow each other in order; each task streams its documents to
+Writing: one shuffle by ranges of doc_id (and a hash of the text, so that rows of one id or of none can be dealt too), so
+that files follow each other in order; each task streams its documents to
 one file under a name of its own attempt, and only names that successful tasks report enter the manifest, so lost
 executors and repeated tasks leave nothing in it. Memory: one frame and one batch of documents.
 
-Edge cases: null and empty texts have the end id alone; null doc_ids come last; rows of one id keep the order of their
-texts; an empty table makes no file.
+Edge cases: null and empty texts have the end id alone; null doc_ids come last; rows of one id stand in the order of a hash
+of their texts; ids must be numbers; a text of any length is encoded by one task and cut over as many frames as it needs;
+an empty table makes no file; further columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -135,8 +137,9 @@ def write(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/{name}"]), pa.array([len(writer.docs)]), pa.array([writer.total])], ["part", "file", "n_docs", "n_tokens"])
 
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc()]
-    ranged = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(*order[:1]).sortWithinPartitions(*order)
+    mark = F.xxhash64("text")
+    order = [F.col("doc_id").asc_nulls_last(), mark.asc()]
+    ranged = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     manifest = written(ranged.mapInArrow(run, "part long, file string, n_docs long, n_tokens long"), "manifest")
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each file
     return manifest.withColumn("start", F.coalesce(before, F.lit(0)))
