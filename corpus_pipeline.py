@@ -11,12 +11,17 @@ Each stage reads what the stage before wrote. The last returns packed pieces, al
 5. packing: token ids in sequences of 4096.
 
 Stages 2 and 3 tell rows apart by a key of their own, not by doc_id: rows with null or repeated ids are rows like all
-others, null ids come last, and a null text comes out empty.
+others, null ids come last, and of equal rows one stays.
+
+Edge cases, in every stage: an empty table gives an empty table of the same columns; a null text counts as empty and
+comes out empty (stages 1 and 4 remove empty documents, 2 and 3 keep one of them and all of them, 5 packs the end id);
+a text of any length is one row; nulls in other columns pass; further columns pass whatever their names (n_chars follows
+the text), as they travel in a struct.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import exact_dedup, jaccard_join, packing, quality_rules, suffix_dedup
@@ -29,10 +34,15 @@ SHINGLE, PERCENT = 5, 80
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a unique key _id in the order of doc_id and text."""
+    """doc_id, text, a unique key _id in the order of both, and all other columns in the struct keep."""
     return unique_ids(docs, tuple(c for c in docs.columns if c not in ("doc_id", "text")))
 
 
+def _columns(names: list[str]) -> list[Column]:
+    """The columns of documents, from keyed rows."""
+    return [F.col(c) if c in ("doc_id", "text") else F.col(f"keep.`{c}`") for c in names]
+
+
 def _by_key(keyed: DataFrame) -> DataFrame:
     """What an operator reads to name rows by their key."""
     return keyed.select(F.col("_id").alias("doc_id"), "text")
@@ -40,7 +50,7 @@ def _by_key(keyed: DataFrame) -> DataFrame:
 
 def _without(keyed: DataFrame, gone: DataFrame, names: list[str], name: str) -> DataFrame:
     """The dropped keys are written first: Spark sees their size, and moves the texts only if they are many."""
-    return keyed.join(written(gone.select(F.col("doc_id").alias("_id")), name), "_id", "left_anti").select(*names)
+    return keyed.join(written(gone.select(F.col("doc_id").alias("_id")), name), "_id", "left_anti").select(*_columns(names))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +69,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    left = suffix_dedup.remove_repeats(docs, keep=others).withColumn("text", F.col("kept_text")).filter("text != ''")
-    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    left = suffix_dedup.remove_repeats(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")), packed=True)
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return left.filter("kept_text != ''").select(*(new[c].alias(c) if c in new else x for c, x in zip(docs.columns, _columns(docs.columns), strict=True)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
