@@ -12,6 +12,7 @@ ALIASES = {
     "RTmax": ("RTmax", "rtmax", "rt_max", "rt_end"),
     "mz": ("mz", "mzmed", "Average Mz"),
 }
+#: Words of label columns; fixed values.
 TRUE_WORDS = ("1", "true", "yes", "y", "t", "tp", "positive", "是")
 FALSE_WORDS = ("0", "false", "no", "n", "f", "fp", "negative", "否")
 
