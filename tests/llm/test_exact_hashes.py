@@ -56,8 +56,9 @@ def branching():
     return [" ".join(r) for r in rows]
 
 
-@pytest.mark.parametrize("gram", [5, 2])
-def test_branching_paths(spark, gram):
+@pytest.mark.parametrize("gram, hot", [(5, 1000), (2, 1000), (5, 10**9)])
+def test_branching_paths(spark, gram, hot, monkeypatch):
+    monkeypatch.setattr(runs, "HOT", hot)  # the greatest makes every key a hot one
     rows = list(enumerate(branching()))
     first, words = {}, {i: t.split() for i, t in rows}
     for i, w in words.items():
@@ -69,8 +70,9 @@ def test_branching_paths(spark, gram):
         assert (found[i]["n_removed"], found[i]["kept_text"]) == (len(gone), " ".join(x for q, x in enumerate(w) if q not in gone)), i
 
 
-@pytest.mark.parametrize("split", [4096, 3])
-def test_hot_anchor_over_several_shards(spark, split):
+@pytest.mark.parametrize("split, hot", [(4096, 1000), (3, 10**9)])
+def test_hot_anchor_over_several_shards(spark, split, hot, monkeypatch):
+    monkeypatch.setattr(runs, "HOT", hot)
     """One passage between texts of their own in most documents: one anchor with many contents, pairs of which share more."""
     rnd = random.Random(12)
     say = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))

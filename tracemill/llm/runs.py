@@ -21,6 +21,8 @@ from .textnum import anchored_runs, buffer_of, byte_grams, gram_hashes, pieces,
 
 #: What names the content of a run: its anchor and the two halves of its digest.
 CONTENT = ["a", "s", "z"]
+#: A key with more than this part of all rows is hot; parts that its rows are dealt over.
+HOT, SALTS = 1000, 64
 
 
 class Words:
@@ -105,20 +107,35 @@ def anchored(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.select("_id", "text").mapInArrow(emit, "_id long, first int, n int, k int, a long, s long, z long")
 
 
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, total: int, hint: str | None = None) -> DataFrame:
+    """Inner join of many rows with one row for each key, which has the number of its rows in the column `count`.
+
+    A key with more than a HOT-th of all rows is dealt over SALTS parts, its one row to each of them. There are fewer than
+    HOT such keys, whatever the data, so they are sent to all tasks.
+    """
+    hot = F.col(count) > total // HOT
+    few = keys.filter(hot).select(*on, F.lit(True).alias("_hot"))
+    many = rows.join(F.broadcast(few), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id", "first"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    one = keys.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return many.join(one.hint(hint) if hint else one, [*on, "_salt"]).drop("_salt")
+
+
 def repeated(docs: DataFrame, unit: Unit) -> DataFrame:
     """The runs whose anchor occurs twice or more, with source and other (least and greatest _id), copies (of the
     content) and contents (of the anchor).
 
     All runs are written once. The counts combine in the map tasks, so a hot anchor sends one row per task; in the joins
-    back each key has one row on the small side, and adaptive execution can split a hot one on the other.
+    back each key has one row on the small side, and hot keys are salted.
     """
     runs = written(anchored(docs, unit), "runs")
-    twice = runs.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1").select("a")
-    found = written(runs.join(twice.hint("shuffle_hash"), "a"), "anchored")
+    total = runs.count()
+    twice = written(runs.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1"), "anchors")
+    found = written(salted_join(runs, twice, ["a"], "m", total, "shuffle_hash").drop("m"), "anchored")
     discard(runs)
-    contents = found.groupBy(*CONTENT).agg(F.min("_id").alias("source"), F.max("_id").alias("other"), F.count("*").alias("copies"))
-    anchors = contents.groupBy("a").agg(F.count("*").alias("contents"))
-    paths = written(found.join(contents.join(anchors, "a"), CONTENT), "paths")
+    contents = written(found.groupBy(*CONTENT).agg(F.min("_id").alias("source"), F.max("_id").alias("other"), F.count("*").alias("copies"), F.min("first").alias("first")), "contents")
+    several = written(contents.groupBy("a").agg(F.count("*").alias("contents")), "several")
+    contents = written(salted_join(contents.withColumn("_id", F.col("source")), several, ["a"], "contents", total).drop("_id", "first"), "contents")
+    paths = written(salted_join(found, contents, CONTENT, "copies", total), "paths")
     discard(found)
     return paths
 
