@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, exact_dedup, jaccard_join, packing, quality_rules, sharding, substring_dedup, suffix_dedup, token_store
+from . import best_fit, bpe, classifier, exact_dedup, jaccard_join, lexical_search, packing, quality_rules, sharding, substring_dedup, suffix_dedup, token_store, whitening
 from .common import shared_dir, table, text_or_empty
 
 
@@ -68,8 +68,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+_QUERIES = (
+    op1_sharding, op2_quality_classifier, op3_substring_dedup, op4_quality_rules, op5_suffix_dedup, op6_bpe, op7_jaccard_join, op8_packing, op9_token_store, op10_exact_dedup,
+    op11_lexical_search, op12_best_fit_packing, op13_whitening,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_substring_dedup, op4_quality_rules, op5_suffix_dedup, op6_bpe, op7_jaccard_join, op8_packing, op9_token_store, op10_exact_dedup)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _WORDS = r"list_filter(regexp_split_to_array({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -138,5 +156,19 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = rf"""
+WITH d AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, {_TERMS} AS ws FROM documents) WHERE len(ws) > 0),
+g AS (SELECT count(*) AS nd, sum(n) AS nt FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * nd + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), g),
+m AS (SELECT doc_id, 100 - 90 + CAST((90 * n * nd) // nt AS BIGINT) AS m FROM d, g),
+s AS (SELECT item_id, doc_id, CAST(sum(w * (CAST(1000000000 * tf AS BIGINT) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1, "op3_substring_dedup": OP3, "op4_quality_rules": OP4, "op10_exact_dedup": OP10}
+    return {"op11_lexical_search": OP11, "op1_sharding": OP1, "op3_substring_dedup": OP3, "op4_quality_rules": OP4, "op10_exact_dedup": OP10}
