@@ -2,7 +2,7 @@ import pytest
 from conftest import SMALL
 from oracle import connect, same_rows
 
-from tracemill.plans import jobs, more  # noqa: F401
+from tracemill.plans import boxes, jobs, more  # noqa: F401
 from tracemill.plans import peaks as _peaks  # noqa: F401
 from tracemill.plans import queries as plans
 

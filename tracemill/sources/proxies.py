@@ -70,3 +70,14 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOXES = "SELECT l_orderkey AS sample, l_linenumber % 2 = 1 AS target, l_quantity AS x1, CAST(0 AS DOUBLE) AS y1, l_quantity + 5 + 100 * l_tax AS x2, CAST(l_partkey % 50 + 10 AS DOUBLE) AS y2, l_discount * 10 AS score, l_extendedprice AS ord FROM lineitem"
+
+
+def eics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trace, i, x (minutes), y: an ion chromatogram for each user, a peak every 20 scans, as high as the events near it say."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    d = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace"), (F.row_number().over(order) - 1).alias("i"), F.greatest("value", F.lit(0.0)).alias("v"))
+    at = F.col("i") % 20 - 10
+    return d.select("trace", "i", (F.col("i") * 0.02).alias("x"), ((F.col("v") + 20) * F.exp(-(at * at) / 18.0) + F.col("v") / 50).alias("y"))
+
+
+EICS = f"SELECT trace, i, i * CAST(0.02 AS DOUBLE) AS x, (y + 20) * exp(-((i % 20 - 10) * (i % 20 - 10)) / CAST(18 AS DOUBLE)) + y / 50 AS y FROM ({TRACES})"
