@@ -45,6 +45,28 @@ def sample_per(rows: DataFrame, part: list[str], key: str, n: int, seed: int = 0
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def hash_ranks(rows: DataFrame, part: list[str], key: str, seed: int = 0, limit: Column | None = None, name: str = "rank") -> DataFrame:
+    """rows with their rank in the hash order of `key` within each part (null is a part); with `limit`, the first ones only.
+
+    A part of any size is dealt by the first digits of the hash: counts of these give each piece its first rank, so no
+    task sorts a whole part, and pieces beyond the limit are not sorted at all.
+    """
+    d = rows.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, 3))
+    by = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))  # 4,096 rows a part
+    before = F.coalesce(F.sum("_k").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = d.groupBy(*part, "_b").agg(F.count("*").alias("_k")).select(*(F.col(c).alias(f"_p{k}") for k, c in enumerate(part)), F.col("_b").alias("_piece"), before.alias("_before"))
+    same = F.col("_b") == F.col("_piece")
+    for k, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"_p{k}"))
+    d = d.join(starts, same)
+    if limit is not None:
+        d = d.filter(F.col("_before") < limit)
+    d = d.withColumn(name, (F.row_number().over(Window.partitionBy(*part, "_b").orderBy("_h", key)) + F.col("_before")).cast("long"))
+    if limit is not None:
+        d = d.filter(F.col(name) <= limit)
+    return d.drop("_h", "_b", "_piece", "_before", *(f"_p{k}" for k in range(len(part))))
+
+
 def numbered(rows: DataFrame, order: list[str], prefix: str, name: str = "number") -> DataFrame:
     """Dense ids prefix-000001 ... in a total order, without one task for all rows.
 

@@ -130,12 +130,12 @@ def j15(spark, sf):
 
 @query("E6_detection")
 def e6(spark, sf):
-    return matching.detection(P.boxes(spark, sf), [0.5], 0.3)
+    return matching.detection(P.boxes(spark, sf), [0.5], 0.5)
 
 
 @query("E7_detection_sweep")
 def e7(spark, sf):
-    return matching.detection_sweep(P.boxes(spark, sf), 0.3)
+    return matching.detection_sweep(P.boxes(spark, sf), 0.5)
 
 
 @query("E8_average_precision")
@@ -170,22 +170,49 @@ def x1(spark, sf):
 
 @query("X2_stratified_group_split")
 def x2(spark, sf):
-    return splits.stratified_group_split(P.seeds(spark, sf), "label", "size", {"train": 0.8, "val": 0.1, "test": 0.1})
+    return splits.stratified_group_split(P.seeds(spark, sf), "label", "size", {"train": 0.8, "val": 0.1, "test": 0.1}, forbid=F.col("flag") == 1)
 
 
-@query("X5_held_out_sources", f"WITH s AS ({P.SEEDS}), n AS (SELECT source, row_number() OVER (ORDER BY source <> 'src3', md5('0:' || source), source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM s)) SELECT seed, source, CASE WHEN k <= greatest(1, floor(0.25 * n)) THEN 'test' ELSE 'train' END AS split FROM s JOIN n USING (source)")
+@query("X2_split_sizes", f"WITH s AS ({P.SEEDS}), n AS (SELECT count(*) AS n FROM s), k(split, share, place) AS (VALUES ('train', 0.8, 3), ('val', 0.1, 4), ('test', 0.1, 2)), f AS (SELECT split, place, floor(n * share) AS whole, n * share - floor(n * share) AS part, n FROM k, n), r AS (SELECT *, row_number() OVER (ORDER BY part DESC, split) AS o, n - sum(whole) OVER () AS lack FROM f) SELECT split, CAST(whole + CASE WHEN o <= lack THEN 1 ELSE 0 END AS BIGINT) AS n_rows, 0 AS barred, 0 AS split_groups FROM r")
+def x2_sizes(spark, sf):
+    d = x2(spark, sf)
+    torn = d.groupBy("size").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("split_groups"))  # one row
+    barred = d.groupBy("size", "split").agg(F.coalesce(F.max("flag"), F.lit(0)).alias("flag"), F.count("*").alias("n"))
+    return barred.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count_if((F.col("flag") == 1) & (F.col("split") == "test")).alias("barred")).crossJoin(F.broadcast(torn))
+
+
+def _folds(spark, sf):
+    s = P.seeds(spark, sf)
+    return splits.inner_folds(s.withColumn("grp", F.concat_ws("-", "domain", (F.col("size") % 97).cast("string"))), "domain", "grp", ["domain", "label"], "seed")
+
+
+@query("X3_inner_folds")
+def x3_inner(spark, sf):
+    return _folds(spark, sf).select("seed", "domain", "grp", "label", "fold", "part", "inner_fold")
+
+
+@query("X3_fold_check", f"WITH s AS ({P.SEEDS}) SELECT fold, count(*) FILTER (domain <> fold) AS development, count(*) FILTER (domain = fold) AS heldout, 0 AS leaking_groups, 0 AS leaking_keys FROM s CROSS JOIN (SELECT DISTINCT domain AS fold FROM s) GROUP BY fold")
+def x3_check(spark, sf):
+    return splits.fold_summary(_folds(spark, sf), "grp", "seed").select("fold", (F.col("train") + F.col("val")).alias("development"), "heldout", "leaking_groups", "leaking_keys")
+
+
+@query("X5_held_out_sources", f"""WITH s AS ({P.SEEDS}), d AS (SELECT DISTINCT source FROM s), n AS (SELECT count(*) AS n FROM d), t AS (SELECT n, least(greatest(CAST(round_even(n * 0.25, 0) AS BIGINT), 1, 2), n - 2) AS test FROM n), v AS (SELECT n, test, least(greatest(1, CAST(round_even(n * 0.2, 0) AS BIGINT)), greatest(1, n - test - 1)) AS val FROM t),
+k AS (SELECT source, row_number() OVER (ORDER BY NOT (source = 'src3' OR contains(lower(source), 'rc17')), md5('0:' || source), source) AS k FROM d) SELECT seed, source, CASE WHEN k <= test THEN 'test' WHEN k <= test + val THEN 'val' ELSE 'train' END AS split FROM s JOIN k USING (source), v""")
 def x5(spark, sf):
-    return splits.held_out_sources(P.seeds(spark, sf).select("seed", "source"), "source", ["src3"], 0.25).select("seed", "source", "split")
+    return splits.held_out_sources(P.seeds(spark, sf).select("seed", "source"), "source", ["src3"], 0.25, 0.2, keyword="RC17").select("seed", "source", "split")
 
 
-@query("T3_quota_sample", "WITH q AS (SELECT o_orderpriority AS p, least(count(*), greatest(10, floor(count(*) * 200 / (SELECT count(*) FROM orders)))) AS q FROM orders GROUP BY 1) SELECT o_orderkey, o_orderpriority, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('9:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS rank FROM orders) JOIN q ON o_orderpriority = p WHERE rank <= q")
+@query("T3_quota_sample", """WITH n AS (SELECT user_id AS part, count(*) AS n FROM events GROUP BY 1), t AS (SELECT sum(n) AS s FROM n), q AS (SELECT part, n, s, CASE WHEN s <= 700 THEN n ELSE least(n, greatest(CAST(round_even(n * 700.0::DOUBLE / s, 0) AS BIGINT), 4)) END AS q FROM n, t), o AS (SELECT CASE WHEN any_value(s) <= 700 THEN 0 ELSE sum(q) - 700 END AS off FROM q),
+u AS (SELECT part, unnest(range(1, CAST(CASE WHEN off > 0 THEN q - least(n, 4) ELSE n - q END AS BIGINT) + 1)) AS i, CASE WHEN off > 0 THEN q ELSE n - q END AS size FROM q, o), c AS (SELECT part, count(*) AS c FROM (SELECT part, row_number() OVER (ORDER BY i, size DESC, part) AS k FROM u), o WHERE k <= abs(off) GROUP BY part),
+z AS (SELECT part, q - sign(off) * coalesce(c, 0) AS quota FROM q LEFT JOIN c USING (part), o), r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('9:' || CAST(event_id AS VARCHAR)), event_id) AS rank FROM events), w AS (SELECT event_id, user_id, rank FROM r JOIN z ON part = user_id WHERE rank <= quota)
+SELECT event_id, user_id, rank FROM (SELECT *, row_number() OVER (ORDER BY md5('9:' || CAST(event_id AS VARCHAR)), event_id) AS place FROM w) WHERE place <= greatest(700, (SELECT CASE WHEN s <= 700 THEN s ELSE 0 END FROM t))""")
 def t3(spark, sf):
-    return splits.quota_sample(P.table(spark, sf, "orders"), "o_orderpriority", "o_orderkey", 200, 10, 9).select("o_orderkey", "o_orderpriority", "rank")
+    return splits.quota_sample(P.table(spark, sf, "events"), "user_id", "event_id", 700, 4, 9).select("event_id", "user_id", "rank")
 
 
 @query("T5_fixed_strata", "SELECT p_partkey, stratum, rank FROM (SELECT p_partkey, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('2:' || CAST(p_partkey AS VARCHAR)), p_partkey) AS rank FROM (SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_retailprice > 950 THEN 'dear' END AS stratum FROM part) WHERE stratum IS NOT NULL) WHERE rank <= CASE stratum WHEN 'large' THEN 10 ELSE 7 END")
 def t5(spark, sf):
-    return splits.fixed_strata(P.table(spark, sf, "part"), [("large", "p_size > 40", 10), ("dear", "p_retailprice > 950", 7)], "p_partkey", 2, strict=False).select("p_partkey", "stratum", "rank")
+    return splits.fixed_strata(P.table(spark, sf, "part"), [("large", "p_size > 40", 10), ("dear", "p_retailprice > 950", 7)], "p_partkey", 2).select("p_partkey", "stratum", "rank")
 
 
 @query("T7_first_rows", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_totalprice IS NOT NULL ORDER BY o_orderdate, o_orderkey LIMIT 25")

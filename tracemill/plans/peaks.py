@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audits, peaks, range_join, tables
+from ..operators import audits, peaks, range_join, splits, tables
 from ..sources import proxies as P
 from .queries import _APEX, _M, _NEAR, _SPLIT, _T, _accounts, _split, query, r
 
@@ -116,14 +116,13 @@ def p25(spark, sf):
     return b.select("sample", "n", (-F.get("x", F.lit(0))["s"]).alias("box1_score"), (-F.get("x", F.lit(1))["s"]).alias("box2_score"))
 
 
-@query("T8_balanced_subset", f"SELECT seed, label, place FROM (SELECT seed, label, row_number() OVER (ORDER BY CASE WHEN k = 1 THEN 0 ELSE 1 END, h, seed) AS place FROM (SELECT seed, label, md5('1:' || CAST(seed AS VARCHAR)) AS h, row_number() OVER (PARTITION BY label ORDER BY md5('1:' || CAST(seed AS VARCHAR)), seed) AS k FROM ({P.SEEDS}))) WHERE place <= 10")
-def t8(spark, sf):
-    from pyspark.sql import Window
+_CONDITIONS = ["label = 0", "label = 1", "label is null", "size < 400", "label = 1 and size > 5000"]
+_CHOSEN = ", ".join(f"c{k} AS (SELECT seed FROM s WHERE {c}" + (f" AND seed NOT IN ({' UNION ALL '.join(f'SELECT seed FROM c{j}' for j in range(k))})" if k else "") + " ORDER BY h, seed LIMIT 1)" for k, c in enumerate(_CONDITIONS))
+
 
-    s = P.seeds(spark, sf).withColumn("h", tables.hash_order("seed", 1))
-    k = F.row_number().over(Window.partitionBy("label").orderBy("h", "seed"))
-    few = s.withColumn("k", k).orderBy(F.when(F.col("k") == 1, 0).otherwise(1), "h", "seed").limit(10)
-    return few.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.when(F.col("k") == 1, 0).otherwise(1), "h", "seed"))).select("seed", "label", "place")  # ten rows
+@query("T8_balanced_subset", f"WITH s AS (SELECT seed, label, size, md5('1:' || CAST(seed AS VARCHAR)) AS h FROM ({P.SEEDS})), {_CHOSEN}, f AS ({' UNION ALL '.join(f'SELECT seed, {k} AS f FROM c{k}' for k in range(len(_CONDITIONS)))}) SELECT seed, label, place FROM (SELECT s.seed, label, row_number() OVER (ORDER BY coalesce(f, 99), h, s.seed) AS place FROM s LEFT JOIN f USING (seed)) WHERE place <= 20")
+def t8(spark, sf):
+    return splits.balanced_subset(P.seeds(spark, sf), _CONDITIONS, "seed", 20, 1).select("seed", "label", "place")
 
 
 @query("U6_annotation_tasks", "SELECT d.doc_id AS seed, source, url FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id WHERE l.doc_id IS NULL")

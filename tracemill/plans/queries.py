@@ -424,7 +424,8 @@ def s9(spark, sf):
 @query("T1_top_per_source", "SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, l_quantity, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_quantity DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 20")
 def t1(spark, sf):
     d = P.table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    return range_join.top_by(d, "l_suppkey", [F.col("l_extendedprice").desc(), F.col("l_quantity").desc(), F.col("l_orderkey"), F.col("l_linenumber")], 20)
+    best = range_join.top_by(d, "l_suppkey", [F.col("l_extendedprice").desc(), F.col("l_quantity").desc(), F.col("l_orderkey"), F.col("l_linenumber")], 20)
+    return tables.exactly(best, "l_suppkey", 20)
 
 
 @query("T2_sample_per_source", "SELECT o_orderkey, o_orderpriority, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('17:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS rank FROM orders) WHERE rank <= 50")
