@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.operators import audits, matching, normalize, range_join, splits, tables
+from tracemill.operators import alignment, audits, normalize, range_join, splits, tables
 
 
 def fails(df, message):
@@ -66,5 +66,5 @@ def test_alignment_is_the_greedy_one(spark):
         c[0], c[1], c[2] = (c[0] * c[2] + mz) / (c[2] + 1), (c[1] * c[2] + rt) / (c[2] + 1), c[2] + 1
         c[3][a] = max(c[3].get(a, 0.0), v or 0.0)
     d = spark.createDataFrame(rows, "algo string, feature int, mz double, rt double, intensity double")
-    got = sorted((round(r.mz, 9), round(r.rt, 9), r.n, sorted(r.intensity.items())) for r in matching.align(d, 0.005, 0.5).collect())
+    got = sorted((round(r.mz, 9), round(r.rt, 9), r.n, sorted(r.intensity.items())) for r in alignment.align(d, 0.005, 0.5).collect())
     assert got == sorted((round(c[0], 9), round(c[1], 9), c[2], sorted(c[3].items())) for c in centres)

@@ -2,7 +2,7 @@
 
 import random
 
-from tracemill.operators import matching, peaks
+from tracemill.operators import alignment, matching, peaks
 
 
 def boxes(spark, n=40):
@@ -53,7 +53,7 @@ def test_islands_and_alignment(spark):
             centres.append(c)
         c[0], c[1], c[2] = (c[0] * c[2] + mz) / (c[2] + 1), (c[1] * c[2] + rt) / (c[2] + 1), c[2] + 1
         c[3][a] = max(c[3].get(a, 0), v)
-    found = matching.align(df, 0.01, 5).collect()
+    found = alignment.align(df, 0.01, 5).collect()
     key = lambda n, mz, rt, by: (n, round(mz, 9), round(rt, 9), tuple(sorted(by.items())))
     assert sorted(key(r.n, r.mz, r.rt, r.intensity) for r in found) == sorted(key(c[2], c[0], c[1], c[3]) for c in centres)
 

@@ -1,15 +1,12 @@
-"""Matching where order decides: folds over small ordered arrays of one sample, and alignment within m/z islands."""
+"""Matching where order decides: folds over small ordered arrays of one sample; islands of sorted keys."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import box_pairs, ratio
+from .shared import written
 
 
 def assign_boxes(boxes: DataFrame, least: float = 0.1, exact: float = 0.5) -> DataFrame:
@@ -97,14 +94,20 @@ def detection_sweep(boxes: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def average_precision(boxes: DataFrame, levels: list[float]) -> DataFrame:
-    """101-point interpolated average precision at each overlap. Ranks come from score buckets, not from one global window."""
+    """101-point interpolated average precision at each overlap.
+
+    Predictions are dealt by ranges of their order, and written with their range; the sums of whole ranges are one small
+    table, so ranks inside a range are a window of that range alone, however many scores are equal.
+    """
     n = boxes.agg(F.count_if("target").alias("n"))
-    m = _matched(boxes, levels).withColumn("hit", F.col("target").isNotNull().cast("int")).withColumn("bucket", F.floor(F.col("score") * 64))
-    sums = m.groupBy("level", "bucket").agg(F.sum("hit").alias("h"), F.count("*").alias("c"))
-    above = Window.partitionBy("level").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)  # 65 rows
-    sums = sums.select("level", "bucket", F.coalesce(F.sum("h").over(above), F.lit(0)).alias("ah"), F.coalesce(F.sum("c").over(above), F.lit(0)).alias("ac"))
-    inside = Window.partitionBy("level", "bucket").orderBy(F.col("score").desc(), "sample", "prediction").rowsBetween(Window.unboundedPreceding, 0)
-    p = m.join(sums, ["level", "bucket"]).crossJoin(F.broadcast(n)).select("level", (F.col("ah") + F.sum("hit").over(inside)).alias("tp"), (F.col("ac") + F.count("*").over(inside)).alias("k"), "n")
+    order = [F.col("score").desc(), F.col("sample"), F.col("prediction")]
+    m = _matched(boxes, levels).withColumn("hit", F.col("target").isNotNull().cast("int"))
+    m = written(m.repartitionByRange("level", *order).withColumn("range", F.spark_partition_id()), "ranges")
+    sums = m.groupBy("level", "range").agg(F.sum("hit").alias("h"), F.count("*").alias("c"))
+    above = Window.partitionBy("level").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = sums.select("level", "range", F.coalesce(F.sum("h").over(above), F.lit(0)).alias("ah"), F.coalesce(F.sum("c").over(above), F.lit(0)).alias("ac"))
+    inside = Window.partitionBy("level", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    p = m.join(sums, ["level", "range"]).crossJoin(F.broadcast(n)).select("level", (F.col("ah") + F.sum("hit").over(inside)).alias("tp"), (F.col("ac") + F.count("*").over(inside)).alias("k"), "n")
     reach = p.select("level", (F.col("tp") / F.col("k")).alias("precision"), F.floor(F.try_divide(F.col("tp") * 100, F.col("n")) + 1e-9).alias("step")).groupBy("level", "step").agg(F.max("precision").alias("p"))
     grid = boxes.sparkSession.range(101).select(F.col("id").alias("recall"), F.explode(F.array(*(F.lit(float(v)) for v in levels))).alias("level"))
     reach = reach.withColumnRenamed("level", "_level")
@@ -120,59 +123,13 @@ def average_precisions(boxes: DataFrame, more: list[float]) -> DataFrame:
 
 
 def islands(rows: DataFrame, tol: float, key: str = "mz") -> DataFrame:
-    """Adds island: rows whose sorted keys are never further apart than tol share one. Buckets of keys, and one row each to stitch them."""
-    width = 1000 * tol
-    d = rows.withColumn("_b", F.floor(F.col(key) / width))
+    """Adds island: rows whose sorted keys are never further apart than tol share one. Ranges of the key as it is distributed, and one row each to stitch them."""
+    d = written(rows.repartitionByRange(key).withColumn("_b", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_b").orderBy(key)
     d = d.withColumn("_cut", F.coalesce((F.col(key) - F.lag(key).over(inside) > tol).cast("int"), F.lit(0)))
     d = d.withColumn("_n", F.sum("_cut").over(inside.rangeBetween(Window.unboundedPreceding, 0)))
     edge = d.groupBy("_b").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.max("_n").alias("n"))
-    line = Window.partitionBy(F.lit(0)).orderBy("_b")  # one row for each bucket that has rows
+    line = Window.partitionBy(F.lit(0)).orderBy("_b")  # one row for each range
     gap = F.coalesce((F.col("lo") - F.lag("hi").over(line) > tol).cast("int"), F.lit(0))
     first = edge.withColumn("_g", gap).withColumn("_first", F.sum("_g").over(line) + F.coalesce(F.sum("n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return d.join(first.select("_b", "_first"), "_b").withColumn("island", F.col("_first") + F.col("_n")).drop("_b", "_cut", "_n", "_first")
-
-
-def align(rows: DataFrame, mz_tol: float, rt_tol: float) -> DataFrame:
-    """Greedy alignment of detectors' tables (algo, feature, mz, rt, intensity) to running centroids, kept sorted by m/z.
-
-    A row joins the first centroid within both tolerances that its detector may join, and moves it; order is detector, mz, rt.
-    Centroids stay inside their m/z island, so islands are independent: aligned, n, mz, rt and greatest intensity per detector.
-    """
-    order = ["island", "algo", "mz", "rt", "feature"]
-    cut = islands(rows, mz_tol * (1 + 1e-9)).select(*order, "intensity").repartition("island").sortWithinPartitions(*order)
-    names = ["island", "k", "n", "mz", "rt", "intensity"]
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # one island after the other; what is held is the centroids of one
-        island, centres, line = None, [], []
-
-        def close() -> list[tuple]:
-            return [(island, k, c["n"], c["mz"], c["rt"], c["by"]) for k, c in enumerate(centres)]
-
-        for pdf in batches:
-            out: list[tuple] = []
-            for r in pdf.itertuples(index=False):
-                if r.island != island:
-                    out += close()
-                    island, centres, line = r.island, [], []
-                near = (k for _, k in line[bisect_left(line, (r.mz - 2 * mz_tol, -1)) : bisect_left(line, (r.mz + 2 * mz_tol, -1))] if abs(centres[k]["mz"] - r.mz) <= mz_tol and abs(centres[k]["rt"] - r.rt) <= rt_tol)
-                k = min(near, default=None)  # the first of them that was made
-                if k is None:
-                    k = len(centres)
-                    centres.append({"mz": r.mz, "rt": r.rt, "n": 0, "by": {}})
-                else:
-                    del line[bisect_left(line, (centres[k]["mz"], k))]
-                c = centres[k]
-                c["mz"], c["rt"], c["n"] = (c["mz"] * c["n"] + r.mz) / (c["n"] + 1), (c["rt"] * c["n"] + r.rt) / (c["n"] + 1), c["n"] + 1
-                insort(line, (c["mz"], k))
-                c["by"][r.algo] = max(c["by"].get(r.algo, 0.0), 0.0 if pd.isna(r.intensity) else r.intensity)
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(close(), columns=names)
-
-    return cut.mapInPandas(work, "island long, k int, n int, mz double, rt double, intensity map<string,double>")
-
-
-def missed_by(aligned: DataFrame, algo: str) -> DataFrame:
-    """Aligned features that other detectors have and this one has not."""
-    return aligned.filter(~F.coalesce(F.map_contains_key("intensity", algo), F.lit(False)))

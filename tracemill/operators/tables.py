@@ -67,7 +67,7 @@ def hash_ranks(rows: DataFrame, part: list[str], key: str, seed: int = 0, limit:
     return d.drop("_h", "_b", "_piece", "_before", *(f"_p{k}" for k in range(len(part))))
 
 
-def numbered(rows: DataFrame, order: list[str], prefix: str, name: str = "number") -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], prefix: str, name: str = "number", digits: int = 6) -> DataFrame:
     """Dense ids prefix-000001 ... in a total order, without one task for all rows.
 
     Rows are dealt by ranges of the order, sorted, and written once with their range and their place in it, so that all
@@ -83,7 +83,7 @@ def numbered(rows: DataFrame, order: list[str], prefix: str, name: str = "number
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     first = F.map_from_entries(F.collect_list(F.struct("_part", "_before")))
     starts = before.agg(first.alias("_starts"))  # one row: a number for each range
-    return d.crossJoin(F.broadcast(starts)).withColumn(name, F.concat(F.lit(prefix), F.format_string("%06d", F.col("_starts")[part] + place + 1))).drop(at, "_starts")
+    return d.crossJoin(F.broadcast(starts)).withColumn(name, F.concat(F.lit(prefix), F.format_string(f"%0{digits}d", F.col("_starts")[part] + place + 1))).drop(at, "_starts")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, train: float = 0.8, val: float = 0.1, seed: int = 0) -> DataFrame:

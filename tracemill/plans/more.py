@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import matching, metrics, normalize, splits
+from ..operators import alignment, matching, metrics, normalize, splits
 from ..sources import proxies as P
 from .queries import DIGITS, query, r  # noqa: F401
 
@@ -155,12 +155,12 @@ def j10a(spark, sf):
 
 @query("J10_align")
 def j10(spark, sf):
-    return matching.align(_detectors(spark, sf), 0.005, 500000.0).withColumn("intensity", F.to_json("intensity"))
+    return alignment.align(_detectors(spark, sf), 0.005, 500000.0).withColumn("intensity", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("intensity")))))
 
 
 @query("J18_missed_by")
 def j18(spark, sf):
-    return matching.missed_by(matching.align(_detectors(spark, sf), 0.005, 500000.0), "1-URGENT").select("island", "k", "n", "mz", "rt")
+    return alignment.missed_by(alignment.align(_detectors(spark, sf), 0.005, 500000.0), "1-URGENT").select("aligned", "n", "mz", "rt")
 
 
 @query("X1_grouped_split")
