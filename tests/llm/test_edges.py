@@ -2,6 +2,7 @@
 tables and further columns whose names are those that operators use inside."""
 
 import random
+import re
 
 import corpus_pipeline
 import pytest
@@ -144,3 +145,24 @@ def test_no_shared_folder_on_a_cluster_is_an_error(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Cluster, "x")
+
+
+def test_long_runs_of_white_space(spark):
+    """Runs of a megabyte inside a line, at its end, and of all six characters: judged in the time of a text, not of its square."""
+    import time
+
+    n = 1_000_000
+    texts = ["word" + " " * n + "b", "word word word word." + "\t" * n, " \t\x0b\x0c\r" * (n // 5), "word" + " \u2028" * 1000 + "\x85", "A line that ends well. \u2028", "Read on" + " " * n + "..." + " " * n]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    quality_rules.judge(d.limit(1)).collect()
+    began = time.time()
+    found = {r.doc_id: r for r in quality_rules.judge(d).collect()}
+    assert time.time() - began < 10
+    assert [found[k].n_words for k in range(6)] == [len([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]) for t in texts]
+    assert found[0].reasons == "unfinished" and found[1].reasons == "" and found[2].word_chars == 0 and found[5].reasons == "teaser"
+
+
+def test_furniture_of_four_languages(spark):
+    lines = ["Bitte lesen Sie die Datenschutzerklärung genau durch.", "Tous droits réservés par les auteurs de ce site.", "Lea la Política de Privacidad antes de entrar aquí.", "Please read the Privacy Policy before you go on."]
+    found = quality_rules.judge(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.reasons for r in found} == {"boilerplate"}

@@ -27,13 +27,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, struct_of, text_or_empty, words
-
-#: Phrases of page furniture; fixed values.
-BOILERPLATE = (
-    "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "forgot your password", "log in to", "lorem ipsum",
-    "privacy policy", "read more", "share on", "sign up for", "skip to content", "subscribe to our", "terms of service", "terms of use", "view all comments",
-)
+from .common import WS, WS_CHARS, struct_of, text_or_empty, words
+
+#: Phrases of page furniture by language; fixed values.
+FURNITURE = {
+    "en": ("accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "forgot your password", "log in to", "lorem ipsum",
+           "privacy policy", "read more", "share on", "sign up for", "skip to content", "subscribe to our", "terms of service", "terms of use", "view all comments"),
+    "de": ("alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "jetzt anmelden", "nach oben scrollen", "passwort vergessen", "zum inhalt springen"),
+    "fr": ("aller au contenu", "conditions d'utilisation", "cliquez ici", "mot de passe oublié", "politique de confidentialité", "retour en haut", "tous droits réservés", "accepter les cookies"),
+    "es": ("aceptar cookies", "haga clic aquí", "política de privacidad", "olvidó su contraseña", "saltar al contenido", "términos de uso", "todos los derechos reservados", "volver arriba"),
+}
+BOILERPLATE = tuple(p for phrases in FURNITURE.values() for p in phrases)
 SYMBOLS = "#*$%&|<>"
 #: Marks between the entries of menus, marks that end a sentence, beginnings of addresses; fixed values.
 MENU_MARKS, SENTENCE_END, LINKS = "»›•·→", ".!?;:…\"'”’)]", ("http://", "https://", "www.")
@@ -59,7 +63,7 @@ def measured(line: Column) -> Column:
 
 
 def counted(m: Column) -> Column:
-    trimmed = F.regexp_replace(m["line"], WS + "$", "")
+    trimmed = F.rtrim(m["line"], F.lit(WS_CHARS))  # a pattern would start anew at each space of a long run
     return F.struct(
         m["line"].alias("line"), m["w"].alias("w"), F.char_length(F.array_join(m["w"], "")).cast("long").alias("n"), F.size(m["w"]).alias("words"), F.lower(m["line"]).alias("low"),
         _count(m["marks"], SYMBOLS).alias("symbols"), _count(m["marks"], r"\|").alias("bars"), _count(m["marks"], MENU_MARKS).alias("menu"), _count(m["marks"], "!").alias("calls"),

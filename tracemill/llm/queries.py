@@ -114,7 +114,7 @@ def _judge_sql() -> str:
     q = quality_rules
     count = lambda t, c: f"len(regexp_extract_all({t}, '{c}'))"
     quoted = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
-    any_of = lambda xs: "(" + " OR ".join(f"contains(lower(l), '{x}')" for x in xs) + ")"
+    any_of = lambda xs: "(" + " OR ".join(f"contains(lower(l), {quoted([x])})" for x in xs) + ")"
     n, n_words, trimmed = _SOLID.format(t="l"), f"len({_WORDS.format(t='l')})", r"regexp_replace(l, '[\x20\x09-\x0D]+$', '')"
     tests = (
         f"{count('l', '[|]')} >= {q.MIN_BARS} OR {count('l', '[' + q.MENU_MARKS + ']')} >= {q.MIN_BARS}",
