@@ -5,6 +5,7 @@ from oracle import connect, same_rows
 from tracemill.plans import boxes, jobs, more  # noqa: F401
 from tracemill.plans import peaks as _peaks  # noqa: F401
 from tracemill.plans import queries as plans
+from tracemill.plans import whole as _whole  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import ranking
 from .range_join import dense
 from .traces import EPS, FWHM_PER_SIGMA, correlation, fisher
 
@@ -44,13 +45,13 @@ def _secondary(m: Column, apex: Column) -> Column:
 def attributes(points: DataFrame, apex: Column | None = None) -> DataFrame:
     """feature and the sixteen attributes; all null for features without a positive value.
 
-    Values that are null, NaN or negative count as 0. The apex is the first greatest value, unless `apex` gives its place
+    Values that are null, negative or not finite count as 0. The apex is the first greatest value, unless `apex` gives its place
     (an expression of the columns feature, i, x, y). Attributes that need three points, a spread or a width are null
     without them.
     """
     by = Window.partitionBy("feature")
     line, all_ = by.orderBy("x"), by
-    y = F.when(F.col("y").isNull() | F.isnan("y") | (F.col("y") < 0), 0.0).otherwise(F.col("y"))
+    y = F.when((F.col("y") > 0) & (F.col("y") < float("inf")) & ~F.isnan("y"), F.col("y")).otherwise(0.0)
     lag, lead = (lambda c, k=1: F.lag(c, k).over(line)), (lambda c, k=1: F.lead(c, k).over(line))
     d = points.select("feature", F.col("x").cast("double").alias("x"), y.cast("double").alias("y"))
     d = d.withColumns({"i": F.row_number().over(line) - 1, "n": F.count("*").over(all_), "top": F.max("y").over(all_), "least": F.min("y").over(all_)})
@@ -113,16 +114,41 @@ def attributes(points: DataFrame, apex: Column | None = None) -> DataFrame:
     return s.select("feature", *(F.when(three, v).alias(c) for c, v in value.items()), *(F.when(high > 0, v).alias(c) for c, v in rest.items()))
 
 
-def peak_attributes(features: DataFrame, peaks: DataFrame, width: float = 5.0) -> DataFrame:
-    """The attributes of each row of a feature table (feature, source, mz, tol, lo, hi), from the window sums of its scans.
+def windows(features: DataFrame, tolerance: float) -> DataFrame:
+    """features (mz, RT, RTmin, RTmax) with lo and hi: the bounds, in either order, where both are finite, else RT -+ tolerance.
+    Rows without m/z or RT go."""
+    number = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in ("mz", "RT", "RTmin", "RTmax")}
+    ok = lambda c: F.coalesce(F.abs(number[c]) < float("inf"), F.lit(False))
+    both = ok("RTmin") & ok("RTmax")
+    d = features.filter(number["mz"].isNotNull() & number["RT"].isNotNull())
+    return d.withColumns({"lo": F.when(both, F.least("RTmin", "RTmax")).otherwise(F.col("RT") - tolerance), "hi": F.when(both, F.greatest("RTmin", "RTmax")).otherwise(F.col("RT") + tolerance)})
+
+
+def peak_attributes(features: DataFrame, peaks: DataFrame, width: float = 5.0, method: str = "window_sum") -> DataFrame:
+    """The attributes of each row of a feature table (feature, source, mz, tol, lo, hi), from its scans' window sums or, with
+    method nearest, from the peak of each scan that is nearest to its m/z.
 
     Rows without m/z or window are dropped; rows without a scan in the window keep null attributes.
     """
     asked = features.filter(F.col("mz").isNotNull() & F.col("lo").isNotNull() & F.col("hi").isNotNull())
-    points = dense(asked, peaks, width).select("feature", F.col("scan").alias("x"), F.col("intensity").alias("y"))
+    points = dense(asked, peaks, width, method).select("feature", F.col("scan").alias("x"), F.col("intensity").alias("y"))
     return attach(asked.select("feature", "source", "mz"), attributes(points), "feature")
 
 
+def univariate(rows: DataFrame, label: str, names: list[str]) -> DataFrame:
+    """attribute, raw_auc, direction_free_auc (the greater of it and its complement) and rank of each attribute alone, over the
+    rows whose split is not train; missing values are the median of the training rows, 0 without one.
+
+    Attributes become rows, and one pass by ranges of (attribute, value) ranks them all.
+    """
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    fill = rows.filter("split = 'train'").agg(*(F.coalesce(F.median(value(c)), F.lit(0.0)).alias(f"_{c}") for c in names))  # one row
+    d = rows.filter("split <> 'train'").crossJoin(F.broadcast(fill))
+    long = d.select(F.col(label).alias("label"), F.explode(F.array(*(F.struct(F.lit(c).alias("attribute"), F.round(F.coalesce(value(c), F.col(f"_{c}")), 9).alias("score")) for c in names))).alias("x")).select("label", "x.*")
+    auc = ranking(long, ["attribute"]).select("attribute", F.col("auroc").alias("raw_auc"), F.greatest("auroc", 1 - F.col("auroc")).alias("direction_free_auc"))
+    return auc.withColumn("rank", F.rank().over(Window.orderBy(F.round("direction_free_auc", 9).desc())).cast("int"))  # a row for each attribute
+
+
 def attach(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     """All rows with the computed columns of their key, null where there are none; columns that rows have already are replaced."""
     return rows.drop(*(c for c in values.columns if c != key)).join(values, key, "left")

@@ -84,10 +84,24 @@ def fold_macro(rows: DataFrame, fold: str, metrics: list[str]) -> DataFrame:
     return long.groupBy("x.metric").agg(F.avg("x.v").alias("mean"), F.coalesce(F.stddev_samp("x.v"), F.lit(0.0)).alias("std"), F.count("*").alias("n_folds"))
 
 
-def group_rollup(rows: DataFrame, group: str) -> DataFrame:
-    """Members, sources and labels of each group of two or more, as sorted strings, and whether labels conflict."""
+def group_rollup(rows: DataFrame, group: str, most: int = 1000) -> DataFrame:
+    """Members of each group of two or more, whether labels conflict, and its seeds, sources and labels as sorted strings.
+
+    A group is counted first, in the map tasks; the strings are made of groups of `most` members at most, and null in
+    larger ones, whose members group_members has, a row each.
+    """
+    counted = rows.groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("members"), (F.min("label") < F.max("label")).alias("conflict")).filter("members > 1")
+    counted = counted.withColumn("conflict", F.coalesce("conflict", F.lit(False)))
+    few = rows.join(counted.filter(F.col("members") <= most).select(F.col("grp").alias("_g")), F.col(group).eqNullSafe(F.col("_g")), "left_semi")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), "|")
-    return rows.groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("members"), joined("seed").alias("seeds"), joined("source").alias("sources"), joined("label").alias("labels"), (F.count_distinct("label") > 1).alias("conflict")).filter("members > 1")
+    texts = few.groupBy(F.col(group).alias("_g")).agg(joined("seed").alias("seeds"), joined("source").alias("sources"), joined("label").alias("labels"))
+    return counted.join(texts, F.col("grp").eqNullSafe(F.col("_g")), "left").select("grp", "members", "seeds", "sources", "labels", "conflict")
+
+
+def group_members(rows: DataFrame, group: str) -> DataFrame:
+    """grp, seed, source, label of the members of groups of two or more."""
+    several = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(several, F.col(group).eqNullSafe(F.col("_g")), "left_semi").select(F.col(group).alias("grp"), "seed", "source", "label")
 
 
 def violations(rows: DataFrame, rules: dict[str, Column], key: str) -> DataFrame:
@@ -116,15 +130,148 @@ def any_of(conditions: list[Column]) -> Column:
 def lock(digests: DataFrame, path: str, split: str = "split") -> DataFrame:
     """Freeze the digests of splits at a path; where they are frozen already, a digest that differs is an error.
 
-    Returns what is frozen. The first writer wins: a folder that exists is never written again.
+    Returns what is frozen. Of several writers one wins: digests are written beside the path and renamed to it, which
+    fails where it exists already.
     """
+    import uuid
+
     spark = digests.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
-        digests.write.mode("errorifexists").json(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(path + "/_SUCCESS")):
+        draft = f"{path}-{uuid.uuid4().hex}"
+        digests.write.json(draft)
+        if fs.exists(hadoop(path)) or not fs.rename(hadoop(draft), hadoop(path)) or fs.exists(hadoop(f"{path}/{draft.rpartition('/')[2]}")):
+            fs.delete(hadoop(f"{path}/{draft.rpartition('/')[2]}"), True)  # some file systems move into a folder that is there
+            fs.delete(hadoop(draft), True)
     frozen = spark.read.schema(digests.schema).json(path)
     changed = frozen.exceptAll(digests).unionByName(digests.exceptAll(frozen)).select(split).distinct()
     names = [r[0] for r in changed.collect()]  # a row for each split
     if names:
         raise ValueError(f"splits differ from the lock: {sorted(map(str, names))}")
     return frozen
+
+
+def _rows(one: DataFrame, section: str) -> DataFrame:
+    """section, name, value rows of one row of figures."""
+    return one.select(F.explode(F.array(*(F.struct(F.lit(section).alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in one.columns))).alias("r")).select("r.*")
+
+
+QUANTILES = {"min": 0.0, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "max": 1.0}
+
+
+def manifest_audit(samples: DataFrame, boxes: DataFrame, attributes: list[str]) -> DataFrame:
+    """section, name, value: of samples (sample, source, study, instrument, label, subsets, attributes) and boxes (sample, x1, y1, x2, y2):
+    totals and distinct sources, studies, instruments; images without, with one, with several boxes; quantiles of boxes per image, widths,
+    heights, areas, height over width; labels; missing attributes by name and over all; samples of each subset."""
+    n = samples.join(boxes.groupBy(F.col("sample").alias("_s")).agg(F.count("*").alias("k")), F.col("sample") == F.col("_s"), "left").select("*", F.coalesce("k", F.lit(0)).alias("boxes"))
+    quantiles = lambda d, c: d.agg(*(F.percentile(c, F.lit(q)).alias(k) for k, q in QUANTILES.items()))
+    counts = n.agg(
+        F.count("*").alias("total"), F.count_distinct("source").alias("unique_source_files"), F.count_distinct("study").alias("unique_studies"), F.count_distinct("instrument").alias("unique_instruments"),
+        F.count_if(F.col("boxes") == 0).alias("empty_images"), F.count_if(F.col("boxes") == 1).alias("single_box_images"), F.count_if(F.col("boxes") >= 2).alias("multi_box_images"), F.sum("boxes").alias("total_boxes"),
+        F.count_if(F.col("label") == 1).alias("positive"), F.count_if(~F.col("label").eqNullSafe(1)).alias("negative"), F.bround(F.avg(F.col("label").eqNullSafe(1).cast("int")), 6).alias("positive_fraction"),
+    )
+    missing = samples.agg(*(F.count_if(F.col(a).isNull() | F.isnan(F.col(a).cast("double"))).alias(a) for a in attributes))
+    share = _rows(missing, "missing").agg(F.sum("value").alias("total_missing")).crossJoin(samples.agg(F.count("*").alias("rows")))  # one row each
+    share = share.select("total_missing", F.bround(F.try_divide("total_missing", F.col("rows") * len(attributes)), 6).alias("missing_fraction"))
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    b = boxes.select(w.alias("width"), h.alias("height"), (w * h).alias("area"), (h / w).alias("height_over_width"))
+    subsets = samples.select("sample", F.explode(F.array_distinct("subsets")).alias("name")).groupBy("name").agg(F.count("*").cast("double").alias("value")).select(F.lit("subset").alias("section"), "name", "value")
+    out = _rows(counts, "counts").unionByName(_rows(missing, "missing")).unionByName(_rows(share, "attributes")).unionByName(subsets).unionByName(_rows(quantiles(n, "boxes"), "boxes_per_image"))
+    for c in b.columns:
+        out = out.unionByName(_rows(quantiles(b, c), c))
+    return out
+
+
+def label_inventory(shapes: DataFrame, documents: DataFrame, known: list[str], aliases: dict[str, str]) -> DataFrame:
+    """kind, name, n: shapes of each known and unknown label (document, label; trimmed, aliases resolved), documents that are
+    empty, and how many documents have so many shapes."""
+    pairs = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv)) if aliases else F.create_map().cast("map<string,string>")
+    name = F.coalesce(F.try_element_at(pairs, F.trim("label")), F.trim(F.coalesce("label", F.lit(""))))
+    by = shapes.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.when(F.col("name").isin(*known), "known").otherwise("unknown").alias("kind"), "name", "n")
+    per = documents.join(shapes.groupBy(F.col("document").alias("_d")).agg(F.count("*").alias("k")), F.col("document") == F.col("_d"), "left").select(F.coalesce("k", F.lit(0)).alias("k"))
+    histogram = per.groupBy("k").agg(F.count("*").alias("n")).select(F.lit("documents_with_shapes").alias("kind"), F.col("k").cast("string").alias("name"), "n")
+    empty = per.agg(F.count_if(F.col("k") == 0).alias("n")).select(F.lit("empty_documents").alias("kind"), F.lit("").alias("name"), "n")
+    return by.unionByName(histogram).unionByName(empty)
+
+
+def prediction_audit(truth: DataFrame, predictions: DataFrame, key: str = "seed", declared: dict[str, float] | None = None) -> DataFrame:
+    """check, value, status of a model's predictions (key, label, score) against frozen rows (key, label): repeated ids, ids that
+    are missing, ids that are unexpected, scores that are missing or not finite, labels that disagree, and how far each declared
+    figure (auroc, average_precision) is from what the scores give. Keys of both tables are tagged and meet in one pass."""
+    from .metrics import ranking
+
+    t = truth.select(F.col(key).alias("k"), F.col("label").alias("want"), F.lit(1).alias("t"), F.lit(0).alias("p"), F.lit(None).cast("int").alias("got"), F.lit(None).cast("double").alias("score"))
+    p = predictions.select(F.col(key).alias("k"), F.lit(None).cast("int").alias("want"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.col("label").alias("got"), F.col("score").cast("double").alias("score"))
+    d = t.unionByName(p).groupBy("k").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.max("want").alias("want"), F.max("got").alias("got"), F.max("score").alias("score"))
+    bad = F.coalesce(F.isnan("score") | (F.abs("score") == float("inf")), F.lit(True))
+    both = (F.col("t") > 0) & (F.col("p") > 0)
+    found = d.agg(
+        F.count_if(F.col("p") > 1).alias("repeated_ids"), F.count_if((F.col("t") > 0) & (F.col("p") == 0)).alias("missing_ids"), F.count_if((F.col("t") == 0) & (F.col("p") > 0)).alias("unexpected_ids"),
+        F.count_if(both & bad).alias("non_finite_scores"), F.count_if(both & ~F.col("want").eqNullSafe(F.col("got"))).alias("label_disagreements"),
+    )
+    out = _rows(found, "").select(F.col("name").alias("check"), "value")
+    if declared:
+        r = ranking(d.filter(both & ~bad).select(F.col("want").alias("label"), "score"))
+        out = out.unionByName(_rows(r.select(*(F.abs(F.col(c) - v).alias(f"{c}_drift") for c, v in declared.items())), "").select(F.col("name").alias("check"), "value"))
+    return out.withColumn("status", F.when(F.col("value") <= 1e-12, "ok").otherwise("fail"))
+
+
+#: Pairs of splits that must share nothing.
+PAIRS = (("train", "val"), ("train", "test"), ("val", "test"))
+
+
+def verify(seeds: DataFrame, peaks: DataFrame, inventory: DataFrame, shapes: DataFrame, splits: DataFrame, attributes: list[str], fields: list[str], expected: dict[str, int], lock: DataFrame | None = None) -> DataFrame:
+    """check, value, expected, status (pass or fail) of a dataset's contract, about 25 rows or more.
+
+    seeds: seed_id, image_id, image, annotation_json, image_sha256, annotation_sha256, label, exclude_from_test, `fields`, `attributes`;
+    peaks: peak_id, seed_id, label, `attributes`; inventory: path, sha256 of the files that are there; shapes: seed_id, label of
+    annotated shapes; splits: seed_id, split; lock: split, n_rows and digests frozen earlier, of seed_id, label in splits.
+    `expected` gives counts by check name; checks without one must be 0.
+
+    Keys of all tables are tagged and unioned, and meet in one shuffle: what is defined, referred to, in a split, on disk.
+    """
+    none = {c: F.lit(None).cast(t) for c, t in (("want", "string"), ("have", "string"), ("split", "string"))}
+
+    def fact(d: DataFrame, kind: str, key: str, defined: int = 0, used: int = 0, placed: int = 0, drawn: int = 0, **more) -> DataFrame:
+        n = {"defined": defined, "used": used, "placed": placed, "drawn": drawn}
+        return d.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), *(F.lit(v).alias(c) for c, v in n.items()), *((F.col(more[c]) if c in more else v).alias(c) for c, v in none.items()))
+
+    by_seed = lambda d, used, drawn: fact(d.withColumn("_k", F.concat_ws("|", F.col("seed_id").cast("string"), "label")), "seed_and_label", "_k", used=used, drawn=drawn)
+    tagged = [
+        fact(seeds, "seed_id", "seed_id", defined=1), fact(peaks, "seed_id", "seed_id", used=1), fact(splits, "seed_id", "seed_id", placed=1), fact(seeds, "image_id", "image_id", defined=1), fact(peaks, "peak_id", "peak_id", defined=1),
+        fact(seeds, "path", "image", used=1, want="image_sha256"), fact(seeds, "path", "annotation_json", used=1, want="annotation_sha256"), fact(inventory, "path", "path", defined=1, have="sha256"), by_seed(peaks, 1, 0), by_seed(shapes, 0, 1),
+    ]
+    of_split = seeds.join(splits, "seed_id", "left")
+    tagged += [fact(of_split.filter(F.col(f).isNotNull()), f"leak_{f}", f, split="split") for f in fields]
+    every = tagged[0]
+    for t in tagged[1:]:
+        every = every.unionByName(t)
+    is_in = {s: F.max((F.col("split") == s).cast("int")).alias(f"in_{s}") for s in ("train", "val", "test")}
+    k = every.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("defined", "used", "placed", "drawn")), F.min("want").alias("want"), F.max("want").alias("want_too"), F.max("have").alias("have"), *is_in.values())
+    of = lambda kind, c: F.count_if((F.col("kind") == kind) & F.coalesce(c, F.lit(False)))
+    there, asked = F.col("defined") > 0, F.col("used") > 0
+    found = {
+        **{f"{kind}_repeats": of(kind, F.col("defined") > 1) for kind in ("seed_id", "image_id", "peak_id")}, "peaks_of_unknown_seeds": of("seed_id", asked & ~there), "seeds_not_in_one_split": of("seed_id", there & (F.col("placed") != 1)),
+        "splits_of_unknown_seeds": of("seed_id", ~there & (F.col("placed") > 0)), "missing_files": of("path", asked & ~there), "orphan_files": of("path", there & ~asked),
+        "hash_mismatches": of("path", asked & there & ((F.col("want") != F.col("have")) | (F.col("want") != F.col("want_too")))), "shapes_unlike_peaks": of("seed_and_label", F.col("used") != F.col("drawn")),
+        **{f"leak_{f}_{a}_{b}": of(f"leak_{f}", (F.col(f"in_{a}") == 1) & (F.col(f"in_{b}") == 1)) for f in fields for a, b in PAIRS},
+    }
+    bad_path = lambda c: F.coalesce(F.col(c).startswith("/") | F.col(c).contains(":") | F.col(c).contains("\\") | F.arrays_overlap(F.split(c, "/"), F.array(F.lit(".."))), F.lit(True))
+    infinite = lambda prefix: {f"{prefix}_infinite_values": sum((F.count_if(F.abs(F.col(a).cast("double")) == float("inf")) for a in attributes), F.lit(0))}
+    rows = {
+        "seed_rows": F.count("*"), "seeds_of_label_1": F.count_if(F.col("label") == 1), "seeds_of_label_0": F.count_if(F.col("label") == 0), "bad_labels": F.count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))),
+        "non_portable_paths": F.count_if(bad_path("image")) + F.count_if(bad_path("annotation_json")), "barred_rows_in_test": F.count_if(F.coalesce(F.col("exclude_from_test") & (F.col("split") == "test"), F.lit(False))),
+        **{f"{s}_rows": F.count_if(F.col("split") == s) for s in ("train", "val", "test")}, **infinite("seed"),
+    }
+    tables = [_rows(k.agg(*(v.alias(c) for c, v in found.items())), ""), _rows(of_split.agg(*(v.alias(c) for c, v in rows.items())), ""), _rows(peaks.agg(F.count("*").alias("peak_rows"), *(v.alias(c) for c, v in infinite("peak").items())), ""), _rows(shapes.agg(F.count("*").alias("shape_rows")), "")]
+    if lock is not None:
+        now = digest(splits.join(seeds.select("seed_id", "label"), "seed_id"), "split", ["seed_id", "label"])
+        changed = lock.exceptAll(now).unionByName(now.exceptAll(lock)).select("split").distinct()
+        tables.append(_rows(changed.agg(F.count("*").alias("splits_unlike_lock")), ""))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    wanted = F.create_map(*(x for c, v in expected.items() for x in (F.lit(c), F.lit(float(v))))) if expected else F.create_map().cast("map<string,double>")
+    out = out.select(F.col("name").alias("check"), "value", F.coalesce(F.try_element_at(wanted, F.col("name")), F.lit(0.0)).alias("expected"))
+    return out.withColumn("status", F.when(F.col("value") == F.col("expected"), "pass").otherwise("fail"))

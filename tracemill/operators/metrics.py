@@ -141,3 +141,12 @@ def kept_by_threshold(boxes: DataFrame, thresholds: list[float]) -> DataFrame:
     """Predicted boxes and samples with any, at each threshold."""
     d = boxes.filter("not target").withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("score"))))
     return d.groupBy("threshold").agg(F.count("*").alias("n_boxes"), F.count_distinct("sample").alias("n_samples"))
+
+
+def ablation(runs: DataFrame, thresholds: DataFrame, by: str = "model") -> DataFrame:
+    """Of each model of runs (model, label, score) at its threshold (model, threshold): auroc, average precision, losses, confusion and its
+    rates, and place by auroc, of equal ones by average precision, then name. A model without threshold is an error of the join's caller: it has no row."""
+    at = runs.join(thresholds, by).withColumn("score", (F.col("score") >= F.col("threshold")).cast("double"))
+    d = ranking(runs, [by]).join(losses(runs, [by]).drop("n"), by).join(confusion(at, [by]), by).join(thresholds, by)
+    place = F.row_number().over(Window.orderBy(F.round("auroc", 9).desc_nulls_last(), F.round("average_precision", 9).desc_nulls_last(), by))  # a row for each model
+    return d.withColumn("place", place.cast("int"))

@@ -118,3 +118,52 @@ def interval_overlaps(a: DataFrame, b: DataFrame, span: int = 64) -> DataFrame:
     middle = (F.col("other_lo") + F.col("other_hi")) / 2
     touch = (F.col("lo") <= F.col("other_hi")) & (F.col("other_lo") <= F.col("hi")) & (F.floor(F.greatest("lo", "other_lo") / span) == F.col("bucket"))
     return x.join(y, ["trace", "bucket"]).filter(touch).select("trace", "id", "other", ((middle >= F.col("lo")) & (middle <= F.col("hi"))).alias("core"))
+
+
+def plot_windows(points: DataFrame, features: DataFrame, width: float = 2.0) -> DataFrame:
+    """Points (trace, i, x, y) of each feature (feature, trace, RT) within RT -+ width / 2, both ends closed, clamped to what the trace has."""
+    ends = points.groupBy("trace").agg(F.min("x").alias("x0"), F.max("x").alias("x9"))
+    f = features.join(ends, "trace").select("feature", "trace", F.greatest(F.col("RT") - width / 2, "x0").alias("lo"), F.least(F.col("RT") + width / 2, "x9").alias("hi"))
+    return points.join(f, "trace").filter("x >= lo and x <= hi").select("feature", "trace", "i", "x", "y")
+
+
+def seed_diagnostics(points: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Of each seed (seed, trace, rt, lo, hi) in its window: width_sec, height, height_rt, area (net, over seconds), seed_intensity
+    (at the scan nearest to rt), max_at_edge and point_count. The baseline is the fifth part from below of a minute on
+    either side of rt (of the whole trace if that is empty). An empty window has nulls, its maximum counts as at an edge."""
+    y = F.when((F.col("y") > 0) & (F.col("y") < float("inf")), F.col("y")).otherwise(0.0)
+    d = points.select("trace", "i", "x", y.alias("y")).join(seeds.select("seed", "trace", "rt", "lo", "hi"), "trace")
+    inside, plot = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")), F.abs(F.col("x") - F.col("rt")) <= 1.0
+    s = d.groupBy("seed", "rt", "lo", "hi").agg(
+        F.coalesce(F.percentile(F.when(plot, F.col("y")), F.lit(0.2)), F.percentile("y", F.lit(0.2))).alias("base"), F.min_by("y", F.struct(F.abs(F.col("x") - F.col("rt")), "i")).alias("seed_intensity"),
+        F.count_if(inside).alias("point_count"), F.max_by(F.struct("i", "x", "y"), F.when(inside, F.struct("y", -F.col("i")))).alias("top"), F.min(F.when(inside, F.col("i"))).alias("first"),
+    )
+    inner = d.filter(inside).join(s.select("seed", "base"), "seed")
+    net = F.greatest(F.col("y") - F.col("base"), F.lit(0.0))
+    line = Window.partitionBy("seed").orderBy("i")
+    inner = inner.withColumn("net", net).withColumn("strip", (F.col("net") + F.lag("net").over(line)) / 2 * (F.col("x") - F.lag("x").over(line)) * 60)
+    s = s.join(inner.groupBy("seed").agg(F.sum("strip").alias("area")), "seed", "left")
+    margin, at, n = F.least(F.lit(2), F.floor(F.col("point_count") / 5)), F.col("top.i") - F.col("first"), F.col("point_count")
+    edge = F.when(n == 0, True).otherwise((at <= margin) | (at >= n - 1 - margin))
+    return s.select(
+        "seed", F.greatest(F.lit(0.0), (F.col("hi") - F.col("lo")) * 60).alias("width_sec"), F.col("top.y").alias("height"), F.col("top.x").alias("height_rt"), F.when(n >= 2, F.col("area")).when(n == 1, 0.0).alias("area"),
+        F.when(n > 0, F.col("seed_intensity")).alias("seed_intensity"), edge.alias("max_at_edge"), "point_count",
+    )
+
+
+def seed_relations(seeds: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
+    """Pairs of a seed (trace, seed, rt, lo, hi) and a peak of its trace (trace, peak, lo, hi, apex) that touch or lie about it:
+    overlap (closed intervals touch), core (the apex is inside the seed's as well), anchor (rt is within the peak's bounds, `tolerance` wider)."""
+    p = found.select("trace", "peak", F.col("lo").alias("left"), F.col("hi").alias("right"), "apex")
+    overlap = (F.col("right") >= F.col("lo")) & (F.col("left") <= F.col("hi"))
+    anchor = (F.col("rt") >= F.col("left") - tolerance) & (F.col("rt") <= F.col("right") + tolerance)
+    core = overlap & (F.col("apex") >= F.col("lo")) & (F.col("apex") <= F.col("hi"))
+    return seeds.join(p, "trace").filter(overlap | anchor).select("seed", "peak", overlap.alias("overlap"), core.alias("core"), anchor.alias("anchor"))
+
+
+def best_boxes(boxes: DataFrame, score: float = 0.0, most: int = 2) -> DataFrame:
+    """sample, num_boxes, has_peak and, of the `most` predictions of the highest score, box1_x1 ... box1_y2, box1_score, box2_x1 ...; samples without one have nulls."""
+    kept = F.when(~F.col("target") & (F.col("score") >= score), F.struct((-F.col("score")).alias("s"), "ord", "x1", "y1", "x2", "y2", "score"))
+    d = boxes.groupBy("sample").agg(F.count(kept).alias("num_boxes"), F.slice(F.array_sort(F.collect_list(kept)), 1, most).alias("b"))  # a sample's boxes
+    of = lambda k, c: F.get("b", F.lit(k))[c].alias(f"box{k + 1}_{c}")
+    return d.select("sample", "num_boxes", (F.col("num_boxes") > 0).cast("int").alias("has_peak"), *(of(k, c) for k in range(most) for c in ("x1", "y1", "x2", "y2", "score")))

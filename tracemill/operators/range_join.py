@@ -36,14 +36,15 @@ def scan_grid(features: DataFrame, scans: DataFrame) -> DataFrame:
     return f.join(s, ["source", "bucket"]).filter((F.col("scan") >= F.col("lo")) & (F.col("scan") <= F.col("hi"))).drop("bucket")
 
 
-def dense(features: DataFrame, peaks: DataFrame, width: float = 5.0) -> DataFrame:
-    """Window sums on the whole scan grid of each feature; 0 where a scan has no hit."""
+def dense(features: DataFrame, peaks: DataFrame, width: float = 5.0, method: str = "window_sum") -> DataFrame:
+    """Window sums, or with method nearest the nearest peak, on the whole scan grid of each feature; 0 where a scan has no hit."""
     grid = scan_grid(features, peaks).select("feature", "source", "scan")
-    return grid.join(window_sum(features, peaks, width), ["feature", "source", "scan"], "left").select("feature", "source", "scan", F.coalesce("intensity", F.lit(0.0)).alias("intensity"))
+    hits = window_sum(features, peaks, width) if method == "window_sum" else nearest(features, peaks, width)
+    return grid.join(hits, ["feature", "source", "scan"], "left").select("feature", "source", "scan", F.coalesce("intensity", F.lit(0.0)).alias("intensity"))
 
 
 def near_pairs(rows: DataFrame, key: str, x: str, y: str, ppm: float, gap: float) -> DataFrame:
-    """Pairs (a, b) of rows of one source, x (positive) within ppm and y within gap, by buckets of both: of log x, so that
+    """Pairs (a, b) of rows of one source (null is none), x within ppm and y within gap, by buckets of both: of log x, so that
     ppm is a width, and of y. A dense source falls into as many buckets as it has places, and no bucket grows with the
     source's range."""
     wide, span = 4e-6 * ppm, 4 * gap

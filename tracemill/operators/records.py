@@ -149,6 +149,31 @@ def relation_checks(relations: DataFrame, furthest: float) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("value") == 0, "pass").otherwise("fail"))
 
 
+def standardisation_checks(relations: DataFrame, links: DataFrame, drawn: DataFrame, final: DataFrame, seed_boxes: DataFrame, seconds: float, furthest: float) -> DataFrame:
+    """relation_checks, and those on boxes: links (seed, peak) as many as a seed has matches; no drawn box (trace, box, lo, hi, center)
+    without a final one (trace, box, lo, hi, apex_rt, left_reason, right_reason), nor the other way; ids of seeds and boxes once;
+    edges that are not pinned moved by `seconds` at most from where they were drawn inside the plot; apex between the bounds;
+    seed boxes (seed, xmin, ymin, xmax, ymax, width, height) of some size and inside their image."""
+    key = ["trace", "box"]
+    counted = relations.select("seed", "n_matched").join(links.groupBy("seed").agg(F.count("*").alias("linked")), "seed", "left")
+    d = drawn.select(*key, *(F.least(F.col("center") + 1.0, F.greatest(F.col("center") - 1.0, F.col(c))).alias(f"old_{c}") for c in ("lo", "hi")), F.lit(1).alias("was")).join(final.withColumn("is", F.lit(1)), key, "full")
+    limit = seconds + 1e-6
+    far = lambda side, c: (F.col(f"{side}_reason") != "pinned") & (F.abs(F.col(c) - F.col(f"old_{c}")) * 60 > limit)
+    box = seed_boxes.agg(F.count_if(~F.coalesce((F.col("xmin") >= 0) & (F.col("ymin") >= 0) & (F.col("xmax") > F.col("xmin")) & (F.col("ymax") > F.col("ymin")) & (F.col("xmax") <= F.col("width")) & (F.col("ymax") <= F.col("height")), F.lit(False))).alias("seed_box_in_image"))
+    twice = lambda t, by, name: t.groupBy(*by).agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") > 1).alias(name))
+    ones = [
+        counted.agg(F.count_if(~F.col("n_matched").eqNullSafe(F.coalesce("linked", F.lit(0)))).alias("linked_peaks")),
+        d.agg(F.count_if(F.col("is").isNull()).alias("boxes_lost"), F.count_if(F.col("was").isNull()).alias("boxes_made"), F.count_if(F.coalesce(far("left", "lo") | far("right", "hi"), F.lit(False))).alias("moves_in_limit"),
+              F.count_if(~F.coalesce((F.col("lo") < F.col("apex_rt")) & (F.col("apex_rt") < F.col("hi")), F.lit(False)) & F.col("is").isNotNull()).alias("apex_between_bounds")),
+        twice(relations, ["seed"], "unique_seeds"), twice(final, key, "unique_boxes"), box,
+    ]
+    out = relation_checks(relations, furthest)
+    for one in ones:
+        rows = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in one.columns))).alias("x")).select("x.*")
+        out = out.unionByName(rows.withColumn("status", F.when(F.col("value") == 0, "pass").otherwise("fail")))
+    return out
+
+
 def logistic_baseline(rows: DataFrame, label: str, columns: list[str], split: str = "split", key: str = "seed", permute: bool = False) -> DataFrame:
     """key, label, split, score of every row, from a logistic regression on columns with train medians for nulls and train scales.
 

@@ -157,3 +157,98 @@ def single_value(rows: DataFrame, part: str, value: str) -> DataFrame:
     """part, value and n_rows of each part; a part with two values or none is an error."""
     s = rows.groupBy(part).agg(F.min(value).alias(value), F.count_distinct(value).alias("_k"), F.count("*").alias("n_rows"))
     return require(s.drop("_k"), s.filter("_k <> 1"), f"parts without one {value}")
+
+
+def label_merge(rows: DataFrame, notes: DataFrame, key: str, label: str, value: Column, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows with the labels of notes by trimmed id, the notes whose `value` (1, 0 or null) is null, and one row of counts.
+
+    Notes without id do not count. With `order`, of several valid notes of one id the last is taken; without, they are an
+    error. A row without a note keeps its label. Counts: annotation_valid, annotation_invalid, rows_updated, labelled, true, false rows.
+    """
+    d = notes.withColumns({"_k": F.trim(F.col(key).cast("string")), "_v": value}).filter("_k <> ''")
+    invalid, valid = d.filter("_v is null").drop("_k", "_v"), d.filter("_v is not null")
+    if order:
+        valid = valid.groupBy("_k").agg(F.max_by("_v", order).alias("_v"))
+    else:
+        valid = require(valid.select("_k", "_v"), valid.groupBy("_k").agg(F.count("*").alias("n")).filter("n > 1"), "ids with several labels")
+    out = rows.withColumn("_id", F.trim(F.col(key).cast("string"))).join(valid.select("_k", "_v"), F.col("_id") == F.col("_k"), "left")
+    updated = out.agg(F.count("_v").alias("rows_updated"), F.count_if(F.coalesce("_v", label).isin(0, 1)).alias("labelled_rows"), F.count_if(F.coalesce("_v", label) == 1).alias("true_rows"), F.count_if(F.coalesce("_v", label) == 0).alias("false_rows"))
+    n = valid.agg(F.count("*").alias("annotation_valid")).crossJoin(invalid.agg(F.count("*").alias("annotation_invalid"))).crossJoin(updated)  # one row each
+    return out.withColumn(label, F.coalesce("_v", label)).drop("_id", "_k", "_v"), invalid, n
+
+
+def folder_labels(rows: DataFrame, true_ids: DataFrame, false_ids: DataFrame, key: str, label: str, strict: bool = False) -> DataFrame:
+    """rows with the labels of two sets of ids: 1 where both have it, or an error if `strict`; rows in neither keep theirs."""
+    each = lambda d, v: d.select(F.trim(F.col(key).cast("string")).alias("_k"), F.lit(v).alias("_v"))
+    by = each(true_ids, 1).unionByName(each(false_ids, 0)).groupBy("_k").agg(F.max("_v").alias("_v"), F.count_distinct("_v").alias("_n"))
+    d = rows.withColumn("_id", F.trim(F.col(key).cast("string"))).join(by.drop("_n"), F.col("_id") == F.col("_k"), "left").withColumn(label, F.coalesce("_v", label)).drop("_id", "_k", "_v")
+    return require(d, by.filter("_n > 1"), "ids in both folders") if strict else d
+
+
+def annotation_tasks(rows: DataFrame, images: DataFrame, key: str, label: str, only_unlabelled: bool = True, most: int = 0, seed: int = 0, drop_missing: bool = False) -> DataFrame:
+    """Rows to annotate: id, image (of images: stem, image; empty if there is none), empty fields to fill in, source, m/z and RT.
+
+    Unlabelled ones only, `most` of them in hash order (all for 0), those with an image only if `drop_missing`; rows without id go.
+    """
+    d = rows.withColumn("Feature_ID", F.trim(F.col(key).cast("string")))
+    d = d.filter(F.col(label).isNull() | (F.trim(F.col(label).cast("string")) == "")) if only_unlabelled else d
+    d = hash_ranks(d, [], "Feature_ID", seed, F.lit(most)).drop("rank") if most else d
+    first = images.groupBy(F.col("stem").alias("_stem")).agg(F.min("image").alias("image"))
+    d = d.filter("Feature_ID <> ''").join(first, F.col("Feature_ID") == F.col("_stem"), "left")
+    d = d.filter(F.trim("image") != "") if drop_missing else d
+    empty = F.lit("")
+    return d.select("Feature_ID", F.coalesce("image", empty).alias("image"), empty.alias("is_true_peak"), empty.alias("annotator"), empty.alias("comment"), "source_file", "mz", "RT")
+
+
+class PartStore:
+    """Computed parts, one for each source, that are computed again only if the source or its jobs changed.
+
+    A folder holds part folders, one for each source and fingerprint; a part exists when its commit marker does, which
+    Spark writes last, so a lost executor or a killed run leaves no half part. What a source's part is named after is a
+    digest of all its job ids and of its own hash, so an unchanged source finds its part, and a changed one does not.
+    """
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def fingerprints(self, jobs: DataFrame, sources: DataFrame, source: str, job: str) -> DataFrame:
+        """source, fingerprint, n_jobs: from (source, job) and (source, sha256); sums of job digests combine in the map tasks."""
+        h = F.sha2(F.col(job).cast("string"), 256)
+        part = lambda k: F.sum(F.conv(F.substring(h, 1 + 12 * k, 12), 16, 10).cast("bigint")).cast("string")
+        d = jobs.groupBy(source).agg(F.count("*").alias("n_jobs"), F.concat_ws(":", *(part(k) for k in range(4))).alias("digest"))
+        return d.join(sources, source).select(source, F.concat(F.lit("p"), F.sha2(F.concat_ws("|", F.col(source).cast("string"), "digest", "n_jobs", "sha256"), 256)).alias("fingerprint"), "n_jobs")
+
+    def have(self) -> DataFrame:
+        """Fingerprints whose parts are committed."""
+        fs, path = self._fs()
+        found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []  # one run each
+        names = [n for n in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
+        if not names:
+            return self.spark.createDataFrame([], "fingerprint string")
+        return self.spark.read.parquet(*(f"{self.folder}/{n}" for n in names)).select("fingerprint").distinct()
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def update(self, jobs: DataFrame, sources: DataFrame, source: str, job: str, compute) -> tuple[DataFrame, DataFrame]:
+        """compute(jobs) for all sources; and the sources that were computed now. Parts of unchanged ones are read back.
+
+        New parts are one run folder, partitioned by fingerprint, so a later read prunes to the parts that are asked for.
+        """
+        import uuid
+
+        now = written(self.fingerprints(jobs, sources, source, job), "fingerprints")
+        todo = written(now.join(self.have(), "fingerprint", "left_anti"), "stale")
+        if not todo.isEmpty():
+            asked = jobs.join(todo.select(source, "fingerprint"), source)
+            done = compute(asked.drop("fingerprint")).join(todo.select(source, "fingerprint"), source)
+            done.repartition("fingerprint").write.partitionBy("fingerprint").parquet(f"{self.folder}/run-{uuid.uuid4().hex}")
+        fs, path = self._fs()
+        runs = [s.getPath().toString() for s in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath().toString() + "/_SUCCESS"))]
+        parts = None
+        for r in runs:  # of parts that two runs made at once, one is read
+            d = self.spark.read.parquet(r).withColumn("_run", F.lit(r))
+            parts = d if parts is None else parts.unionByName(d, allowMissingColumns=True)
+        first = parts.groupBy("fingerprint").agg(F.min("_run").alias("_run"))
+        return parts.join(first, ["fingerprint", "_run"], "left_semi").join(now.select("fingerprint"), "fingerprint", "left_semi").drop("fingerprint", "_run"), todo.select(source, "n_jobs")

@@ -36,7 +36,8 @@ def _zigzag(total: Column, n: Column, most: Column, least: Column) -> Column:
 
 
 def shape(points: DataFrame) -> DataFrame:
-    """n, SNR, CV, TPAS, ZZ, DZZ, PCC, SKEW, DENT, DM, JAG of each trace, from one window pass and one aggregate."""
+    """n, SNR, CV, TPAS, ZZ, DZZ, PCC, SKEW, DENT, DM, JAG of each trace, from one window pass and one aggregate. Values that are null, negative or not finite count as 0."""
+    points = points.withColumn("y", F.when((F.col("y") > 0) & (F.col("y") < float("inf")) & ~F.isnan("y"), F.col("y")).otherwise(0.0))
     lag, lead = (lambda c, k=1: F.lag(c, k).over(by_place())), (lambda c: F.lead(c).over(by_place()))
     d = smoothed(points).select("trace", "y", "m", lag("y").alias("p"), lag("y", 2).alias("pp"), lead("y").alias("q"), lag("m").alias("mp"), lead("m").alias("mq"))
     step = F.col("y") - F.col("p")
@@ -149,3 +150,32 @@ def derivatives(points: DataFrame, x: str = "i") -> DataFrame:
     h, k = F.col(x) - F.col(f"p{x}"), F.col(f"q{x}") - F.col(x)
     inner = (h * h * F.col("qy") + (k * k - h * h) * F.col("y") - k * k * F.col("py")) / (h * k * (h + k))
     return d.select("trace", "i", F.when(h.isNull(), (F.col("qy") - F.col("y")) / k).when(k.isNull(), (F.col("y") - F.col("py")) / h).otherwise(inner).alias("dy"))
+
+
+def derivatives(points: DataFrame) -> DataFrame:
+    """trace, i, d1, d2: first and second derivative of y over x on a grid of any steps, of second order inside a trace, of first order at its ends."""
+    def slope(d: DataFrame, y: str, name: str) -> DataFrame:
+        before, after = F.col("x") - F.lag("x").over(by_place()), F.lead("x").over(by_place()) - F.col("x")
+        rise, fall = F.lead(y).over(by_place()) - F.col(y), F.col(y) - F.lag(y).over(by_place())
+        inner = (fall / before * after + rise / after * before) / (before + after)
+        return d.withColumn(name, F.coalesce(inner, rise / after, fall / before, F.lit(0.0)))
+
+    return slope(slope(points, "y", "d1"), "d1", "d2").select("trace", "i", "x", "y", "d1", "d2")
+
+
+#: Greatest share of the maximum that still counts as noise, and the least noise; fixed values.
+NOISE_SHARE, QUIET = 0.05, 1e-4
+
+
+def noise_filters(points: DataFrame) -> DataFrame:
+    """af, ff, sf of each trace: the median of what is at most a twentieth of the greatest step, slope, and change of slope; QUIET for fewer than five points, or where there is nothing."""
+    d = derivatives(points).withColumns({"d1": F.abs("d1"), "step": F.abs(F.lead("y").over(by_place()) - F.col("y"))})
+    d = derivatives(d.select("trace", "i", "x", F.col("d1").alias("y"))).select("trace", "i", F.abs("d1").alias("sf"), F.col("y").alias("ff")).join(d.select("trace", "i", F.col("step").alias("af")), ["trace", "i"])
+    whole = {c: F.max(c).over(Window.partitionBy("trace")) for c in ("af", "ff", "sf")}
+    d = d.withColumns({f"{c}_top": v for c, v in whole.items()})
+    def picked(c: str) -> Column:
+        m = F.median(F.when(F.col(c) <= NOISE_SHARE * F.col(f"{c}_top"), F.col(c)))
+        m = F.coalesce(m, F.median(c))
+        return F.when((F.count("*") < 5) | (F.max(c) <= 1e-12) | (m <= 1e-12), QUIET).otherwise(m).alias(c)
+
+    return d.groupBy("trace").agg(*(picked(c) for c in ("af", "ff", "sf")))

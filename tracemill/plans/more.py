@@ -82,11 +82,11 @@ def g7(spark, sf):
     return P.table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n_shapes"), F.count_distinct("conv_id").alias("n_documents"))
 
 
-@query("P16_rectangles", f"SELECT sample, {r('ord')} AS ord, CASE WHEN x2 > 20 AND x1 >= 3 THEN [{r('least(x1, 20)')}, 0.0, {r('x2')}, {r('y2')}] END AS box FROM (SELECT * FROM ({P.BOXES}) WHERE x2 > 20 OR x1 < 3)")
+@query("P16_rectangles", f"SELECT sample, {r('ord')} AS ord, CASE WHEN x2 > 20 AND x1 >= 3 THEN [{r('least(x1, 20)')}, 0.0, {r('x2')}, {r('y2')}] END AS box FROM ({P.BOXES})")
 def p16(spark, sf):
-    b = P.boxes(spark, sf).filter("x2 > 20 or x1 < 3")
-    points = F.array(F.array(F.col("x2"), F.lit(0.0)), F.array(F.when((F.col("x1") >= 3) & (F.col("x2") > 20), F.least("x1", F.lit(20.0))).otherwise(F.lit(-1.0)), F.col("y2")))
-    return b.withColumn("points", points).select("sample", "ord", normalize.rectangle("points").alias("raw")).select("sample", "ord", F.transform("raw", lambda v: F.round(v, 6) + 0.0).alias("box"))
+    good = (F.col("x1") >= 3) & (F.col("x2") > 20)  # of the others, a corner is negative or both lie on one line
+    points = F.array(F.array(F.col("x2"), F.lit(0.0)), F.array(F.when(good, F.least("x1", F.lit(20.0))).when(F.col("x1") < 3, F.lit(-1.0)).otherwise(F.col("x2")), F.col("y2")))
+    return P.boxes(spark, sf).withColumn("points", points).select("sample", "ord", normalize.rectangle("points").alias("raw")).select("sample", "ord", F.transform("raw", lambda v: F.round(v, 6) + 0.0).alias("box"))
 
 
 @query("P19_pixel_to_rt", f"SELECT sample, {r('ord')} AS ord, {r('greatest(x1 - 1, least(x1 + 1, x1 - 1 + x2 / 40 * 2))')} AS t FROM ({P.BOXES})")
@@ -94,7 +94,7 @@ def p19(spark, sf):
     return P.boxes(spark, sf).select("sample", "ord", normalize.pixel_to_rt("x2", "x1", 40).alias("t"))
 
 
-@query("P21_tiny_boxes", f"SELECT sample, {r('ord')} AS ord, (x2 - x1 < 7 OR y2 < 12 OR x1 < 2) AS tiny FROM ({P.BOXES})")
+@query("P21_tiny_boxes", f"SELECT sample, {r('ord')} AS ord, (x2 - x1 <= 7 OR y2 <= 12 OR x1 < 2) AS tiny FROM ({P.BOXES})")
 def p21(spark, sf):
     return P.boxes(spark, sf).select("sample", "ord", normalize.tiny(F.col("x2") - F.col("x1"), F.col("y2"), F.col("x1"), 7, 12, 2).alias("tiny"))
 

@@ -25,6 +25,19 @@ def newest(spark: SparkSession, pattern: str) -> str | None:
     return row.path
 
 
+def locate(spark: SparkSession, folder: str, name: str | None = None, preferred: str | None = None, full: str | None = None, pattern: str = "*.csv") -> str | None:
+    """Path of a detector's table in a folder: the fixed name; else the preferred one, if it is there, else the full one; else the
+    newest file of the pattern. Null if there is none."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for one in ((name,) if name else (preferred, full)):
+        if one and fs.exists(fs_path(f"{folder}/{one}")):
+            return f"{folder}/{one}"
+    if name or not fs.exists(fs_path(folder)) or not fs.globStatus(fs_path(f"{folder}/{pattern}")):
+        return None
+    return newest(spark, f"{folder}/{pattern}")
+
+
 def manifest(spark: SparkSession, path: str, n_attributes: int = 16) -> DataFrame:
     """Records of a JSON-lines manifest; blank lines are skipped, a line that does not fit the schema is an error that shows it."""
     raw = spark.read.text(path).filter(F.trim("value") != "")
