@@ -32,7 +32,7 @@ _LONG = ", ".join(f"{{'attribute': '{c}', 'v': {c}}}" for c in attributes.ATTRIB
 
 @query("E12_univariate", f"""WITH pts AS (SELECT trace AS feature, i AS x, y FROM ({P.TRACES})), {_ATTRIBUTES},
 uw AS (SELECT f.feature, CASE WHEN c_acctbal > 4500 THEN 1 ELSE 0 END AS label, {_NAMES} FROM (SELECT DISTINCT feature FROM pts) f JOIN customer ON c_custkey = f.feature LEFT JOIN a USING (feature)),
-ug AS (SELECT feature, label, u.attribute AS attribute, u.v AS v FROM (SELECT feature, label, unnest([{_LONG}]) AS u FROM uw), md AS (SELECT attribute, coalesce(median(v) FILTER (feature % 5 <> 0), 0) AS m FROM ug GROUP BY attribute),
+ug AS (SELECT feature, label, u.attribute AS attribute, u.v AS v FROM (SELECT feature, label, unnest([{_LONG}]) AS u FROM uw)), md AS (SELECT attribute, coalesce(median(v) FILTER (feature % 5 <> 0), 0) AS m FROM ug GROUP BY attribute),
 uz AS (SELECT attribute, label, round(coalesce(v, m), 6) AS s FROM ug JOIN md USING (attribute) WHERE feature % 5 = 0), uk AS (SELECT attribute, label, rank() OVER (PARTITION BY attribute ORDER BY s) + (count(*) OVER (PARTITION BY attribute, s) - 1) / 2.0 AS rk FROM uz),
 un AS (SELECT attribute, sum(label) AS np, count(*) - sum(label) AS nn, sum(rk) FILTER (label = 1) AS sr FROM uk GROUP BY attribute), uq AS (SELECT attribute, (sr - np * (np + 1) / 2.0) / (np * nn) AS raw FROM un)
 SELECT attribute, {r('raw')} AS raw_auc, {r('greatest(raw, 1 - raw)')} AS direction_free_auc, CAST(rank() OVER (ORDER BY round(greatest(raw, 1 - raw), 9) DESC) AS INTEGER) AS rank FROM uq""")
@@ -110,11 +110,11 @@ def p28_parts(spark, sf):
 # --- detector tables -------------------------------------------------------------------------------------------------
 
 
-@query("P3_xcms_table", f"SELECT 'F' || p_partkey AS Feature_ID, {r('round_even(p_retailprice * 1.00001, 4)')} AS mz, {r('round_even((p_size - 0.371) / 60, 3)')} AS RTmin, {r('round_even(p_size / 60, 3)')} AS RT, {r('round_even((p_size + 0.413) / 60, 3)')} AS RTmax, p_size AS npeaks, {r('p_retailprice')} AS maxo, coalesce(CASE WHEN p_size % 3 <> 0 THEN CAST(p_partkey AS DOUBLE) END, 0) AS \"a.mzML\" FROM part")
+@query("P3_xcms_table", f"SELECT 'F' || p_partkey AS Feature_ID, {r('round_even(p_retailprice * 1.0000127, 4)')} AS mz, {r('round_even((p_size - 0.371) / 60, 3)')} AS RTmin, {r('round_even(p_size / 60, 3)')} AS RT, {r('round_even((p_size + 0.413) / 60, 3)')} AS RTmax, p_size AS npeaks, {r('p_retailprice')} AS maxo, coalesce(CASE WHEN p_size % 3 <> 0 THEN CAST(p_partkey AS DOUBLE) END, 0) AS \"a.mzML\" FROM part")
 def p3_table(spark, sf):
     size = F.col("p_size")
     d = P.table(spark, sf, "part").select(
-        F.concat(F.lit("F"), F.col("p_partkey").cast("string")).alias("Feature_ID"), (F.col("p_retailprice") * 1.00001).alias("mzmed"), (size - 0.371).alias("rtmin"), size.cast("double").alias("rtmed"), (size + 0.413).alias("rtmax"), size.alias("npeaks"),
+        F.concat(F.lit("F"), F.col("p_partkey").cast("string")).alias("Feature_ID"), (F.col("p_retailprice") * 1.0000127).alias("mzmed"), (size - 0.371).alias("rtmin"), size.cast("double").alias("rtmed"), (size + 0.413).alias("rtmax"), size.alias("npeaks"),
         F.col("p_retailprice").alias("maxo"), F.when(size % 3 != 0, F.col("p_partkey").cast("double")).alias("a.mzML"), F.lit("x").alias("other"),
     )
     return normalize.xcms_table(d)
