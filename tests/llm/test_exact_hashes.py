@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracemill.llm import exact_dedup, jaccard_join, runs, substring_dedup, suffix_dedup, textnum
 from test_operators import got
@@ -116,3 +117,22 @@ def test_identifiers_that_collide_fall_back_to_digests(spark, monkeypatch):
     assert not exact_dedup.collisions(d).isEmpty()
     assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.groups(d).collect()} == want
     assert want == {(i, min(j for j, u in rows if " ".join((u or "").split(" ")) == " ".join((t or "").split(" "))), k) for i, t in rows for k in [sum((u or "") == (t or "") for _, u in rows)]}
+
+
+@pytest.mark.parametrize("hot", [1000, 10**9])
+def test_a_long_passage_is_one_unitig(spark, hot, monkeypatch):
+    """Three documents share 2,000 words in different surroundings, one of them twice; another passage branches off it half way."""
+    monkeypatch.setattr(runs, "HOT", hot)
+    rnd = random.Random(9)
+    say = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage, half = say(2000), say(500)
+    texts = [say(70) + passage + say(40), say(30) + passage + say(90), say(55) + passage + say(60) + passage[:900] + half, say(33) + half]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "_id long, text string")
+    paths = runs.repeated(docs, runs.Unit(20, 5, True))
+    whole = paths.filter("copies > 1").select("_id", "first", "n", *runs.CONTENT, "copies", ((F.col("_id") == F.col("source")) & (F.col("k") == 0)).alias("source"))
+    found = sorted(substring_dedup.unitigs(whole, runs.CONTENT).collect())
+    assert len(found) < 20 < whole.count() / 20
+    longest = [r for r in found if r.length > 800]
+    assert {(r._id, r.copies, r.source) for r in longest} >= {(0, 4, True), (0, 3, True), (1, 4, False), (1, 3, False), (2, 3, False)}
+    by_place = {(r._id, p) for r in found for p in range(r.first, r.first + r.length)}
+    assert by_place == {(r._id, p) for r in whole.collect() for p in range(r.first, r.first + r.n)}  # unitigs hold what paths held

@@ -41,12 +41,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    Shuffle files of what has been written are let go at once, unless the table is `small`.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()  # the shuffle files of what has just been written go now, not when the driver's heap is full
+    if not small:
+        spark._jvm.System.gc()  # the shuffle files of what has just been written go now, not when the driver's heap is full
     return spark.read.schema(df.schema).parquet(path)
 
 

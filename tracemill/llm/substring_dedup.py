@@ -2,17 +2,19 @@
 
 Windows of WINDOW words are the edges of a De Bruijn graph over the corpus, its nodes the WINDOW - 1 words that two
 neighbouring windows share. The whole graph is never built: only windows under an anchor that occurs twice can be
-repeated (runs.py), and consecutive windows under one anchor are a path, one row from the start.
-
-1. Paths of equal words are one path, with the coordinates of its source: the least document, the first place in it.
-   All its other occurrences are repeats, whatever number of edges and copies it stands for.
-2. Where an anchor has several paths the graph may branch: the sources of these paths are expanded to edges, and an edge
-   that stands in several sources is a repeat in all but the first of them.
-3. Degrees of the nodes between repeated edges come from counts of distinct neighbours. Edges that meet in a node with one
-   edge in and one edge out are a nonbranching path; joins contract such paths in rounds of doubling (a path under one anchor has at most
-   WINDOW - GRAM + 1 edges, so the rounds are few and fixed), and what moves on is one span for each path and occurrence.
-4. Source coordinates verify: paths and edges are told apart by 128-bit BLAKE2 digests of the words at their coordinates,
-   never by anchor or node hashes alone. In every document the spans are laid over the words again.
+repeated (runs.py), and consecutive windows under one anchor are a short path, one row from the start.
+
+1. Paths of equal words are one path; those that stand somewhere twice are the graph.
+2. Where an anchor has several paths the graph may branch inside them: one occurrence of each of these paths is expanded to
+   edges, and edges that stand in several of them are the graph there.
+3. Compaction: one path (or edge) follows another without branching if each occurrence of the one is followed by the
+   other, and each of the other follows the one, which counts of neighbours tell. Joins contract such links in rounds of
+   doubling, across anchors, whatever the length: a passage that two documents share is one unitig, however many words it has.
+4. The removal is read off the unitigs: each has a number of occurrences and a source, the first of them (least document,
+   then least place), and every other occurrence of its head, as long as the whole unitig, goes. What is inside a unitig
+   moves no further, so a document gets a row for each unitig, not for each path.
+5. Source coordinates verify: paths and edges are told apart by 128-bit BLAKE2 digests of the words at the coordinates of
+   each occurrence, never by anchor or node hashes alone. In every document the spans are laid over the words again.
 
 Edge cases: an empty table gives no rows; null and empty texts have no words; texts shorter than a window lose nothing;
 long texts are read as numpy arrays in one task; of rows with the same id the one that sorts first by text counts as
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, unique_ids, written
-from .runs import Unit, Words, cover, flat, numbers, parts, per_text, repeated
+from .runs import CONTENT, SALTS, Unit, Words, cover, flat, is_hot, numbers, parts, per_text, repeated, salted_join
 
 WINDOW, GRAM = 20, 5
 #: What names an edge: its anchor and the two halves of the digest of its words.
@@ -63,45 +65,62 @@ def _edges(docs: DataFrame, paths: DataFrame, window: int) -> DataFrame:
     return per_text(docs, lists, ["runs"], work, "_id long, p int, a long, e long, f long")
 
 
-def _compacted(occurrences: DataFrame, longest: int, window: int) -> DataFrame:
-    """Of each repeated edge: he, hf (the edge where its nonbranching path begins, or one fewer than `window` edges before, so that the first and the last edge of a stretch cover all of it) and steps from there.
+def unitigs(occurrences: DataFrame, key: list[str], apart: tuple[str, ...] = ()) -> DataFrame:
+    """Occurrences of unitigs: _id, first (edge), length (edges), source (whether it is the first one), copies.
 
-    Two edges share a node where one follows the other in a document. A node with one edge in and one edge out is passed
-    straight through, so its edges are linked, and the links are contracted in rounds of doubling.
+    From occurrences of paths: _id, first, n (edges), `key`, copies (occurrences of the path), source. A unitig is a chain of
+    paths each of which always follows the one before it; its occurrences are those of its head. No chain is a ring, as the
+    last occurrence of a path in the last text has nothing behind it. Paths that differ in columns `apart` of the key follow
+    only their like.
     """
-    here = Window.partitionBy("_id", "a").orderBy("p")
-    after = occurrences.select(*EDGE, (F.lead("p").over(here) == F.col("p") + 1).alias("next"), F.lead("e").over(here).alias("e2"), F.lead("f").over(here).alias("f2"))
-    nodes = after.filter("next").groupBy(*EDGE, "e2", "f2").agg(F.lit(1).alias("one"))
-    one = F.count("*").alias("degree")
-    out = nodes.groupBy(*EDGE).agg(one).filter("degree = 1").drop("degree")
-    into = nodes.groupBy("a", "e2", "f2").agg(one).filter("degree = 1").drop("degree")
-    links = nodes.join(out, EDGE).join(into, ["a", "e2", "f2"]).select("a", F.col("e2").alias("e"), F.col("f2").alias("f"), F.col("e").alias("he"), F.col("f").alias("hf"))
-    edges = occurrences.groupBy(*EDGE).agg(F.lit(1).alias("one")).drop("one")
-    paths = edges.join(links.filter("e != he or f != hf"), EDGE, "left").withColumn("steps", F.when(F.col("he").isNull(), 0).otherwise(1))
-    paths = paths.withColumns({"he": F.coalesce("he", "e"), "hf": F.coalesce("hf", "f")})
-    reach = 1
-    while reach < longest and 2 * reach < window:
-        paths = written(paths, "contracted")
-        far = paths.select("a", F.col("e").alias("he"), F.col("f").alias("hf"), F.col("he").alias("e2"), F.col("hf").alias("f2"), F.col("steps").alias("more"))
-        paths = paths.join(far, ["a", "he", "hf"]).select(*EDGE, F.col("e2").alias("he"), F.col("f2").alias("hf"), (F.col("steps") + F.col("more")).alias("steps"))
-        reach *= 2
-    return paths
+    line = Window.partitionBy("_id", *apart).orderBy("first")
+    head, tail = [f"h_{c}" for c in key], [f"t_{c}" for c in key]
+    after = F.when(F.lead("first").over(line) == F.col("first") + F.col("n"), F.struct(*(F.lead(c).over(line).alias(t) for c, t in zip(key, tail, strict=True)), F.lead("copies").over(line).alias("t_copies"), F.lead("n").over(line).alias("t_n")))
+    pairs = occurrences.select(*(F.col(c).alias(h) for c, h in zip(key, head, strict=True)), "n", "copies", after.alias("after")).filter("after is not null and copies = after.t_copies")
+    links = pairs.groupBy(*head, "n", "copies", *(f"after.{t}" for t in tail), "after.t_n").agg(F.count("*").alias("m")).filter("m = copies")
+    # of each path that follows another: the head of its chain so far, and how many edges lie between
+    links = written(links.select(*tail, *head, F.col("n").cast("long").alias("offset"), F.col("t_n").alias("own")), "links")
+    names = [f"u_{h}" for h in head]
+
+    def doubled(d: DataFrame) -> DataFrame:
+        above = d.select(*(F.col(t).alias(h) for t, h in zip(tail, head, strict=True)), *(F.col(h).alias(u) for h, u in zip(head, names, strict=True)), F.col("offset").alias("more"))
+        up = d.drop("moved").join(above, head, "left")
+        return up.select(*tail, *(F.coalesce(u, h).alias(h) for h, u in zip(head, names, strict=True)), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), "own", F.col("more").isNotNull().alias("moved"))
+
+    while True:
+        new = written(doubled(doubled(links)), "contracted", small=True)
+        discard(links)
+        links = new
+        if new.filter("moved").isEmpty():
+            break
+    lengths = links.groupBy(*(F.col(h).alias(c) for c, h in zip(key, head, strict=True))).agg(F.max(F.col("offset") + F.col("own")).alias("length"))
+    known = lengths.unionByName(links.select(*(F.col(t).alias(c) for c, t in zip(key, tail, strict=True)), F.lit(None).cast("long").alias("length"))).withColumn("follows", F.col("length").isNull())
+    total = occurrences.count()
+    hot = is_hot("copies", total)
+    few = occurrences.filter(hot).select(*key).distinct().withColumn("_hot", F.lit(True))  # fewer than HOT
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = known.join(F.broadcast(few), key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    rows = occurrences.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64("_id", "first"), F.lit(SALTS)).cast("int")).otherwise(0))
+    found = rows.join(known, [*key, "_salt"], "left").filter(~F.coalesce("follows", F.lit(False)))
+    return found.select("_id", "first", F.coalesce("length", F.col("n").cast("long")).alias("length"), "source", "copies")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, n_spans, and kept_text (null unless `texts`)."""
     d = unique_ids(docs)
     paths = repeated(d, Unit(window, gram, True))
-    source = (F.col("_id") == F.col("source")) & (F.col("k") == 0)
-    whole = paths.filter(~source).select("_id", F.col("first").alias("lo"), (F.col("first") + F.col("n") - 1).alias("hi"))
-    edges = written(_edges(d, paths.filter(source & (F.col("contents") > 1)).select("_id", "first", "n", "a"), window), "edges")
-    twice = edges.groupBy(*EDGE).agg(F.min("_id").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    occurrences = written(edges.join(twice, EDGE), "occurrences")
+    first = (F.col("_id") == F.col("source")) & (F.col("k") == 0)
+    whole = paths.filter("copies > 1").select("_id", "first", "n", *CONTENT, F.lit(0).alias("kind"), "copies", first.alias("source"))
+    edges = written(_edges(d, paths.filter(first & (F.col("contents") > 1)).select("_id", "first", "n", "a"), window).withColumnRenamed("p", "first"), "edges")
+    twice = edges.groupBy(*EDGE).agg(F.min("_id").alias("least"), F.count("*").alias("copies")).filter("copies > 1")
+    several = salted_join(edges, written(twice, "twice", small=True), EDGE, "copies", edges.count())
+    inside = Window.partitionBy(*EDGE, "_id").orderBy("first")
+    source = (F.col("_id") == F.col("least")) & (F.row_number().over(inside) == 1)
+    several = several.select("_id", "first", F.lit(1).alias("n"), *(F.col(e).alias(c) for e, c in zip(EDGE, CONTENT, strict=True)), F.lit(1).alias("kind"), "copies", source.alias("source"))
+    occurrences = written(whole.unionByName(several), "occurrences")
     discard(edges)
-    inside = Window.partitionBy(*EDGE, "_id").orderBy("p")
-    later = occurrences.withColumn("k", F.row_number().over(inside)).filter("_id != least or k > 1").select("_id", "p", *EDGE)
-    compact = later.join(_compacted(occurrences, window - gram + 1, window), EDGE).groupBy("_id", "a", "he", "hf", F.col("p") - F.col("steps")).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    spans = whole.unionByName(compact.select("_id", "lo", "hi")).groupBy("_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    gone = unitigs(occurrences, ["kind", *CONTENT], ("kind",)).filter("not source")
+    spans = gone.groupBy("_id").agg(F.collect_list(F.struct(F.col("first").alias("lo"), (F.col("first") + F.col("length") - 1).alias("hi"))).alias("spans"))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         row, found = flat(batch.column(3))

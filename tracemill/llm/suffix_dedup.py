@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import unique_ids
-from .runs import CONTENT, Unit, cover, flat, numbers, parts, per_text, repeated
+from .runs import CONTENT, SALTS, Unit, cover, flat, is_hot, numbers, parts, per_text, repeated
 from .textnum import byte_grams, loads, mix
 
 WINDOW, GRAM = 200, 48
@@ -333,7 +333,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     key = F.when(pure, F.xxhash64("source", "other")).otherwise(F.xxhash64("a", F.pmod(F.col("s"), spread)))
     dealt = two.select("_id", "first", F.pmod(key, F.lit(shards)).alias("shard"), key.alias("set_id"), spread.alias("spread"), pure.alias("pure"), *MEMBER)
     found = _in_shards(_contents(d, dealt, window), window, shards)
-    spans = runs.select("_id", "first", *CONTENT).join(found, CONTENT).groupBy("_id").agg(F.collect_list(F.struct("first", "lo", "hi")).alias("runs"))
+    # copies of a hot content are dealt over parts, what was found of it goes to each part
+    hot = is_hot("copies", runs.count())
+    few = runs.filter(hot).select(*CONTENT).distinct().withColumn("_hot", F.lit(True))  # fewer than HOT
+    found = found.join(F.broadcast(few), CONTENT, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    salted = runs.select("_id", "first", *CONTENT, F.when(hot, F.pmod(F.xxhash64("_id", "first"), F.lit(SALTS)).cast("int")).otherwise(0).alias("_salt"))
+    spans = salted.join(found, [*CONTENT, "_salt"]).groupBy("_id").agg(F.collect_list(F.struct("first", "lo", "hi")).alias("runs"))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         row, runs = flat(batch.column(3))
