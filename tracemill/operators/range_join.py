@@ -46,9 +46,9 @@ def dense(features: DataFrame, peaks: DataFrame, width: float = 5.0, method: str
 def near_pairs(rows: DataFrame, key: str, x: str, y: str, ppm: float, gap: float) -> DataFrame:
     """Pairs (a, b) of rows of one source (null is none), x within ppm and y within gap, by buckets of both: of log x, so that
     ppm is a width, and of y. A dense source falls into as many buckets as it has places, and no bucket grows with the
-    source's range."""
+    source's range. An x that is not positive has no ppm and is an error; a row with a null x or y has no pairs."""
     wide, span = 4e-6 * ppm, 4 * gap
-    log = F.log(F.col(x))
+    log = F.when(F.col(x) > 0, F.log(F.col(x))).when(F.col(x).isNotNull(), F.raise_error(F.lit(f"{x} must be positive")).cast("double"))
     slack = 1.01e-6 * ppm  # the logarithm of a ratio of ppm is a little off ppm itself
     around = lambda v, reach, width: F.sequence(F.floor((v - reach) / width), F.floor((v + reach) / width))
     left = rows.select("source", F.col(key).alias("a"), F.col(x).alias("xa"), F.col(y).alias("ya"), F.explode(around(log, slack, wide)).alias("bx"), around(F.col(y), gap, span).alias("bys"))

@@ -218,18 +218,18 @@ class PartStore:
         d = jobs.groupBy(source).agg(F.count("*").alias("n_jobs"), F.concat_ws(":", *(part(k) for k in range(4))).alias("digest"))
         return d.join(sources, source).select(source, F.concat(F.lit("p"), F.sha2(F.concat_ws("|", F.col(source).cast("string"), "digest", "n_jobs", "sha256"), 256)).alias("fingerprint"), "n_jobs")
 
-    def have(self) -> DataFrame:
-        """Fingerprints whose parts are committed."""
-        fs, path = self._fs()
-        found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []  # one run each
-        names = [n for n in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
-        if not names:
-            return self.spark.createDataFrame([], "fingerprint string")
-        return self.spark.read.parquet(*(f"{self.folder}/{n}" for n in names)).select("fingerprint").distinct()
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def parts(self) -> DataFrame | None:
+        """All committed parts, with fingerprint and _run; null before the first run. What a killed run left has no marker."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        path = hadoop(self.folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath().toString() for s in fs.listStatus(path)] if fs.exists(path) else []  # a folder for each run
+        out = None
+        for run in found:
+            if fs.exists(hadoop(f"{run}/_SUCCESS")):
+                d = self.spark.read.parquet(run).withColumn("_run", F.lit(run))
+                out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+        return out
 
     def update(self, jobs: DataFrame, sources: DataFrame, source: str, job: str, compute) -> tuple[DataFrame, DataFrame]:
         """compute(jobs) for all sources; and the sources that were computed now. Parts of unchanged ones are read back.
@@ -239,16 +239,12 @@ class PartStore:
         import uuid
 
         now = written(self.fingerprints(jobs, sources, source, job), "fingerprints")
-        todo = written(now.join(self.have(), "fingerprint", "left_anti"), "stale")
+        have = self.parts()
+        todo = written(now.join(have.select("fingerprint").distinct(), "fingerprint", "left_anti") if have is not None else now, "stale")
         if not todo.isEmpty():
             asked = jobs.join(todo.select(source, "fingerprint"), source)
             done = compute(asked.drop("fingerprint")).join(todo.select(source, "fingerprint"), source)
             done.repartition("fingerprint").write.partitionBy("fingerprint").parquet(f"{self.folder}/run-{uuid.uuid4().hex}")
-        fs, path = self._fs()
-        runs = [s.getPath().toString() for s in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath().toString() + "/_SUCCESS"))]
-        parts = None
-        for r in runs:  # of parts that two runs made at once, one is read
-            d = self.spark.read.parquet(r).withColumn("_run", F.lit(r))
-            parts = d if parts is None else parts.unionByName(d, allowMissingColumns=True)
+        parts = self.parts()  # of parts that two runs made at once, one is read
         first = parts.groupBy("fingerprint").agg(F.min("_run").alias("_run"))
         return parts.join(first, ["fingerprint", "_run"], "left_semi").join(now.select("fingerprint"), "fingerprint", "left_semi").drop("fingerprint", "_run"), todo.select(source, "n_jobs")
