@@ -152,7 +152,7 @@ def derivatives(points: DataFrame, x: str = "i") -> DataFrame:
     return d.select("trace", "i", F.when(h.isNull(), (F.col("qy") - F.col("y")) / k).when(k.isNull(), (F.col("y") - F.col("py")) / h).otherwise(inner).alias("dy"))
 
 
-def derivatives(points: DataFrame) -> DataFrame:
+def slopes(points: DataFrame) -> DataFrame:
     """trace, i, d1, d2: first and second derivative of y over x on a grid of any steps, of second order inside a trace, of first order at its ends."""
     def slope(d: DataFrame, y: str, name: str) -> DataFrame:
         before, after = F.col("x") - F.lag("x").over(by_place()), F.lead("x").over(by_place()) - F.col("x")
@@ -169,8 +169,8 @@ NOISE_SHARE, QUIET = 0.05, 1e-4
 
 def noise_filters(points: DataFrame) -> DataFrame:
     """af, ff, sf of each trace: the median of what is at most a twentieth of the greatest step, slope, and change of slope; QUIET for fewer than five points, or where there is nothing."""
-    d = derivatives(points).withColumns({"d1": F.abs("d1"), "step": F.abs(F.lead("y").over(by_place()) - F.col("y"))})
-    d = derivatives(d.select("trace", "i", "x", F.col("d1").alias("y"))).select("trace", "i", F.abs("d1").alias("sf"), F.col("y").alias("ff")).join(d.select("trace", "i", F.col("step").alias("af")), ["trace", "i"])
+    d = slopes(points).withColumns({"d1": F.abs("d1"), "step": F.abs(F.lead("y").over(by_place()) - F.col("y"))})
+    d = slopes(d.select("trace", "i", "x", F.col("d1").alias("y"))).select("trace", "i", F.abs("d1").alias("sf"), F.col("y").alias("ff")).join(d.select("trace", "i", F.col("step").alias("af")), ["trace", "i"])
     whole = {c: F.max(c).over(Window.partitionBy("trace")) for c in ("af", "ff", "sf")}
     d = d.withColumns({f"{c}_top": v for c, v in whole.items()})
     def picked(c: str) -> Column:

@@ -210,9 +210,9 @@ def t3(spark, sf):
     return splits.quota_sample(P.table(spark, sf, "events"), "user_id", "event_id", 700, 4, 9).select("event_id", "user_id", "rank")
 
 
-@query("T5_fixed_strata", "SELECT p_partkey, stratum, rank FROM (SELECT p_partkey, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('2:' || CAST(p_partkey AS VARCHAR)), p_partkey) AS rank FROM (SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_retailprice > 950 THEN 'dear' END AS stratum FROM part) WHERE stratum IS NOT NULL) WHERE rank <= CASE stratum WHEN 'large' THEN 10 ELSE 7 END")
+@query("T5_fixed_strata", "SELECT p_partkey, stratum, rank FROM (SELECT p_partkey, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('2:' || CAST(p_partkey AS VARCHAR)), p_partkey) AS rank FROM (SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_retailprice > 905 THEN 'dear' END AS stratum FROM part) WHERE stratum IS NOT NULL) WHERE rank <= CASE stratum WHEN 'large' THEN 10 ELSE 7 END")
 def t5(spark, sf):
-    return splits.fixed_strata(P.table(spark, sf, "part"), [("large", "p_size > 40", 10), ("dear", "p_retailprice > 950", 7)], "p_partkey", 2).select("p_partkey", "stratum", "rank")
+    return splits.fixed_strata(P.table(spark, sf, "part"), [("large", "p_size > 40", 10), ("dear", "p_retailprice > 905", 7)], "p_partkey", 2).select("p_partkey", "stratum", "rank")
 
 
 @query("T7_first_rows", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_totalprice IS NOT NULL ORDER BY o_orderdate, o_orderkey LIMIT 25")

@@ -154,7 +154,7 @@ def p25_boxes(spark, sf):
 @query("A23_derivatives", f"""WITH e AS ({P.EICS}), a AS (SELECT *, x - lag(x) OVER w AS hs, lead(x) OVER w - x AS hd, y - lag(y) OVER w AS fs, lead(y) OVER w - y AS fd FROM e WINDOW w AS (PARTITION BY trace ORDER BY i)), b AS (SELECT trace, i, x, y, coalesce((fs / hs * hd + fd / hd * hs) / (hs + hd), fd / hd, fs / hs, 0) AS d1, hs, hd FROM a),
 c AS (SELECT *, d1 - lag(d1) OVER w AS gs, lead(d1) OVER w - d1 AS gd FROM b WINDOW w AS (PARTITION BY trace ORDER BY i)) SELECT trace, i, {r('x')} AS x, {r('y')} AS y, {r('d1')} AS d1, {r('coalesce((gs / hs * hd + gd / hd * hs) / (hs + hd), gd / hd, gs / hs, 0)')} AS d2 FROM c""")
 def a23_derivatives(spark, sf):
-    return traces.derivatives(P.eics(spark, sf))
+    return traces.slopes(P.eics(spark, sf))
 
 
 _FILTER = lambda c: f"CASE WHEN count(*) < 5 OR max({c}) <= 1e-12 OR coalesce(median({c}) FILTER ({c} <= 0.05 * {c}_top), median({c})) <= 1e-12 THEN 1e-4 ELSE coalesce(median({c}) FILTER ({c} <= 0.05 * {c}_top), median({c})) END"
