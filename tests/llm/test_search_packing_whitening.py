@@ -120,6 +120,16 @@ def test_best_fit(spark, docs, limits):
     assert packed(spark, docs.limit(0), **limits) == []
 
 
+@pytest.mark.parametrize("limits", [{}, {"n_open": 8, "merge": 3}])
+def test_many_tasks_waste_little(spark, limits):
+    rnd = random.Random(2)
+    rows = [(k, " ".join(rnd.choice("one two three four".split()) for _ in range(rnd.choice([5, 40, 300, 700, 1500])))) for k in range(900)]
+    tok = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    expected = [(i, [*tok.encode(t, add_special_tokens=False).ids, 2]) for i, t in rows]
+    n = check_packed(packed(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(20), **limits), expected, 1024)
+    assert n <= 1.02 * sum(len(ids) for _, ids in expected) / 1024 + 1
+
+
 def test_bins_are_best_fit():
     bins = best_fit.Bins(10, 3)
     put = lambda n: bins.add((n, 0, 0, n, 0))

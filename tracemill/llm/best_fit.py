@@ -7,7 +7,8 @@ fullest closes. A bin with no space left closes at once.
 
 Documents longer than a bin are cut into pieces of a whole bin each, the first one having what is left over; all others stay
 whole. What is open at the end of a task has room left: these pieces (no ids, five numbers each) meet those of up to
-MERGE - 1 other tasks and are packed again in the same way, the longest first, in rounds until one group is left.
+MERGE - 1 other tasks and are packed again, the longest first, with as many bins open as they need; the OPEN emptiest bins
+stay open for the next round, until one group is left.
 
 Documents are not shuffled. No task takes more than MERGE * OPEN bins of leftovers, whatever the size of the input.
 
@@ -103,19 +104,20 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _again(length: int, n_open: int, level: int, last: bool):
-    """Packs the leftovers of a group of tasks, longest first."""
+    """Packs the leftovers of a group of tasks, longest first; all bins but the emptiest close."""
 
     def run(key: tuple, found: pa.Table) -> pa.Table:
-        group, bins, n, rows = key[0].as_py(), Bins(length, n_open), 0, []
+        group, bins, n, rows = key[0].as_py(), Bins(length, found.num_rows), 0, []
         first = level << ROUND | group << SHIFT
         pieces = zip(*(found[c].to_pylist() for c in NAMES[:5]), strict=True)
         for piece in sorted(pieces, key=lambda p: (-p[3], p[0] is None, p[0] or 0, p[2], p[4])):
             if closed := bins.add(piece):
                 rows += _rows(closed, first + n)
                 n += 1
-        for closed in bins.rest():
-            rows += _rows(closed, first + n if last else None, None if last else group)
-            n += 1
+        rest = bins.rest()
+        done = len(rest) if last else max(0, len(rest) - n_open)
+        for k, closed in enumerate(rest):
+            rows += _rows(closed, first + n + k) if k < done else _rows(closed, None, group)
         return pa.Table.from_batches([_batch(rows)])
 
     return run
