@@ -111,8 +111,8 @@ def is_hot(count: str, total: int) -> Column:
     return F.col(count) > total // HOT
 
 
-def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, total: int, hint: str | None = None) -> DataFrame:
-    """Inner join of many rows with one row for each key, which has the number of its rows in the column `count`.
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, total: int, hint: str | None = None, how: str = "inner") -> DataFrame:
+    """Join (inner, or left) of many rows with one row for each key, which has the number of its rows in the column `count`.
 
     A key with more than a HOT-th of all rows is dealt over SALTS parts, its one row to each of them. There are fewer than
     HOT such keys, whatever the data, so they are sent to all tasks.
@@ -121,7 +121,7 @@ def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], count: str, tot
     few = keys.filter(hot).select(*on, F.lit(True).alias("_hot"))
     many = rows.join(F.broadcast(few), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id", "first"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
     one = keys.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return many.join(one.hint(hint) if hint else one, [*on, "_salt"]).drop("_salt")
+    return many.join(one.hint(hint) if hint else one, [*on, "_salt"], how).drop("_salt")
 
 
 def repeated(docs: DataFrame, unit: Unit) -> DataFrame:

@@ -8,8 +8,9 @@ repeated (runs.py), and consecutive windows under one anchor are a short path, o
 2. Where an anchor has several paths the graph may branch inside them: one occurrence of each of these paths is expanded to
    edges, and edges that stand in several of them are the graph there.
 3. Compaction: one path (or edge) follows another without branching if each occurrence of the one is followed by the
-   other, and each of the other follows the one, which counts of neighbours tell. Joins contract such links in rounds of
-   doubling, across anchors, whatever the length: a passage that two documents share is one unitig, however many words it has.
+   other, and each of the other follows the one, which counts of neighbours tell. A join marks all occurrences of paths that
+   follow so, and what is marked is one with what it stands behind, across anchors, whatever the length: a passage that two
+   documents share is one unitig, however many words it has.
 4. The removal is read off the unitigs: each has a number of occurrences and a source, the first of them (least document,
    then least place), and every other occurrence of its head, as long as the whole unitig, goes. What is inside a unitig
    moves no further, so a document gets a row for each unitig, not for each path.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, unique_ids, written
-from .runs import CONTENT, SALTS, Unit, Words, cover, flat, is_hot, numbers, parts, per_text, repeated, salted_join
+from .runs import CONTENT, Unit, Words, cover, flat, numbers, parts, per_text, repeated, salted_join
 
 WINDOW, GRAM = 20, 5
 #: What names an edge: its anchor and the two halves of the digest of its words.
@@ -69,40 +70,20 @@ def unitigs(occurrences: DataFrame, key: list[str], apart: tuple[str, ...] = ())
     """Occurrences of unitigs: _id, first (edge), length (edges), source (whether it is the first one), copies.
 
     From occurrences of paths: _id, first, n (edges), `key`, copies (occurrences of the path), source. A unitig is a chain of
-    paths each of which always follows the one before it; its occurrences are those of its head. No chain is a ring, as the
-    last occurrence of a path in the last text has nothing behind it. Paths that differ in columns `apart` of the key follow
+    paths each of which always follows the one before it; its occurrences are those of its head. Paths that differ in columns `apart` of the key follow
     only their like.
     """
     line = Window.partitionBy("_id", *apart).orderBy("first")
     head, tail = [f"h_{c}" for c in key], [f"t_{c}" for c in key]
-    after = F.when(F.lead("first").over(line) == F.col("first") + F.col("n"), F.struct(*(F.lead(c).over(line).alias(t) for c, t in zip(key, tail, strict=True)), F.lead("copies").over(line).alias("t_copies"), F.lead("n").over(line).alias("t_n")))
-    pairs = occurrences.select(*(F.col(c).alias(h) for c, h in zip(key, head, strict=True)), "n", "copies", after.alias("after")).filter("after is not null and copies = after.t_copies")
-    links = pairs.groupBy(*head, "n", "copies", *(f"after.{t}" for t in tail), "after.t_n").agg(F.count("*").alias("m")).filter("m = copies")
-    # of each path that follows another: the head of its chain so far, and how many edges lie between
-    links = written(links.select(*tail, *head, F.col("n").cast("long").alias("offset"), F.col("t_n").alias("own")), "links")
-    names = [f"u_{h}" for h in head]
-
-    def doubled(d: DataFrame) -> DataFrame:
-        above = d.select(*(F.col(t).alias(h) for t, h in zip(tail, head, strict=True)), *(F.col(h).alias(u) for h, u in zip(head, names, strict=True)), F.col("offset").alias("more"))
-        up = d.drop("moved").join(above, head, "left")
-        return up.select(*tail, *(F.coalesce(u, h).alias(h) for h, u in zip(head, names, strict=True)), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), "own", F.col("more").isNotNull().alias("moved"))
-
-    while True:
-        new = written(doubled(doubled(links)), "contracted", small=True)
-        discard(links)
-        links = new
-        if new.filter("moved").isEmpty():
-            break
-    lengths = links.groupBy(*(F.col(h).alias(c) for c, h in zip(key, head, strict=True))).agg(F.max(F.col("offset") + F.col("own")).alias("length"))
-    known = lengths.unionByName(links.select(*(F.col(t).alias(c) for c, t in zip(key, tail, strict=True)), F.lit(None).cast("long").alias("length"))).withColumn("follows", F.col("length").isNull())
-    total = occurrences.count()
-    hot = is_hot("copies", total)
-    few = occurrences.filter(hot).select(*key).distinct().withColumn("_hot", F.lit(True))  # fewer than HOT
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    known = known.join(F.broadcast(few), key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    rows = occurrences.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64("_id", "first"), F.lit(SALTS)).cast("int")).otherwise(0))
-    found = rows.join(known, [*key, "_salt"], "left").filter(~F.coalesce("follows", F.lit(False)))
-    return found.select("_id", "first", F.coalesce("length", F.col("n").cast("long")).alias("length"), "source", "copies")
+    after = F.when(F.lead("first").over(line) == F.col("first") + F.col("n"), F.struct(*(F.lead(c).over(line).alias(t) for c, t in zip(key, tail, strict=True)), F.lead("copies").over(line).alias("t_copies")))
+    pairs = occurrences.select(*(F.col(c).alias(h) for c, h in zip(key, head, strict=True)), "copies", after.alias("after")).filter("after is not null and copies = after.t_copies")
+    links = pairs.groupBy(*head, "copies", *(f"after.{t}" for t in tail)).agg(F.count("*").alias("m")).filter("m = copies")
+    follows = written(links.select(*(F.col(t).alias(c) for c, t in zip(key, tail, strict=True)), "copies"), "links")
+    d = salted_join(occurrences, follows.select(*key, F.col("copies").alias("_copies"), F.lit(1).alias("follows")), key, "_copies", occurrences.count(), how="left").drop("_copies")
+    # a path that always follows another stands behind it wherever it stands: each place that does not begins a unitig
+    begins = F.sum(F.when(F.col("follows") == 1, 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    rows = d.withColumn("_unitig", begins).groupBy("_id", *apart, "_unitig")
+    return rows.agg(F.min("first").alias("first"), F.sum("n").alias("length"), F.max("source").alias("source"), F.max("copies").alias("copies")).drop(*apart, "_unitig")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True) -> DataFrame:
