@@ -3,6 +3,7 @@ tables and further columns whose names are those that operators use inside."""
 
 import random
 import re
+import zlib
 
 import corpus_pipeline
 import pytest
@@ -166,3 +167,22 @@ def test_furniture_of_four_languages(spark):
     lines = ["Bitte lesen Sie die Datenschutzerklärung genau durch.", "Tous droits réservés par les auteurs de ce site.", "Lea la Política de Privacidad antes de entrar aquí.", "Please read the Privacy Policy before you go on."]
     found = quality_rules.judge(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
     assert {r.reasons for r in found} == {"boilerplate"}
+
+
+def test_many_documents_of_one_id_are_fitted_within_the_sample(spark):
+    d = spark.range(600).select(F.lit(1).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text")).repartition(3)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert zlib.crc32(b"1") % 4 != 2  # the id is not held out
+    seen = classifier.vectors(d, ["doc_id"]).count()
+    weights = classifier.train(d, labels, sample=20)
+    assert seen == 600 and 0 < (weights != 0).sum() <= 20 * 8
+    assert (classifier.train(d.repartition(5), labels, sample=20) == weights).all()
+
+
+def test_files_of_a_target_size(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_store, "TARGET", 50_000)
+    manifest = token_store.write(docs, tokenizer(BYTE))
+    assert manifest.count() > 4
+    plain = seen(token_store.read(token_store.write(docs, tokenizer(BYTE))), "doc_id start n_tokens ids_crc32")
+    monkeypatch.undo()
+    assert plain == seen(token_store.read(token_store.write(docs, tokenizer(BYTE))), "doc_id start n_tokens ids_crc32")

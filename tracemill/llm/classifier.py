@@ -107,18 +107,19 @@ def leader(rows: pd.DataFrame, epochs: int = EPOCHS) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
-    """Weights learnt from at most `sample` labelled rows that are not held out."""
+    """Weights learnt from at most `sample` labelled rows that are not held out, however many documents have one id."""
     known = labels.select(F.col("doc_id").alias("_doc"), F.col(label).cast("double").alias("label")).filter(F.col("_doc").isNotNull() & F.col("label").isNotNull() & ~held_out("_doc"))
     order = F.xxhash64(F.col("_doc"), F.lit(7))
     chosen = known.withColumn("_order", order).orderBy("_order", "_doc", "label").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc"))  # at most `sample` rows of three numbers
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc"))  # at most `sample` rows of three numbers
+    order = ["_order", "_doc", "label", "_text"]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = leader(pdf.sort_values(["_order", "_doc", "label"]))
+        w = leader(pdf.sort_values(order))
         slot = np.flatnonzero(w)
         return pd.DataFrame({"slot": slot, "weight": w[slot]})
 
-    found = vectors(rows, ["_order", "_doc", "label"]).groupBy().applyInPandas(fit, "slot long, weight double").toPandas()
+    found = vectors(rows, order).orderBy(*order).limit(sample).groupBy().applyInPandas(fit, "slot long, weight double").toPandas()
     out = np.zeros((1 << BITS) + 1)
     out[found["slot"].to_numpy(np.int64)] = found["weight"]
     return out

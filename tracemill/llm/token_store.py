@@ -6,9 +6,10 @@ size of every frame and a checksum of its content, then the number of frames and
 end, reads the table and the directory, and decompresses only the frames that hold what it wants.
 
 Writing: one shuffle by ranges of doc_id (and a hash of the text, so that rows of one id or of none can be dealt too), so
-that files follow each other in order; each task streams its documents to
-one file under a name of its own attempt, and only names that successful tasks report enter the manifest, so lost
-executors and repeated tasks leave nothing in it. Memory: one frame and one batch of documents.
+that files follow each other in order; there are as many ranges as shuffle partitions, and more where a file would have over TARGET bytes of text. Each
+task streams its documents to one file under a name of its own attempt, and only names that successful tasks report enter
+the manifest, so lost executors and repeated tasks leave nothing in it. Memory: one frame, one batch of documents, and two
+numbers for each document of the file (its directory, which a reader loads as well).
 
 Edge cases: null and empty texts have the end id alone; null doc_ids come last; rows of one id stand in the order of a hash
 of their texts; ids must be numbers; a text of any length is encoded by one task and cut over as many frames as it needs;
@@ -36,6 +37,8 @@ from .pieces import library_tokens
 
 #: Ids in a frame; zstandard level; the id behind each document.
 FRAME, LEVEL, END = 1 << 16, 1, 2
+#: Bytes of text of a file, as a rule.
+TARGET = 1 << 30
 #: Of the public seekable format: skippable frame, seek table footer. Fixed values.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -139,7 +142,10 @@ def write(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
 
     mark = F.xxhash64("text")
     order = [F.col("doc_id").asc_nulls_last(), mark.asc()]
-    ranged = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    source = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    size = source.agg(F.sum(F.octet_length("text").cast("long")).alias("size")).first().size or 0
+    many = -(-size // TARGET)
+    ranged = source.repartitionByRange(*([many] if many > int(spark.conf.get("spark.sql.shuffle.partitions")) else []), *order).sortWithinPartitions(*order, "text")
     manifest = written(ranged.mapInArrow(run, "part long, file string, n_docs long, n_tokens long"), "manifest")
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each file
     return manifest.withColumn("start", F.coalesce(before, F.lit(0)))
