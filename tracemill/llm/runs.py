@@ -138,9 +138,10 @@ def repeated(docs: DataFrame, unit: Unit) -> DataFrame:
     discard(runs)
     contents = written(found.groupBy(*CONTENT).agg(F.min("_id").alias("source"), F.max("_id").alias("other"), F.count("*").alias("copies"), F.min("first").alias("first")), "contents")
     several = written(contents.groupBy("a").agg(F.count("*").alias("contents")), "several")
-    contents = written(salted_join(contents.withColumn("_id", F.col("source")), several, ["a"], "contents", total).drop("_id", "first"), "contents")
-    paths = written(salted_join(found, contents, CONTENT, "copies", total), "paths")
-    discard(found)
+    named = written(salted_join(contents.withColumn("_id", F.col("source")), several, ["a"], "contents", total).drop("_id", "first"), "named")
+    discard(twice, contents, several)
+    paths = written(salted_join(found, named, CONTENT, "copies", total), "paths")
+    discard(found, named)
     return paths
 
 

@@ -99,8 +99,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     source = (F.col("_id") == F.col("least")) & (F.row_number().over(inside) == 1)
     several = several.select("_id", "first", F.lit(1).alias("n"), *(F.col(e).alias(c) for e, c in zip(EDGE, CONTENT, strict=True)), F.lit(1).alias("kind"), "copies", source.alias("source"))
     occurrences = written(whole.unionByName(several), "occurrences")
-    discard(edges)
-    gone = unitigs(occurrences, ["kind", *CONTENT], ("kind",)).filter("not source")
+    discard(edges, paths)
+    gone = written(unitigs(occurrences, ["kind", *CONTENT], ("kind",)).filter("not source").select("_id", "first", "length"), "gone")
+    discard(occurrences)
     spans = gone.groupBy("_id").agg(F.collect_list(F.struct(F.col("first").alias("lo"), (F.col("first") + F.col("length") - 1).alias("hi"))).alias("spans"))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
