@@ -68,3 +68,22 @@ def test_alignment_is_the_greedy_one(spark):
     d = spark.createDataFrame(rows, "algo string, feature int, mz double, rt double, intensity double")
     got = sorted((round(r.mz, 9), round(r.rt, 9), r.n, sorted(r.intensity.items())) for r in alignment.align(d, 0.005, 0.5).collect())
     assert got == sorted((round(c[0], 9), round(c[1], 9), c[2], sorted(c[3].items())) for c in centres)
+
+def test_digests_of_many_rows(spark):
+    from decimal import Decimal
+
+    d = spark.range(150_000).select(F.col("id").alias("seed"), (F.col("id") % 2).alias("label"), F.lit("train").alias("split"))
+    line = F.sha2(F.concat_ws("|", F.col("seed").cast("string"), F.col("label").cast("string")), 256)
+    sums = d.agg(*(F.sum(F.conv(F.substring(line, 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)")).alias(f"d{k}") for k in range(4))).first()
+    got = audits.digest(d, "split", ["seed", "label"]).first()
+    assert min(sums) > Decimal(2**63) and [got[f"digest_{k}"] for k in range(4)] == [int(s) % 2**63 for s in sums]
+    few = audits.digest(d.limit(1000), "split", ["seed", "label"]).first()
+    small = d.limit(1000).agg(*(F.sum(F.conv(F.substring(line, 1 + 12 * k, 12), 16, 10).cast("bigint")).alias(f"d{k}") for k in range(4))).first()
+    assert [few[f"digest_{k}"] for k in range(4)] == list(small)
+
+
+def test_part_store_of_many_jobs(spark, tmp_path):
+    jobs = spark.range(150_000).select(F.lit("a").alias("source"), F.col("id").cast("string").alias("job"))
+    sources = spark.createDataFrame([("a", "1")], "source string, sha256 string")
+    mark = lambda j: tables.PartStore(spark, f"file://{tmp_path}").fingerprints(j, sources, "source", "job").first()
+    assert mark(jobs).n_jobs == 150_000 and mark(jobs).fingerprint == mark(jobs.repartition(5)).fingerprint != mark(jobs.filter("job <> '7'")).fingerprint

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .audits import hash_sums
 from .shared import written
 
 
@@ -213,9 +214,7 @@ class PartStore:
 
     def fingerprints(self, jobs: DataFrame, sources: DataFrame, source: str, job: str) -> DataFrame:
         """source, fingerprint, n_jobs: from (source, job) and (source, sha256); sums of job digests combine in the map tasks."""
-        h = F.sha2(F.col(job).cast("string"), 256)
-        part = lambda k: F.sum(F.conv(F.substring(h, 1 + 12 * k, 12), 16, 10).cast("bigint")).cast("string")
-        d = jobs.groupBy(source).agg(F.count("*").alias("n_jobs"), F.concat_ws(":", *(part(k) for k in range(4))).alias("digest"))
+        d = jobs.groupBy(source).agg(F.count("*").alias("n_jobs"), F.concat_ws(":", *(s.cast("string") for s in hash_sums(F.col(job).cast("string")))).alias("digest"))
         return d.join(sources, source).select(source, F.concat(F.lit("p"), F.sha2(F.concat_ws("|", F.col(source).cast("string"), "digest", "n_jobs", "sha256"), 256)).alias("fingerprint"), "n_jobs")
 
     def parts(self) -> DataFrame | None:
