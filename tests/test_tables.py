@@ -53,3 +53,21 @@ def test_groups_are_numbered_and_single_rows_stay(spark):
     ids, pairs = spark.createDataFrame([(k,) for k in range(8)], "id long"), spark.createDataFrame([(5, 6), (2, 3), (3, 7)], "a long, b long")
     got = {r.id: (r.root, r.members, r.group) for r in components.grouped(ids, pairs).collect()}
     assert got == {0: (0, 1, None), 1: (1, 1, None), 2: (2, 3, "G000001"), 3: (2, 3, "G000001"), 7: (2, 3, "G000001"), 4: (4, 1, None), 5: (5, 2, "G000002"), 6: (5, 2, "G000002")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_without_pairs(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(k, rnd.choice(["a", "b", None]), rnd.choice([100, 1000]) * round(1 + rnd.random() * 0.01, 5), round(rnd.random() * 30 - 10, 1)) for k in range(700)]
+    rows += [(700 + k, "a", rows[k][2], rows[k][3]) for k in range(200)] + [(990, "a", None, 1.0), (991, "a", 100.0, None)]
+    d = spark.createDataFrame(rows, "id long, source string, mz double, rt double")
+    want = components.connected(range_join.near_pairs(d, "id", "mz", "rt", 400, 2))
+    got = range_join.near_components(d, "id", "mz", "rt", 400, 2)
+    assert len({r.root for r in want.collect()}) > 5 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dense_rows_make_few_links(spark, monkeypatch):
+    seen, plain = [], range_join.connected
+    monkeypatch.setattr(range_join, "connected", lambda links: plain(seen.append(links.count()) or links))
+    d = spark.range(4000).selectExpr("id", "1 AS source", "1000 + id * 0.0005 AS mz", "cast(id % 3 AS double) AS rt")
+    assert {r.root for r in range_join.near_components(d, "id", "mz", "rt", 400, 2).collect()} == {0} and seen[0] < 200

@@ -83,7 +83,7 @@ def j9(spark, sf):
 @query("C1_components", f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_NEAR}) UNION SELECT b, a FROM ({_NEAR})), reach(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.id WHERE reach.root < e.b OR reach.root > e.b)
 SELECT id, min(root) AS root FROM reach GROUP BY id""")
 def c1(spark, sf):
-    return components.connected(range_join.near_pairs(_accounts(spark, sf), "id", "mz", "rt", 400, 2))
+    return range_join.near_components(_accounts(spark, sf), "id", "mz", "rt", 400, 2)
 
 
 _HASHED = "SELECT vec_id, label, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > embedding[CASE WHEN i = 64 THEN 1 ELSE i + 1 END] THEN 1 ELSE 0 END) AS bits FROM embeddings"
