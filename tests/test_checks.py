@@ -87,3 +87,12 @@ def test_part_store_of_many_jobs(spark, tmp_path):
     sources = spark.createDataFrame([("a", "1")], "source string, sha256 string")
     mark = lambda j: tables.PartStore(spark, f"file://{tmp_path}").fingerprints(j, sources, "source", "job").first()
     assert mark(jobs).n_jobs == 150_000 and mark(jobs).fingerprint == mark(jobs.repartition(5)).fingerprint != mark(jobs.filter("job <> '7'")).fingerprint
+
+
+def test_hashes_cost_little(spark):
+    import time
+
+    d = spark.range(3000).select("id", F.transform(F.sequence(F.lit(0), F.lit(71)), lambda k: F.sin(k * (F.col("id") + 1))).alias("m"))
+    start = time.time()
+    assert d.select(F.max(F.length(normalize.dhash(F.col("m"))))).first()[0] == 16
+    assert time.time() - start < 15  # it was some 40 with the comparisons made anew for each digit

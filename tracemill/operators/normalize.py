@@ -119,10 +119,11 @@ def all_missing(rows: DataFrame, attributes: list[str]) -> tuple[DataFrame, Data
 
 def dhash(matrix: Column) -> Column:
     """16 hex digits of the 64 comparisons left > right in a matrix of 8 rows of 9 grey values, row after row."""
-    bit = lambda k: (F.get(matrix, (k + F.floor(k / 8)).cast("int")) > F.get(matrix, (k + F.floor(k / 8) + 1).cast("int"))).cast("int")
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
-    digits = F.transform(F.sequence(F.lit(0), F.lit(60), F.lit(4)), lambda j: F.lower(F.hex(sum((F.get(bits, j + k) * 2 ** (3 - k) for k in range(1, 4)), F.get(bits, j) * 8).cast("bigint"))))
-    return F.array_join(digits, "")
+    once = lambda v, f: F.get(F.transform(F.array(v), f), F.lit(0))  # noqa: E731  a name for a value: it is made once a row, however often it is used
+    bit = lambda m, k: (F.get(m, (k + F.floor(k / 8)).cast("int")) > F.get(m, (k + F.floor(k / 8) + 1).cast("int"))).cast("int")
+    digit = lambda bits, j: F.lower(F.hex(sum((F.get(bits, j + k) * 2 ** (3 - k) for k in range(1, 4)), F.get(bits, j) * 8).cast("bigint")))
+    digits = lambda bits: F.transform(F.sequence(F.lit(0), F.lit(60), F.lit(4)), lambda j: digit(bits, j))
+    return F.array_join(once(matrix, lambda m: once(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: bit(m, k)), digits)), "")
 
 
 def samples(rows: DataFrame) -> list[str]:
