@@ -23,3 +23,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_pairs_of_marked_rows_only(spark, monkeypatch, tmp_path):
+    from tracemill.operators import range_join
+
+    seen, plain = [], range_join.near_pairs
+    monkeypatch.setattr(range_join, "near_pairs", lambda rows, *more: plain(seen.append(rows) or rows, *more))
+    spark.read.parquet(f"{SMALL}/customer.parquet").write.parquet(f"file://{tmp_path}/customer.parquet")
+    spark.read.parquet(f"{SMALL}/embeddings.parquet").filter("vec_id < 20").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    plans.QUERIES["J9_near_duplicates"](spark, f"file://{tmp_path}")
+    assert {r.id for r in seen[0].collect()} == set(range(20))
