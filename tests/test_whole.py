@@ -39,6 +39,13 @@ def test_part_store_computes_what_changed(spark, tmp_path):
     assert len(asked) == 2 and gone.count() == 0 and {r.source for r in back.collect()} == set("bcd")
 
 
+def test_part_store_has_few_files(spark, tmp_path):
+    jobs = spark.range(900).selectExpr("id % 300 AS source", "cast(id AS string) AS job", "1.0D AS value")
+    sources = spark.range(300).selectExpr("id AS source", "'x' AS sha256")
+    done, _ = tables.PartStore(spark, f"file://{tmp_path}/parts").update(jobs, sources, "source", "job", lambda d: d.groupBy("source").agg(F.sum("value").alias("total")))
+    assert done.count() == 300 and len(list((tmp_path / "parts").rglob("*.parquet"))) < 50
+
+
 # --- labels ----------------------------------------------------------------------------------------------------------
 
 

@@ -204,8 +204,8 @@ def annotation_tasks(rows: DataFrame, images: DataFrame, key: str, label: str, o
 class PartStore:
     """Computed parts, one for each source, that are computed again only if the source or its jobs changed.
 
-    A folder holds part folders, one for each source and fingerprint; a part exists when its commit marker does, which
-    Spark writes last, so a lost executor or a killed run leaves no half part. What a source's part is named after is a
+    A folder holds run folders, whose rows name the fingerprint of their part; a part exists when its run's commit marker
+    does, which Spark writes last, so a lost executor or a killed run leaves no half part. What a source's part is named after is a
     digest of all its job ids and of its own hash, so an unchanged source finds its part, and a changed one does not.
     """
 
@@ -233,7 +233,7 @@ class PartStore:
     def update(self, jobs: DataFrame, sources: DataFrame, source: str, job: str, compute) -> tuple[DataFrame, DataFrame]:
         """compute(jobs) for all sources; and the sources that were computed now. Parts of unchanged ones are read back.
 
-        New parts are one run folder, partitioned by fingerprint, so a later read prunes to the parts that are asked for.
+        New parts are one run folder, sorted by fingerprint: a run has as many files as tasks, however many sources it has.
         """
         import uuid
 
@@ -243,7 +243,7 @@ class PartStore:
         if not todo.isEmpty():
             asked = jobs.join(todo.select(source, "fingerprint"), source)
             done = compute(asked.drop("fingerprint")).join(todo.select(source, "fingerprint"), source)
-            done.repartition("fingerprint").write.partitionBy("fingerprint").parquet(f"{self.folder}/run-{uuid.uuid4().hex}")
+            done.repartition("fingerprint").sortWithinPartitions("fingerprint").write.parquet(f"{self.folder}/run-{uuid.uuid4().hex}")
         parts = self.parts()  # of parts that two runs made at once, one is read
         first = parts.groupBy("fingerprint").agg(F.min("_run").alias("_run"))
         return parts.join(first, ["fingerprint", "_run"], "left_semi").join(now.select("fingerprint"), "fingerprint", "left_semi").drop("fingerprint", "_run"), todo.select(source, "n_jobs")
