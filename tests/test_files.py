@@ -45,3 +45,12 @@ def test_resolve(spark):
     inventory = spark.createDataFrame([("A.mzML", "/x/A.mzML", "1"), ("a.mzml", "/longer/a.mzml", "1"), ("B", "/b", "1"), ("b", "/c/b", "2")], "name string, path string, sha256 string")
     wanted = spark.createDataFrame([("a.MZML",), ("b",), ("c",)], "name string")
     assert {r.name: (r.path, r.status) for r in files.resolve(wanted, inventory).collect()} == {"a.MZML": ("/x/A.mzML", "found"), "b": (None, "conflict"), "c": (None, "missing")}
+
+
+def test_hashes_of_folders_within_folders(spark, tmp_path):
+    for k, at in enumerate(("k=1", "k=2", "k=2/deeper")):
+        (tmp_path / at).mkdir()
+        (tmp_path / at / f"{k}.txt").write_bytes(b"x" * (k + 1))
+        (tmp_path / at / f"{k}.bin").write_bytes(b"no")
+    got = {r.path.rpartition("/")[2]: (r.kind, r.size) for r in files.hashes(spark, f"file://{tmp_path}", "*.txt").collect()}
+    assert got == {f"{k}.txt": ("txt", k + 1) for k in range(3)}

@@ -59,9 +59,12 @@ def annotations(spark: SparkSession, pattern: str, labels: list[str] | None = No
     return s.filter(F.col("label").isin(*labels)) if labels else s
 
 
-def hashes(spark: SparkSession, pattern: str) -> DataFrame:
-    """path, kind, size and SHA-256 of files."""
-    return spark.read.format("binaryFile").load(pattern).select("path", F.regexp_extract("path", r"\.([^./]+)$", 1).alias("kind"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+def hashes(spark: SparkSession, pattern: str, names: str | None = None) -> DataFrame:
+    """path, kind, size and SHA-256 of files: those of a glob; or, with a glob of their names, those of a folder and all
+    folders in it, which tasks list and not the driver."""
+    reader = spark.read.format("binaryFile")
+    reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", names) if names else reader
+    return reader.load(pattern).select("path", F.regexp_extract("path", r"\.([^./]+)$", 1).alias("kind"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def pairs(spark: SparkSession, images: str, documents: str) -> DataFrame:
