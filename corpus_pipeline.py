@@ -31,6 +31,8 @@ from tracemill.llm.queries import tokenizer
 
 #: Words of a shingle and least similarity in percent of the near-duplicate stage.
 SHINGLE, PERCENT = 5, 80
+#: Pieces and parts that a worker remembers in packing: executors are still full of the stages before.
+REMEMBERED = 120_000, 80_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [

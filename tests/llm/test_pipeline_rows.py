@@ -54,3 +54,12 @@ def test_other_columns_and_empty_tables(spark, docs):
     for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.substrings):
         assert stage(spark, none, SMALL).count() == 0
     assert {r.lang for r in corpus_pipeline.near(spark, docs, SMALL).collect()} == {"en"}
+
+
+def test_packing_remembers_little():
+    from tracemill.llm.pieces import LibraryTokens
+    from tracemill.llm.queries import tokenizer
+
+    few, many = (LibraryTokens(tokenizer("word_bpe_49k.json"), True, *n) for n in ((50, 40), ()))
+    text = " ".join(f"word{k} Other-{k % 7}" for k in range(500))
+    assert few.encode(text) == many.encode(text) and max(len(few.memory), len(few.memory.old)) <= 50 and max(len(few.parts), len(few.parts.old)) <= 40

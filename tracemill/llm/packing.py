@@ -107,11 +107,11 @@ def _merger(length: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.
     return again
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, n_open: int = OPEN, merge: int = MERGE) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, length: int = LENGTH, n_open: int = OPEN, merge: int = MERGE, remembered: tuple[int, ...] = ()) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. `remembered`: pieces and parts that a worker keeps, for less memory at more time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, tokens, packer, n = TaskContext.get().partitionId(), library_tokens(path, True), Packer(length, n_open), 0
+        task, tokens, packer, n = TaskContext.get().partitionId(), library_tokens(path, True, *remembered), Packer(length, n_open), 0
         end = np.array([END], np.uint16)
         schema = pa.schema([(c, pa.binary() if c == "ids" else pa.int64()) for c in NAMES])
 

@@ -90,7 +90,7 @@ class LibraryTokens:
     do not stand alone, through its whole encoder.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str, by_word: bool, pieces: int = 400_000, parts: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -99,7 +99,7 @@ class LibraryTokens:
         self.tok.no_padding()
         self.model, self.by_word = self.tok.model, by_word
         self.pattern = regex.compile(WORD_PATTERN if by_word else BYTE_PATTERN)
-        self.parts, self.memory = Memory(self._part, 300_000), Memory(self._piece)
+        self.parts, self.memory = Memory(self._part, parts), Memory(self._piece, pieces)
 
     def _part(self, part: str) -> bytes:
         return array("H", [t.id for t in self.model.tokenize(spelled(part))]).tobytes()
@@ -133,6 +133,6 @@ class LibraryTokens:
 
 
 @functools.cache
-def library_tokens(path: str, by_word: bool) -> LibraryTokens:
-    """One for each worker process and file."""
-    return LibraryTokens(path, by_word)
+def library_tokens(path: str, by_word: bool, *remembered: int) -> LibraryTokens:
+    """One for each worker process and file; `remembered` are the numbers of pieces and of their parts that are kept."""
+    return LibraryTokens(path, by_word, *remembered)
