@@ -302,3 +302,23 @@ def test_updates_from_boxes(spark, clean):
         assert r.status == want, t
         seen.add(want)
     assert len(seen) == 11 + 1 + 2, seen
+
+
+def test_no_row_for_an_edge_and_a_point(spark):
+    """Without broadcasts, as with large tables, what is shuffled grows with the points and the edges, not with their product."""
+    all_ = {t: [(0.02 * i, 50 * math.exp(-(((i % 20 - 10) / 4) ** 2))) for i in range(140)] for t in range(4)}
+    points = points_of(spark, all_).localCheckpoint()
+    rows = [(t, b, "left" if b % 2 else "right", 0.02 * (b % 7 * 20 + 10) + (-0.1 if b % 2 else 0.1), b % 7 * 20 + 10) for t in all_ for b in range(40)]
+    edges = spark.createDataFrame(rows, "trace long, box int, side string, edge double, apex int").localCheckpoint()
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sc.setJobGroup("edges", "")
+        assert len(S.shape_edges(points, edges).collect()) == len(rows)
+        tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+        stages = {s for j in tracker.getJobIdsForGroup("edges") for s in tracker.getJobInfo(j).stageIds}
+        shuffled = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        sc._jsc.sc().clearJobGroup()
+    assert shuffled <= 3 * (4 * 140 + len(rows))  # 160 edges and 140 points each would be 22,400

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .traces import EPS, apexes, by_place, smoothed
 
 
-def maxima(points: DataFrame, height: float = 0.0) -> DataFrame:
-    """Places of local maxima above a height: peak (ordinal), i, y."""
+def maxima(points: DataFrame, height: float = 0.0, *more: str) -> DataFrame:
+    """Places of local maxima above a height: peak (ordinal), i, y, and more columns of theirs."""
     d = points.withColumns({"p": F.lag("y").over(by_place()), "q": F.lead("y").over(by_place())})
     tops = d.filter((F.col("y") > height) & (F.col("y") > F.col("p")) & (F.col("y") >= F.col("q")))
-    return tops.select("trace", F.row_number().over(by_place()).alias("peak"), "i", "y")
+    return tops.select("trace", F.row_number().over(by_place()).alias("peak"), "i", "y", *more)
 
 
 def prominences(points: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Standardised boxes of annotated peaks: edges moved to low points that the trace's shape confirms, valleys that
 neighbours share, and updates of a feature's bounds from an annotated box.
 
-Points are (trace, i, x, y), i numbering the scans of a trace from 0 in the order of x (minutes). Edges and boxes meet the
-points of their own trace only; what depends on the way from the apex outward is a window over places counted that way, so
-left and right are one plan. A trace is bounded by the scans of one run.
+Points are (trace, i, x, y), i numbering the scans of a trace from 0 in the order of x (minutes). Spark shuffles the points
+once, by trace, and gathers each trace into one array; edges and boxes meet the array of their own trace, so no row is made
+for an edge and a point. What depends on the way from the apex outward is an array step over places counted that way, for
+all edges of an Arrow batch together, left and right alike. A trace is bounded by the scans of one run.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boundaries import _medians, _together, core_ends, descend, padded, paths
+from .shared import written
 
 #: Minutes around an apex that count as its plot; scans of a tail; shares of steps that must fall or rise; fixed values.
 PLOT, TAIL = 1.0, 8
@@ -43,17 +46,75 @@ def lightly_smoothed(points: DataFrame) -> DataFrame:
     return d.withColumn("s", F.when(F.col("n") >= 5, s).otherwise(F.col("c"))).drop("c")
 
 
-def _middle(a: Column) -> Column:
-    """Median of a sorted array."""
-    k = F.size(a)
-    return (F.get(a, F.floor((k - 1) / 2).cast("int")) + F.get(a, F.floor(k / 2).cast("int"))) / 2
+def _arrays(points: DataFrame, *columns: str) -> DataFrame:
+    """trace, p: the points of each trace in their order, as structs of i and the columns."""
+    return points.groupBy("trace").agg(F.sort_array(F.collect_list(F.struct("i", *columns))).alias("p"))
 
 
-def _fifth(a: Column) -> Column:
-    """The value a fifth up a sorted array, between neighbours by proportion."""
-    at = (F.size(a) - 1) * 0.2
-    lo, hi = F.get(a, F.floor(at).cast("int")), F.get(a, F.ceil(at).cast("int"))
-    return lo + (hi - lo) * (at - F.floor(at))
+def _fifths(v: np.ndarray) -> np.ndarray:
+    """The value a fifth up each sorted row, between neighbours by proportion; NaN come last and do not count."""
+    row, k = np.arange(len(v)), np.sum(~np.isnan(v), axis=1)
+    at = np.maximum(k - 1, 0) * 0.2
+    lo, hi = v[row, np.floor(at).astype(int)], v[row, np.ceil(at).astype(int)]
+    return lo + (hi - lo) * (at - np.floor(at))
+
+
+def confirmed(traces: list[tuple[np.ndarray, np.ndarray]], edge: np.ndarray, apex: np.ndarray, side: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where each edge goes by its smoothed trace (x, s), and the reason, as shape_edges says; side is -1 or 1, apex -1 if there is none."""
+    n = np.array([len(x) for x, _ in traces])
+    x, s = padded([t[0] for t in traces], np.inf), padded([t[1] for t in traces])
+    row, places = np.arange(len(n)), np.arange(x.shape[1])
+    real = places < n[:, None]
+    known, seat = (apex >= 0) & (apex < n), np.clip(apex, 0, n - 1)
+    with np.errstate(invalid="ignore"):
+        v = np.sort(np.where(real & known[:, None] & (np.abs(x - x[row, seat][:, None]) <= PLOT), s, np.nan), axis=1)
+        near = np.where(real, np.abs(x - edge[:, None]), np.inf).argmin(axis=1)
+    base, low = _fifths(v), np.where(v <= _medians(v)[:, None], v, np.nan)
+    sigma, top = 1.4826 * _medians(np.abs(low - _medians(low)[:, None])), np.where(known, s[row, seat], np.nan)
+    height = np.fmax(top - base, 1e-12)
+    share = np.fmin(LOW_MOST, np.fmax(LOW, 4 * sigma / height))
+    noise = np.fmax(np.fmax(0.25 * sigma, 0.00025 * top), 1e-12)
+
+    # what follows is by places from the apex outward
+    at, there = paths(seat, side[:, None], n, x.shape[1] - 1)
+    t, z = np.where(there, x[row[:, None], at], np.nan), np.where(there, s[row[:, None], at], np.nan)
+    shifted = lambda a, k: np.pad(a, ((0, 0), (k, 0)), constant_values=np.nan)[:, : a.shape[1]] if k > 0 else np.pad(a, ((0, 0), (0, -k)), constant_values=np.nan)[:, -k:]
+    inner, following = shifted(z, 1), shifted(z, -1)
+    after = np.where(np.isnan(shifted(z, -2)), following, shifted(z, -2))
+    step, noise_, p = z - inner, noise[:, None], np.arange(x.shape[1])
+    n_falls, n_rises = np.cumsum(step <= noise_, axis=1), np.cumsum(step >= -noise_, axis=1)
+    window = n_falls - np.pad(n_falls, ((0, 0), (TAIL - 1, 0)))[:, : n_falls.shape[1]]
+    tail = window / np.maximum(1, np.minimum(p, TAIL - 1))
+
+    o = np.where(apex >= 0, (near - apex) * side, 0)
+    far = np.clip(o, 0, x.shape[1] - 1)
+    value, way = s[row, near][:, None], np.abs(p - o[:, None])
+    away, outward = np.abs(t - edge[:, None]), (t - edge[:, None]) * side[:, None] > 0
+    over, gain, high = np.maximum(value - base[:, None], 0.0) / height[:, None], value - z, height[:, None]
+    steps = np.where(outward, n_falls - n_falls[row, far][:, None], n_rises[row, far][:, None] - n_rises)
+    smooth = np.where(way == 0, 1.0, steps / np.maximum(way, 1))
+    minimum = (at >= 1) & (at <= n[:, None] - 2) & (z <= inner) & (z <= following) & (z <= (base + share * height)[:, None])
+    turns = (following >= z - noise_) & (after >= z - noise_)
+    meant = (smooth >= OUT_SHARE) & (over <= np.minimum(EDGE_MOST, share + 0.01)[:, None]) & (gain / high >= np.maximum(noise_ / high, 0.08 * np.maximum(over, 1e-12))) & (np.fmax(following, after) - z >= noise_)
+    gained = np.where(outward, meant, (smooth >= IN_SHARE) & (gain > noise_))
+    fits = there & (p > 0) & (away <= reach + 1e-12) & minimum & (tail >= TAIL_SHARE) & turns & gained
+
+    ends = (near < 1) | (near > n - 2)
+    slope = ((s[row, np.minimum(near + 1, len(places) - 1)] - s[row, np.maximum(near - 1, 0)]) * side)[:, None]  # outward
+    best = fits & np.where(slope < -noise_, outward, np.where(slope > noise_, ~outward, True))
+    for order in (away, z, at):  # the nearest; of those the least; of those the first
+        some = np.where(best, order, np.inf)
+        best &= some == some.min(axis=1, keepdims=True)
+    k = best.argmax(axis=1)
+    spacing = np.nan_to_num(_medians(np.where(real[:, 1:], np.diff(np.where(real, x, 0.0), axis=1), np.nan))) if x.shape[1] > 1 else np.zeros(len(n))
+    with np.errstate(invalid="ignore"):
+        cases = [(n < 5) | (apex < 0), o <= 0, ends, ~fits.any(axis=1), ~best.any(axis=1), away[row, k] <= np.maximum(0.25 * spacing, 1e-12), outward[row, k]]
+    return t[row, k], np.select(cases, ["few_points", "past_apex", "at_end", "no_minimum", "against_slope", "already_there", "outward"], "inward")
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(values, ends[:-1]) if len(ends) else []
 
 
 def shape_edges(points: DataFrame, edges: DataFrame, seconds: float = 3.0) -> DataFrame:
@@ -65,67 +126,38 @@ def shape_edges(points: DataFrame, edges: DataFrame, seconds: float = 3.0) -> Da
     meaningful amount, and turn; inward, the way back out must mostly rise. It lies on the side to which the trace falls
     at the edge. Reasons: outward, inward, few_points, past_apex, at_end, no_minimum, against_slope, already_there.
     """
-    key = ["trace", "box", "side"]
-    reach = seconds / 60
-    s = lightly_smoothed(points)
-    gaps = s.withColumn("gap", F.col("x") - F.lag("x").over(Window.partitionBy("trace").orderBy("i"))).groupBy("trace").agg(F.coalesce(F.median("gap"), F.lit(0.0)).alias("spacing"))
-    d = s.select("trace", "i", "x", "s", "n").join(edges.select(*key, F.col("edge").cast("double").alias("edge"), "apex"), "trace")
-    whole = Window.partitionBy(*key)
-    d = d.withColumns({
-        "p": (F.col("i") - F.col("apex")) * F.when(F.col("side") == "left", -1).otherwise(1), "x_apex": F.max(F.when(F.col("i") == F.col("apex"), F.col("x"))).over(whole),
-        "away": F.abs(F.col("x") - F.col("edge")), "outer": F.when(F.col("side") == "left", F.col("edge") - F.col("x")).otherwise(F.col("x") - F.col("edge")),
-    })
-    local = F.sort_array(F.collect_list(F.when(F.abs(F.col("x") - F.col("x_apex")) <= PLOT, F.col("s"))))
-    stats = d.groupBy(*key, "edge", "apex").agg(local.alias("a"), F.max("n").alias("n"), F.min_by(F.struct("p", "s", "i"), F.struct("away", "i")).alias("at"), F.max(F.when(F.col("p") == 0, F.col("s"))).alias("top"))
-    low = F.filter("a", lambda v: v <= _middle(F.col("a")))
-    stats = stats.withColumn("low", low).withColumn("spread", F.sort_array(F.transform("low", lambda v: F.abs(v - _middle(F.col("low"))))))
-    stats = stats.withColumns({"base": _fifth(F.col("a")), "sigma": 1.4826 * _middle(F.col("spread"))}).withColumn("height", F.greatest(F.col("top") - F.col("base"), F.lit(1e-12)))
-    stats = stats.withColumns({"share": F.least(F.lit(LOW_MOST), F.greatest(F.lit(LOW), 4 * F.col("sigma") / F.col("height"))), "noise": F.greatest(0.25 * F.col("sigma"), 0.00025 * F.col("top"), F.lit(1e-12))})
-    stats = stats.select(*key, "n", "at", "top", "base", "height", "share", "noise")
-
-    out = Window.partitionBy(*key).orderBy("p")
-    d = d.drop("n").join(stats, key)
-    step = F.col("s") - F.lag("s").over(out)
-    d = d.withColumns({"step": step, "inner": F.lag("s").over(out), "next": F.lead("s").over(out), "after": F.lead("s", 2).over(out)}).withColumn("neighbours", F.max(F.when(F.col("p") == F.col("at.p"), F.struct("inner", "next"))).over(whole)).filter("p >= 0")
-    on = (F.col("p") > 0) & F.col("step").isNotNull()
-    falls, rises = F.when(on & (F.col("step") <= F.col("noise")), 1).otherwise(0), F.when(on & (F.col("step") >= -F.col("noise")), 1).otherwise(0)
-    d = d.withColumns({"falls": falls, "rises": rises})
-    run = out.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({"n_falls": F.sum("falls").over(run), "n_rises": F.sum("rises").over(run), "tail": F.sum("falls").over(out.rowsBetween(-(TAIL - 2), 0)) / F.greatest(F.lit(1), F.least(F.col("p"), F.lit(TAIL - 1)))})
-    d = d.withColumn("there", F.max(F.when(F.col("p") == F.col("at.p"), F.struct("n_falls", "n_rises"))).over(whole))
-
-    noise, value, least = F.col("noise"), F.col("at.s"), F.col("base") + F.col("share") * F.col("height")
-    outward = F.col("outer") > 0
-    way, z, gain = F.abs(F.col("p") - F.col("at.p")), F.greatest(value - F.col("base"), F.lit(0.0)) / F.col("height"), value - F.col("s")
-    smooth = F.when(way == 0, 1.0).when(outward, (F.col("n_falls") - F.col("there.n_falls")) / way).otherwise((F.col("there.n_rises") - F.col("n_rises")) / way)
-    minimum = (F.col("i") >= 1) & (F.col("i") <= F.col("n") - 2) & (F.col("s") <= F.col("inner")) & (F.col("s") <= F.col("next")) & (F.col("s") <= least)
-    turns = (F.col("next") >= F.col("s") - noise) & (F.coalesce("after", "next") >= F.col("s") - noise)
-    gained = F.when(
-        outward, (smooth >= OUT_SHARE) & (z <= F.least(F.lit(EDGE_MOST), F.col("share") + 0.01)) & (gain / F.col("height") >= F.greatest(noise / F.col("height"), 0.08 * F.greatest(z, F.lit(1e-12)))) & (F.greatest("next", "after") - F.col("s") >= noise)
-    ).otherwise((smooth >= IN_SHARE) & (gain > noise))
-    fits = (F.col("p") > 0) & (F.col("away") <= reach + 1e-12) & minimum & (F.col("tail") >= TAIL_SHARE) & turns & gained
-
-    slope = F.col("neighbours.next") - F.col("neighbours.inner")  # outward
-    wanted = F.when(slope < -noise, outward).when(slope > noise, ~outward).otherwise(True)
-    d = d.withColumns({"fits": F.coalesce(fits, F.lit(False)), "wanted": wanted})
-    found = d.groupBy(*key).agg(F.count_if("fits").alias("fitting"), F.min_by(F.struct("x", outward.alias("outward"), "away"), F.when(F.col("fits") & F.col("wanted"), F.struct("away", "s", "i"))).alias("best"), F.max("neighbours").alias("neighbours"))
-    r = edges.select(*key, F.col("edge").cast("double").alias("edge"), "apex").join(stats.select(*key, "n", "at"), key, "left").join(found, key, "left").join(gaps, "trace", "left")
-    reason = (
-        F.when(F.coalesce("n", F.lit(0)) < 5, "few_points").when(F.col("apex").isNull() | (F.col("apex") < 0), "few_points").when(F.col("at.p") <= 0, "past_apex")
-        .when(F.col("neighbours.next").isNull() | F.col("neighbours.inner").isNull(), "at_end").when(F.coalesce("fitting", F.lit(0)) == 0, "no_minimum").when(F.col("best").isNull(), "against_slope")
-        .when(F.col("best.away") <= F.greatest(0.25 * F.col("spacing"), F.lit(1e-12)), "already_there").when(F.col("best.outward"), "outward").otherwise("inward")
-    )
-    r = r.withColumn("reason", reason).withColumn("moved", F.col("reason").isin("outward", "inward"))
-    return r.select(*key, F.when(F.col("moved"), F.col("best.x")).otherwise(F.col("edge")).alias("rt"), "moved", "reason")
+    key, empty = ["trace", "box", "side", "edge", "apex"], F.array().cast("array<double>")
+    s = _arrays(lightly_smoothed(points).withColumn("x", F.col("x").cast("double")), "x", "s")
+    rows = edges.select("trace", "box", "side", F.col("edge").cast("double").alias("edge"), "apex").join(s, "trace", "left")
+    rows = rows.select(*key, F.coalesce("p.x", empty).alias("xs"), F.coalesce("p.s", empty).alias("ss"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ss = _lists(batch.column(5)), _lists(batch.column(6))
+            edge, apex = batch.column(3).fill_null(np.nan).to_numpy(zero_copy_only=False), batch.column(4).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+            side = np.array([-1 if v == "left" else 1 for v in batch.column(2).to_pylist()])
+            x, reason = np.full(len(xs), np.nan), np.full(len(xs), "few_points", object)
+            lengths = np.array([len(v) for v in xs], int)
+            full = np.flatnonzero(lengths)
+            for some in _together(lengths[full]) if len(full) else ():
+                some = full[some]
+                x[some], reason[some] = confirmed([(xs[k], ss[k]) for k in some], edge[some], apex[some], side[some], seconds / 60)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(x), pa.array(reason, pa.string())], ["trace", "box", "side", "edge", "x", "reason"])
+
+    types = dict(rows.dtypes)
+    r = rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in key[:4]) + ", x double, reason string")
+    r = r.withColumn("moved", F.col("reason").isin("outward", "inward"))
+    return r.select("trace", "box", "side", F.when(F.col("moved"), F.col("x")).otherwise(F.col("edge")).alias("rt"), "moved", "reason")
 
 
 def _highest(points: DataFrame, boxes: DataFrame, lo: str, hi: str, name: str) -> DataFrame:
     """boxes with `name` (i, x, y of the first highest point from lo to hi, else null) and nearest (the point nearest their middle)."""
-    within = F.when((F.col("x") >= F.col(lo)) & (F.col("x") <= F.col(hi)), F.struct("y", -F.col("i")))
-    point = F.struct("i", "x", "y")
-    d = points.select("trace", "i", "x", F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y")).join(boxes.select("trace", "box", lo, hi), "trace")
-    s = d.groupBy("trace", "box").agg(F.max_by(point, within).alias(name), F.min_by(point, F.struct(F.abs(F.col("x") - (F.col(lo) + F.col(hi)) / 2), "i")).alias("nearest"))
-    return boxes.join(s, ["trace", "box"], "left")
+    p = _arrays(points.select("trace", "i", "x", F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y")), "x", "y")
+    point = lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"), e["y"].alias("y"))
+    within = F.filter("p", lambda e: (e["x"] >= F.col(lo)) & (e["x"] <= F.col(hi)))
+    most = F.array_max(F.transform(within, lambda e: F.struct(e["y"].alias("y"), (-e["i"]).alias("k"), point(e).alias("point"))))["point"]
+    near = F.array_min(F.transform("p", lambda e: F.struct(F.abs(e["x"] - (F.col(lo) + F.col(hi)) / 2).alias("away"), e["i"].alias("i"), point(e).alias("point"))))["point"]
+    return boxes.join(p, "trace", "left").withColumns({name: most, "nearest": near}).drop("p")
 
 
 def neighbour_valleys(points: DataFrame, boxes: DataFrame, seconds: float = 3.0) -> DataFrame:
@@ -137,8 +169,9 @@ def neighbour_valleys(points: DataFrame, boxes: DataFrame, seconds: float = 3.0)
     order = Window.partitionBy("trace").orderBy("apex", "box")
     nxt = {c: F.lead(c).over(order) for c in ("box", "apex", "top", "lo")}
     pairs = boxes.select("trace", "box", "hi", "apex", "top", *(v.alias(f"next_{c}") for c, v in nxt.items())).filter("next_apex - apex > 1")
-    d = points.select("trace", "i", "x", _clean(F.col("y").cast("double")).alias("y")).join(pairs, "trace").filter("i > apex and i < next_apex")
-    v = d.groupBy("trace", "box", "next_box", "hi", "next_lo", "top", "next_top").agg(F.min(F.struct("y", "i", "x")).alias("v"))
+    p = _arrays(points.select("trace", "i", "x", _clean(F.col("y").cast("double")).alias("y")), "x", "y")
+    between = F.filter("p", lambda e: (e["i"] > F.col("apex")) & (e["i"] < F.col("next_apex")))
+    v = pairs.join(p, "trace").withColumn("v", F.array_min(F.transform(between, lambda e: F.struct(e["y"].alias("y"), e["i"].alias("i"), e["x"].alias("x"))))).drop("p")
     reach = seconds / 60 + 1e-12
     v = v.filter((F.col("v.y") < F.least("top", "next_top")) & (F.abs(F.col("v.x") - F.col("hi")) <= reach) & (F.abs(F.col("v.x") - F.col("next_lo")) <= reach))
     side = lambda box, name: F.struct(F.col(box).alias("box"), F.lit(name).alias("side"))
@@ -160,11 +193,12 @@ def standardised(points: DataFrame, boxes: DataFrame, seconds: float = 3.0) -> D
     drawn = _highest(points, drawn, "lo", "hi", "best").withColumn("peak", F.coalesce("best", "nearest")).drop("best", "nearest")
     out = F.col("label") == OUT_OF_PLOT
     pin = F.when(out, F.when(F.abs(F.col("raw_lo") - left_end) <= F.abs(right_end - F.col("raw_hi")), "left").otherwise("right"))
-    drawn = drawn.withColumns({"pin": pin, "apex": F.col("peak.i"), "top": _clean(F.col("peak.y"))})
+    drawn = written(drawn.withColumns({"pin": pin, "apex": F.col("peak.i"), "top": _clean(F.col("peak.y"))}), "drawn")
 
     valleys = neighbour_valleys(points, drawn, seconds)
     end = lambda name, c: F.struct(F.lit(name).alias("side"), F.col(c).alias("edge"), F.col("pin").eqNullSafe(F.lit(name)).alias("pinned"))
     edges = drawn.select("trace", "box", "apex", "center", F.explode(F.array(end("left", "lo"), end("right", "hi"))).alias("e")).select("trace", "box", "apex", "center", "e.*").join(valleys, ["trace", "box", "side"], "left")
+    edges = written(edges, "edges")
     shaped = shape_edges(points, edges.filter("not pinned and valley is null"), seconds).select("trace", "box", "side", "rt", "reason")
     edges = edges.join(shaped, ["trace", "box", "side"], "left")
     plot_end = F.when(F.col("side") == "left", left_end).otherwise(right_end)

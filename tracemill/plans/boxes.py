@@ -18,7 +18,7 @@ tops AS (SELECT trace, CAST(row_number() OVER (PARTITION BY trace ORDER BY i) AS
 def _tops(spark, sf):
     e = P.eics(spark, sf)
     n = e.groupBy("trace").agg(F.count("*").alias("n"))
-    return peaks.maxima(e.select("trace", "i", "y"), 30).join(e.select("trace", "i", "x"), ["trace", "i"]).join(n, "trace").select("trace", F.col("peak").alias("box"), "i", "x", "y", "n")
+    return peaks.maxima(e, 30, "x").join(n, "trace").select("trace", F.col("peak").alias("box"), "i", "x", "y", "n")
 
 
 def _shape_sql(edges: str) -> str:
