@@ -53,3 +53,13 @@ def test_missed_and_empty(spark):
     assert sorted(r.mz for r in alignment.missed_by(d, "a").collect()) == [200.0, 300.0]
     assert sorted(r.mz for r in alignment.missed_by(d, "c").collect()) == [pytest.approx(100.0005), 200.0, 300.0]
     assert alignment.align(spark.createDataFrame([], SCHEMA), 0.01, 0.2).count() == 0
+
+
+def test_margins_spare_rounds(spark, monkeypatch):
+    """Cells whose margins foretell their neighbours' rows are taken once, and the answer is the greedy one."""
+    rnd, rounds, plain = random.Random(5), [], alignment.written
+    monkeypatch.setattr(alignment, "written", lambda rows, name: rounds.append(name) or plain(rows, name))
+    rows = [(rnd.choice("xyz"), 100 + rnd.random() * 6, rnd.random() * 2, 1.0) for _ in range(2000)]
+    d = alignment.align(spark.createDataFrame(rows, SCHEMA), 0.005, 0.5, 400)
+    assert found(d) == greedy(rows, 0.005, 0.5)
+    assert rounds.count("events") == 1

@@ -9,6 +9,10 @@ least. A cell takes its own rows in order, and replays, between them, what the r
 of the border did when their cells were last taken. Cells whose neighbours did something else than before are taken again,
 all of them in parallel, until none is left. Then each row did what the rows before it imply, which is the greedy answer: by
 induction over the order there is only one. Rounds are as many as the longest chain of cells along which an answer changes.
+
+The first time, a cell has nothing to replay. So it also takes a margin of its neighbours' rows as if they were its own, a
+quarter of a cell on each side at most. What it thus holds those near the border to have done is mostly what their own cells
+find, and then the cell is not taken again.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 from .shared import written
 from .tables import numbered
 
-#: Rows of a cell, unless more of them lie within four tolerances.
-CELL = 50_000
+#: Rows of a cell, unless more of them lie within four tolerances; a margin is a cell's part in so many.
+CELL, PARTS = 50_000, 4
+#: A row of a cell: its own, or of its margin, and there one that it has to replay, or not.
+OWN, REPLAYED, MARGIN = 0, 1, 2
 EVENT = ("algo", "mz", "rt", "id", "f_algo", "f_mz", "f_rt", "f_id", "c_mz", "c_rt", "c_n")
 TYPES = {"algo": "string", "mz": "double", "rt": "double", "id": "long", "f_algo": "string", "f_mz": "double", "f_rt": "double", "f_id": "long", "c_mz": "double", "c_rt": "double", "c_n": "long"}
 ARROW = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
@@ -42,28 +48,43 @@ def _near(v: Column, bucket: Column, width: float, reach: float) -> Column:
     return F.array_compact(F.array(bucket, low, high))
 
 
+def _besides(part: str) -> Column:
+    """The groups of PARTS parts that a part is in or next to."""
+    return F.array_distinct(F.transform(F.array(*(F.col(part) + k for k in (-1, 0, 1))), lambda v: F.floor(v / PARTS)))
+
+
 def cells(rows: DataFrame, mz_tol: float, rt_tol: float, size: int = CELL) -> tuple[DataFrame, DataFrame]:
     """rows (id, mz, rt, ...) with their cell, and readers: id and cell of the rows that another cell replays."""
+    return cells_and_margins(rows, mz_tol, rt_tol, size)[:2]
+
+
+def cells_and_margins(rows: DataFrame, mz_tol: float, rt_tol: float, size: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (id, mz, rt, ...) with their cell, readers: id and cell of the rows that another cell replays, and margins: the rows beside other cells, with those cells."""
     wide, high = 4 * mz_tol, 4 * rt_tol
     d = rows.withColumns({"bx": F.floor(F.col("mz") / wide), "by": F.floor(F.col("rt") / high)})
-    strips = _grouped(d.groupBy("bx").agg(F.count("*").alias("k")), [], "bx", "strip", size)  # a row for each four tolerances of m/z
+    slabs = _grouped(d.groupBy("bx").agg(F.count("*").alias("k")), [], "bx", "slab", size / PARTS)  # a row for each four tolerances of m/z
+    strips = slabs.withColumn("strip", F.floor(F.col("slab") / PARTS))
     d = d.join(strips, "bx")
-    blocks = _grouped(d.groupBy("strip", "by").agg(F.count("*").alias("k")), ["strip"], "by", "block", size)
-    blocks = blocks.select("strip", "by", F.concat_ws(":", "strip", "block").alias("cell"))
+    parts = _grouped(d.groupBy("strip", "by").agg(F.count("*").alias("k")), ["strip"], "by", "part", size / PARTS)
+    cell = F.concat_ws(":", "strip", "block").alias("cell")
+    parts = written(parts.withColumn("block", F.floor(F.col("part") / PARTS)).select("strip", "by", "part", cell), "parts")
+    blocks, strips = parts.drop("part"), strips.drop("slab")
     d = written(d.join(blocks, ["strip", "by"]), "cells")
     slack = 1 + 1e-9
     around = d.select("id", F.col("cell").alias("own"), F.explode(_near(F.col("mz"), F.col("bx"), wide, 2 * mz_tol * slack)).alias("bx"), _near(F.col("rt"), F.col("by"), high, 2 * rt_tol * slack).alias("bys"))
     around = around.join(strips, "bx").select("id", "own", "strip", F.explode("bys").alias("by")).join(blocks, ["strip", "by"])
     readers = around.filter("cell <> own").select("id", "cell").distinct()
-    return d.drop("bx", "by", "strip"), written(readers, "readers")
+    beside = d.withColumnRenamed("cell", "own").withColumn("strip", F.explode(_besides("slab"))).join(parts.drop("cell"), ["strip", "by"]).withColumn("block", F.explode(_besides("part")))
+    margins = beside.withColumn("cell", cell).filter("cell <> own").join(parts.select("cell").distinct(), "cell", "left_semi")
+    return d.drop("bx", "by", "strip", "slab"), written(readers, "readers"), margins.select(*rows.columns, "cell")
 
 
 def _settle(mz_tol: float, rt_tol: float):
-    """Of one cell: what each of its own rows does, given what others' rows did."""
+    """Of one cell: what each of its own rows does, given what others' rows did, and what those of its margin would do that it has to replay."""
 
     def run(key: tuple, own: pa.Table, halo: pa.Table) -> pa.Table:
         cell = key[0].as_py()
-        mine = [(r, None) for r in zip(*(own[c].to_pylist() for c in ("algo", "mz", "rt", "id", "weight")), strict=True)]
+        mine = [(r, None) for r in zip(*(own[c].to_pylist() for c in ("algo", "mz", "rt", "id", "weight", "role")), strict=True)]
         others = [(r[:4], r[4:]) for r in zip(*(halo[c].to_pylist() for c in EVENT), strict=True)]
         state: dict[tuple, tuple[float, float, int]] = {}  # by founder: m/z, RT, rows
         line: list[tuple] = []  # m/z and founder
@@ -79,7 +100,7 @@ def _settle(mz_tol: float, rt_tol: float):
             if event is not None:
                 put(tuple(event[:4]), *event[4:])
                 continue
-            algo, mz, rt, id_, weight = row
+            algo, mz, rt, id_, weight, role = row
             founder = None
             for at in range(bisect_left(line, (mz - 1.5 * mz_tol,)), len(line)):
                 c_mz, f = line[at]
@@ -92,25 +113,30 @@ def _settle(mz_tol: float, rt_tol: float):
             else:
                 c_mz, c_rt, n = state[founder]
             put(founder, (c_mz * n + mz * weight) / (n + weight), (c_rt * n + rt * weight) / (n + weight), n + weight)
-            out.append((*row[:4], *founder, *state[founder]))
-        columns = list(zip(*out, strict=True)) or [()] * len(EVENT)
-        arrays = [pa.array([cell] * len(out), pa.string()), *(pa.array(list(v), ARROW[TYPES[c]]) for c, v in zip(EVENT, columns, strict=True))]
-        return pa.Table.from_arrays(arrays, ["cell", *EVENT])
+            if role != MARGIN:
+                out.append((*row[:4], *founder, *state[founder], role))
+        *columns, roles = list(zip(*out, strict=True)) or [()] * (len(EVENT) + 1)
+        arrays = [pa.array([cell] * len(out), pa.string()), *(pa.array(list(v), ARROW[TYPES[c]]) for c, v in zip(EVENT, columns, strict=True)), pa.array(roles, pa.int32())]
+        return pa.Table.from_arrays(arrays, ["cell", *EVENT, "role"])
 
     return run
 
 
 def events(rows: DataFrame, mz_tol: float, rt_tol: float, size: int = CELL) -> DataFrame:
     """What each row (id, algo, mz, rt, weight) does in the greedy order: the founder of its centroid, and that after it (c_mz, c_rt, c_n)."""
-    d, readers = cells(rows, mz_tol, rt_tol, size)
+    d, readers, margins = cells_and_margins(rows, mz_tol, rt_tol, size)
     schema = "cell string, " + ", ".join(f"{c} {TYPES[c]}" for c in EVENT)
     seen = ["cell", *EVENT]
-    halo = written(readers.sparkSession.createDataFrame([], schema), "halo")
-    dirty, done, n = d.select("cell").distinct(), [], 0
+    d = d.withColumn("role", F.lit(OWN))
+    beside = margins.join(readers.withColumn("read", F.lit(True)), ["id", "cell"], "left").withColumn("role", F.when(F.col("read"), REPLAYED).otherwise(MARGIN)).drop("read")
+    halo, dirty, done, n = readers.sparkSession.createDataFrame([], schema), None, [], 0
     while True:
-        todo = d.join(dirty, "cell", "left_semi") if n else d
+        todo = d.join(dirty, "cell", "left_semi") if n else d.unionByName(beside)
         replayed = halo.join(dirty, "cell", "left_semi") if n else halo
-        did = written(todo.groupBy("cell").cogroup(replayed.groupBy("cell")).applyInArrow(_settle(mz_tol, rt_tol), schema), "events")
+        did = written(todo.groupBy("cell").cogroup(replayed.groupBy("cell")).applyInArrow(_settle(mz_tol, rt_tol), schema + ", role int"), "events")
+        if n == 0:
+            halo = did.filter(F.col("role") == REPLAYED).select(*seen)  # as it seemed beside the border
+        did = did.filter(F.col("role") == OWN).drop("role")
         done.append(did.withColumn("round", F.lit(n)))
         told = readers.join(did.drop("cell"), "id").select(*seen)
         if n:  # what rows of the other cells did stands
