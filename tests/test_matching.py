@@ -62,3 +62,13 @@ def test_valley(spark):
     values = [0, 3, 10, 6, 4, 4.2, 2, 7, 1]
     p = spark.createDataFrame([(1, i, float(y)) for i, y in enumerate(values)], "trace long, i int, y double")
     assert peaks.valley_right(p).first().valley == 6
+
+
+def test_one_row_a_prediction_for_all_levels(spark, monkeypatch):
+    """What is dealt by ranges and sorted has a row for each prediction, whatever the number of levels."""
+    kept, plain = {}, matching.written
+    monkeypatch.setattr(matching, "written", lambda rows, name: kept.setdefault(name, plain(rows, name)))
+    rows = [(k, t, 0.0, 0.0, 10.0, 10.0 + (k + j) % 4, 0.1 * (k % 9), float(j)) for k in range(30) for j, t in enumerate([True, False, True, False])]
+    boxes = spark.createDataFrame(rows, "sample long, target boolean, x1 double, y1 double, x2 double, y2 double, score double, ord double")
+    assert matching.average_precision(boxes, [0.3, 0.5, 0.7, 0.9]).count() == 4
+    assert kept["ranges"].count() == 60

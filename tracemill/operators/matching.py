@@ -34,22 +34,31 @@ def match_predictions(boxes: DataFrame, least: float = 0.5, score: float = 0.0)
     return _matched(boxes, [least], score).drop("level")
 
 
-def _matched(boxes: DataFrame, levels: list[float], score: float = 0.0) -> DataFrame:
-    """match_predictions at several least overlaps (level); the ordered lists of a sample are made once."""
-    pairs = box_pairs(boxes.filter(F.col("target") | (F.col("score") >= score)))
+def _ordered(boxes: DataFrame, least: float, score: float = 0.0) -> DataFrame:
+    """sample, x: its predictions in order of score, each with its targets from the greatest overlap down to `least`, or null."""
+    pairs = box_pairs(boxes.filter(F.col("target") | (F.col("score") >= score))).filter(F.col("iou") >= least)
     per = pairs.groupBy("sample", "prediction", "score").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("i"), "target"))).alias("targets"))
     alone = boxes.filter(~F.col("target") & (F.col("score") >= score)).select("sample", F.col("ord").alias("prediction"), "score")
     every = alone.join(per.select("sample", "prediction", "targets"), ["sample", "prediction"], "left")
-    lists = every.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "prediction", "targets"))).alias("x"))
+    return every.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "prediction", "targets"))).alias("x"))
+
+
+def _best(x, taken):
+    """The free target of greatest overlap."""
+    return F.get(F.filter(F.coalesce(x["targets"], F.array().cast("array<struct<i:double,target:double>>")), lambda y: ~F.array_contains(taken, y["target"])), F.lit(0))
+
+
+def _matched(boxes: DataFrame, levels: list[float], score: float = 0.0) -> DataFrame:
+    """match_predictions at several least overlaps (level); the ordered lists of a sample are made once."""
     start = F.struct(F.array().cast("array<double>").alias("t"), F.array().cast("array<struct<prediction:double,score:double,target:double,iou:double>>").alias("out"))
 
     def step(s, x):
-        best = F.get(F.filter(F.coalesce(x["targets"], F.array().cast("array<struct<i:double,target:double>>")), lambda y: ~F.array_contains(s["t"], y["target"])), F.lit(0))
+        best = _best(x, s["t"])
         hit = F.coalesce(-best["i"] >= F.col("level"), F.lit(False))
         row = F.struct(x["prediction"].alias("prediction"), (-x["s"]).alias("score"), F.when(hit, best["target"]).alias("target"), F.when(hit, -best["i"]).alias("iou"))
         return F.struct(F.when(hit, F.array_append(s["t"], best["target"])).otherwise(s["t"]).alias("t"), F.array_append(s["out"], row).alias("out"))
 
-    lists = lists.select("sample", "x", F.explode(F.array(*(F.lit(float(v)) for v in levels))).alias("level"))
+    lists = _ordered(boxes, min(levels), score).select("sample", "x", F.explode(F.array(*(F.lit(float(v)) for v in levels))).alias("level"))
     return lists.select("level", "sample", F.explode(F.aggregate("x", start, step)["out"]).alias("m")).select("level", "sample", "m.prediction", "m.score", "m.target", "m.iou")
 
 
@@ -93,21 +102,42 @@ def detection_sweep(boxes: DataFrame, least: float = 0.5) -> DataFrame:
     return d.withColumn("best", order == F.max(order).over(Window.partitionBy(F.lit(0))))  # 19 rows
 
 
+def _hits(boxes: DataFrame, levels: list[float]) -> DataFrame:
+    """sample, prediction, score, hits: of each prediction, whether it has a target (1 or 0) at each of the least overlaps."""
+    start = F.struct(F.array().cast("array<double>").alias("t"), F.array().cast("array<int>").alias("out"))
+
+    def step(level):
+        def run(s, x):
+            best = _best(x, s["t"])
+            hit = F.coalesce(-best["i"] >= level, F.lit(False))
+            return F.struct(F.when(hit, F.array_append(s["t"], best["target"])).otherwise(s["t"]).alias("t"), F.array_append(s["out"], hit.cast("int")).alias("out"))
+
+        return run
+
+    folds = F.when(F.exists("x", lambda x: x["targets"].isNotNull()), F.array(*(F.aggregate("x", start, step(F.lit(float(v))))["out"] for v in levels)))
+    d = _ordered(boxes, min(levels)).select("sample", folds.alias("folds"), F.posexplode("x").alias("k", "m"))
+    return d.select("sample", "m.prediction", (-F.col("m.s")).alias("score"), F.coalesce(F.transform("folds", lambda f: F.get(f, F.col("k"))), F.array(*(F.lit(0) for _ in levels))).alias("hits"))
+
+
 def average_precision(boxes: DataFrame, levels: list[float]) -> DataFrame:
     """101-point interpolated average precision at each overlap.
 
-    Predictions are dealt by ranges of their order, and written with their range; the sums of whole ranges are one small
-    table, so ranks inside a range are a window of that range alone, however many scores are equal.
+    Predictions are one row for all levels, as their order is the same. They are dealt by ranges of it, and written with their
+    range; the sums of whole ranges are one small table, so ranks inside a range are a window of that range alone, however many
+    scores are equal. Precision is greatest where a target is hit, so only hits are looked at.
     """
     n = boxes.agg(F.count_if("target").alias("n"))
-    order = [F.col("score").desc(), F.col("sample"), F.col("prediction")]
-    m = _matched(boxes, levels).withColumn("hit", F.col("target").isNotNull().cast("int"))
-    m = written(m.repartitionByRange("level", *order).withColumn("range", F.spark_partition_id()), "ranges")
-    sums = m.groupBy("level", "range").agg(F.sum("hit").alias("h"), F.count("*").alias("c"))
-    above = Window.partitionBy("level").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    sums = sums.select("level", "range", F.coalesce(F.sum("h").over(above), F.lit(0)).alias("ah"), F.coalesce(F.sum("c").over(above), F.lit(0)).alias("ac"))
-    inside = Window.partitionBy("level", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    p = m.join(sums, ["level", "range"]).crossJoin(F.broadcast(n)).select("level", (F.col("ah") + F.sum("hit").over(inside)).alias("tp"), (F.col("ac") + F.count("*").over(inside)).alias("k"), "n")
+    order, each = [F.col("score").desc(), F.col("sample"), F.col("prediction")], range(len(levels))
+    m = written(_hits(boxes, levels), "hits")  # the ranges are found in a pass of their own
+    m = written(m.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    hit = lambda k: F.get("hits", F.lit(k))
+    sums = m.groupBy("range").agg(*(F.sum(hit(k)).alias(f"h{k}") for k in each), F.count("*").alias("c"))
+    above = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = sums.select("range", *(F.coalesce(F.sum(f"h{k}").over(above), F.lit(0)).alias(f"a{k}") for k in each), F.coalesce(F.sum("c").over(above), F.lit(0)).alias("ac"))
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    p = m.select("range", "hits", F.count("*").over(inside).alias("c"), *(F.sum(hit(k)).over(inside).alias(f"t{k}") for k in each)).join(sums, "range").crossJoin(F.broadcast(n))
+    at = F.array(*(F.when(hit(k) == 1, F.struct(F.lit(float(v)).alias("level"), (F.col(f"a{k}") + F.col(f"t{k}")).alias("tp"))) for k, v in enumerate(levels)))
+    p = p.select("n", (F.col("ac") + F.col("c")).alias("k"), F.explode(F.array_compact(at)).alias("h")).select("h.level", "h.tp", "k", "n")
     reach = p.select("level", (F.col("tp") / F.col("k")).alias("precision"), F.floor(F.try_divide(F.col("tp") * 100, F.col("n")) + 1e-9).alias("step")).groupBy("level", "step").agg(F.max("precision").alias("p"))
     grid = boxes.sparkSession.range(101).select(F.col("id").alias("recall"), F.explode(F.array(*(F.lit(float(v)) for v in levels))).alias("level"))
     reach = reach.withColumnRenamed("level", "_level")
