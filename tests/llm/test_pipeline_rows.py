@@ -63,3 +63,16 @@ def test_packing_remembers_little():
     few, many = (LibraryTokens(tokenizer("word_bpe_49k.json"), True, *n) for n in ((50, 40), ()))
     text = " ".join(f"word{k} Other-{k % 7}" for k in range(500))
     assert few.encode(text) == many.encode(text) and max(len(few.memory), len(few.memory.old)) <= 50 and max(len(few.parts), len(few.parts.old)) <= 40
+
+
+def test_words_are_remembered_once():
+    """A word's tokens are those of a piece; they are not kept again as those of a part."""
+    from tokenizers import Tokenizer
+
+    from tracemill.llm.pieces import LibraryTokens
+    from tracemill.llm.queries import tokenizer
+
+    path, text = tokenizer("byte_bpe_50k.json"), "one word, other word!! and\nline, " + "long" * 40 + ", word"
+    tokens = LibraryTokens(path, False, 50, 40)
+    assert list(memoryview(tokens.encode(text)).cast("H")) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert "word" in tokens.memory and " word" not in tokens.parts

@@ -32,6 +32,8 @@ from .common import text_or_empty, written
 from .pieces import library_tokens
 
 LENGTH, OPEN, MERGE, END = 1024, 512, 32, 2
+#: Pieces and parts that a worker remembers; words are pieces, so few parts are needed.
+REMEMBERED = 700_000, 50_000
 #: Sequence ids: the round in the high bits, then the task or group, a running number in the low ones.
 SHIFT, ROUND = 32, 56
 
@@ -127,7 +129,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, n_open: int = OPEN, m
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, tokens, bins, n = TaskContext.get().partitionId(), library_tokens(path, False), Bins(length, n_open), 0
+        task, tokens, bins, n = TaskContext.get().partitionId(), library_tokens(path, False, *REMEMBERED), Bins(length, n_open), 0
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

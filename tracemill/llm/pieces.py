@@ -114,8 +114,12 @@ class LibraryTokens:
                 _, word, marks = m.groups()
                 return parts[word.lower()] + parts[marks] if marks else parts[word.lower()]
             text = piece.lower() if PLAIN.match(piece) else None
-        elif simple := simple_parts(piece):
-            return b"".join([parts[p] for p in simple])
+        elif m := SIMPLE.match(piece):
+            line, word, marks = m.groups()
+            if not (line or marks):
+                return self._part(" " + word)
+            found = parts["\n"] + parts[word] if line else self.memory[word]  # a word is a piece, so it is kept once
+            return found + parts[marks] if marks else found
         elif not stands_alone(piece):
             return None
         else:
