@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import attributes, boundaries, normalize, peaks, range_join, records, tables, traces
+from ..operators.shared import written
 from ..sources import proxies as P
 from .peaks import _MAX
 from .queries import _DENSE, _NEAR, _T, SQL, _accounts, query, r
@@ -223,9 +224,9 @@ def a33_hex(spark, sf):
 SELECT a, n.b AS b, {r('ppm')} AS ppm, {r('gap')} AS gap, CAST(list_sum(list_transform(range(1, 65), lambda k: abs(x.bits[k] - y.bits[k]))) AS INTEGER) AS hamming,
   list_sum(list_transform(range(1, 65), lambda k: abs(x.bits[k] - y.bits[k]))) <= 30 AS high_similarity, x.label <> y.label AS label_conflict FROM n JOIN b x ON x.vec_id = a JOIN b y ON y.vec_id = n.b""")
 def j9_duplicates(spark, sf):
-    marks = _dhash(spark, sf).select(F.col("vec_id").alias("id"), "dhash", "label")
-    marked = _accounts(spark, sf).join(P.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_semi")  # only these can make pairs
-    return range_join.near_duplicates(range_join.near_pairs(marked, "id", "mz", "rt", 400, 2), marks, 30)
+    marks = range_join.halves(_dhash(spark, sf).select(F.col("vec_id").alias("id"), "dhash", "label"))
+    marked = written(_accounts(spark, sf).join(marks.hint("merge"), "id"), "marked")  # only these can make pairs
+    return range_join.near_duplicates(range_join.near_pairs(marked, "id", "mz", "rt", 400, 2, range_join.MARKS), most=30)
 
 
 @query("V2_relation_checks", f"""WITH j AS ({SQL['J12_seed_relation']}), c AS (SELECT 'bound_order' AS name, count(*) FILTER (NOT (seed_lo < seed_rt AND seed_rt < seed_hi)) AS value FROM j UNION ALL SELECT 'bound_move', count(*) FILTER (relation IN ('single', 'split', 'shift') AND (seed_rt - seed_lo > 6 OR seed_hi - seed_rt > 6)) FROM j

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audits, peaks, range_join, splits, tables
+from ..operators.shared import written
 from ..sources import proxies as P
 from .queries import _APEX, _M, _NEAR, _SPLIT, _T, _accounts, _split, query, r
 
@@ -71,10 +72,8 @@ def j11(spark, sf):
 SELECT a, b, x.split AS split_a, y.split AS split_b FROM n JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.split <> y.split""")
 def j19(spark, sf):
     split = P.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 == 0, "test").otherwise("train").alias("split"))
-    pairs = range_join.near_pairs(_accounts(spark, sf), "id", "mz", "rt", 400, 2).select("a", "b")
-    for side in "ab":
-        pairs = pairs.join(split.select(F.col("id").alias(side), F.col("split").alias(f"split_{side}")), side)
-    return pairs.filter("split_a <> split_b").select("a", "b", "split_a", "split_b")
+    marked = written(_accounts(spark, sf).join(split.hint("merge"), "id"), "marked")
+    return range_join.near_pairs(marked, "id", "mz", "rt", 400, 2, ("split",)).filter("split_a <> split_b").select("a", "b", "split_a", "split_b")
 
 
 @query("J5_one_to_one", "SELECT d.doc_id AS seed, source, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
