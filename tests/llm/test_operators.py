@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -141,6 +142,25 @@ def test_jaccard_join(docs, rows, none):
     assert jaccard_join.components(none).count() == 0
 
 
+def test_jaccard_join_fetches_the_sets_of_near_pairs_only(spark, monkeypatch):
+    """Documents that share half of their text with others are compared by sketches; only what may link has its set written, and it goes again."""
+    rnd = random.Random(12)
+    half = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(31)]
+    rows = [(i, f"{half[i]} {half[i + 1]}") for i in range(30)] + [(30, f"{half[3]} {half[4]} last")]
+    made, write = {}, jaccard_join.written
+
+    def written(df, name):
+        out = write(df, name)
+        made.setdefault(name, []).append((out.count(), {f.rpartition("/")[0].removeprefix("file://") for f in out.inputFiles()}))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", written)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got(jaccard_join.components(d)).items()} == brute_components(rows)
+    assert sum(n for n, _ in made["sets"]) == 2
+    assert not any(os.path.exists(f) for name in ("summaries", "tokens", "members", "lists", "sets") for _, folders in made[name] for f in folders)
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_jaccard_join_chains_and_borders(spark, block, monkeypatch):
     monkeypatch.setattr(jaccard_join._across, "__defaults__", (block,))

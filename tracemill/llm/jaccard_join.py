@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unique_ids, written
+from .common import discard, unique_ids, written
 from .components import connected
 from .runs import parts
 from .textnum import U, gram_hashes, mix, word_hashes, word_spans
@@ -132,8 +132,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select("_id", "text").join(wanted, "_id", "left_semi").mapInArrow(run, "_id long, shingles binary")
 
 
-def _linked(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: sketches first, then whole sets."""
+def _linked(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (a, b) that link, written: sketches first, then whole sets, which only the documents of pairs that are left get."""
     own = members.select("_id", "n", "sketch")
     for side in ("a", "b"):
         pairs = pairs.join(own.select(F.col("_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
@@ -158,9 +158,14 @@ def _linked(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
+    wanted = written(near.select(F.col("a").alias("_id")).unionByName(near.select(F.col("b").alias("_id"))).distinct(), "wanted")
+    sets = written(_sets(docs, wanted, size), "sets")
+    both = near
     for side in ("a", "b"):
-        near = near.join(sets.select(F.col("_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    return near.select("a", "b", "set_a", "set_b").mapInArrow(same, "a long, b long")
+        both = both.join(sets.select(F.col("_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+    links = written(both.select("a", "b", "set_a", "set_b").mapInArrow(same, "a long, b long"), "linked")
+    discard(near, wanted, sets)
+    return links
 
 
 def _across(shelves: DataFrame, rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -229,20 +234,21 @@ def components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     often = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     found = written(rows.join(often.hint("shuffle_hash"), "token"), "tokens")
     prefix = found.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    own = F.size("extract") - F.size("shared")
+    own = F.col("width") - F.size("shared")
     members = (
-        known.join(prefix, "_id").withColumn("left", F.col("reach") - own).filter("left > 0")
+        known.select("_id", "n", "sketch", "reach", F.size("extract").alias("width")).join(prefix, "_id").withColumn("left", F.col("reach") - own).filter("left > 0")
         .select("_id", "n", "sketch", F.transform(F.slice("shared", 1, F.col("left")), lambda x: x["token"]).alias("tokens"), (own == 0).alias("alike"),
                 F.aggregate("shared", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("weight"))
     )
     members = written(members, "members")
+    keyed = written(known.select("_id", *keys), "keyed")
+    discard(found, known)
     # groups of identical prefixes and sizes
     group = members.filter("alike").groupBy("n", "tokens").agg(F.min("_id").alias("g"), F.count("*").alias("m")).filter("m > 1")
     grouped = written(
         members.join(group.select("n", "tokens", "g"), ["n", "tokens"], "left").select("_id", F.coalesce("g", "_id").alias("g")), "groups"
     )
     lists = written(members.join(grouped.filter("_id = g").select("_id"), "_id", "left_semi").select(F.col("_id").alias("g"), "weight", F.explode("tokens").alias("token")), "lists")
-    sets = written(_sets(d, members.select("_id"), size), "sets")
 
     # members against their group, and every group against the best of the heads of its lists (a list's head is the one
     # whose extract is the most common, so the text that near copies have been made from): one pair for each document
@@ -251,7 +257,7 @@ def components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     best = lists.join(tops, "token").filter("g != head").groupBy("g").agg(F.max(F.struct("top", (-F.col("head")).alias("first"), "head")).alias("x"))
     stars = best.select(F.least("g", "x.head").alias("a"), F.greatest("g", "x.head").alias("b"))
     pairs = grouped.filter("_id != g").select(F.col("g").alias("a"), F.col("_id").alias("b")).unionByName(stars).distinct()
-    links = written(_linked(pairs, members, sets, percent), "linked")
+    links = _linked(pairs, members, d, percent, size)
     # what is left: lists that hold different components, groups expanded to their members
     tied = connected(links)
     everyone = _labelled(grouped, tied).join(members.select("_id", "weight"), "_id")
@@ -260,10 +266,13 @@ def components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     )
     mixed = full.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), head).filter("lo != hi")
     shelves = full.join(mixed.select("token", "x.head"), "token").select("head", "_id").distinct()
-    pairs = _across(written(shelves, "shelves"), _labelled(members.select("_id", "n", "sketch"), tied), percent).distinct()
-    tied = connected(written(links.unionByName(_linked(pairs, members, sets, percent)), "linked"))
+    shelves = written(shelves, "shelves")
+    pairs = _across(shelves, _labelled(members.select("_id", "n", "sketch"), tied), percent).distinct()
+    more = _linked(pairs, members, d, percent, size)
+    discard(shelves, lists, grouped, members)
+    tied = connected(written(links.unionByName(more), "linked"))
 
     ids = d.select("_id", "doc_id")
     named = _labelled(classes.withColumnRenamed("rep", "_id"), tied).select(*keys, "component")
-    out = known.select("_id", *keys).join(named, keys, "left").select("_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "_id").alias("component"))
+    out = keyed.join(named, keys, "left").select("_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "_id").alias("component"))
     return out.join(ids, "_id").join(ids.select(F.col("_id").alias("component"), F.col("doc_id").alias("component_id")), "component").select("doc_id", "n_shingles", "component_id")
