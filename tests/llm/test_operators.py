@@ -142,6 +142,44 @@ def test_jaccard_join(docs, rows, none):
     assert jaccard_join.components(none).count() == 0
 
 
+def test_long_texts_have_sketches_that_tell_them_apart(spark, monkeypatch):
+    """Long texts that share half of their words: no pair of them needs its sets; of two that link, both are fetched."""
+    rnd = random.Random(5)
+    say = lambda n: " ".join(f"w{rnd.randrange(10**7)}" for _ in range(n))
+    half = say(3000)
+    rows = [(i, f"{half} {say(3000)}") for i in range(8)]
+    rows.append((8, rows[2][1] + " and some words more"))
+    fetched, sets_of = [], jaccard_join._sets
+
+    def fetch(docs, wanted, size):
+        fetched.append({r._id for r in wanted.collect()})
+        return sets_of(docs, wanted, size)
+
+    monkeypatch.setattr(jaccard_join, "_sets", fetch)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got(jaccard_join.components(d)).items()} == brute_components(rows)
+    assert set().union(*fetched) == {2, 8}
+
+
+def test_parity_sketches():
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 500, 1024, 1025, 5000, 20000)]
+    sets += [np.unique(np.concatenate((s[len(s) // 20 :], rnd.integers(0, 2**63, len(s) // 20).astype(np.uint64)))) for s in sets]
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    sketches = jaccard_join.parity_sketches(np.concatenate(sets), at)
+    for s, k in zip(sets, sketches, strict=True):
+        assert len(k) * 8 >= max(512, len(s) / 2) and (len(k) * 8 == 512 or len(k) * 8 < len(s))
+        for bits in {512, len(k) * 8}:
+            plain = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+            assert np.packbits(plain.astype(np.uint8)).tobytes() == jaccard_join.folded([k], bits).tobytes()
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    total = np.array([len(sets[i]) + len(sets[j]) for i, j in pairs])
+    may = jaccard_join._may_link([sketches[i] for i, _ in pairs], [sketches[j] for _, j in pairs], total, 90)
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in pairs])
+    alike = np.array([10 * min(len(sets[i]), len(sets[j])) >= 9 * max(len(sets[i]), len(sets[j])) for i, j in pairs])  # as joins see to
+    assert may[(total > 0) & (100 * both >= 90 * (total - both))].all() and not may[alike & (2 * both < total - both) & (total > 100)].any()
+
+
 def test_jaccard_join_fetches_the_sets_of_near_pairs_only(spark, monkeypatch):
     """Documents that share half of their text with others are compared by sketches; only what may link has its set written, and it goes again."""
     rnd = random.Random(12)

@@ -44,7 +44,7 @@ from .textnum import U, gram_hashes, mix, word_hashes, word_spans
 
 #: Least similarity in percent and words of a shingle of the registered query; callers can ask for others.
 PERCENT, SHINGLE = 90, 3
-#: Bits of a parity sketch; documents in a block of a shelf.
+#: Bits of the least parity sketch; documents in a block of a shelf.
 SKETCH, BLOCK = 512, 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -87,6 +87,41 @@ def _extract(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, p + p // 4 + 8)
 
 
+def parity_sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A parity sketch of each set: SKETCH bits times the power of two that reaches half as many bits as shingles, so that it
+    tells long texts apart as well as short ones. Halves of a sketch laid over each other are the sketch of half the bits."""
+    n = np.diff(at)
+    bits = SKETCH << np.ceil(np.log2(np.maximum(n / (2 * SKETCH), 1))).astype(np.int64)
+    ends = np.cumsum(bits)
+    place = np.repeat(ends - bits, n) + (h & np.repeat(bits - 1, n).astype(U)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)).tobytes()
+    return [packed[(e - b) // 8 : e // 8] for e, b in zip(ends.tolist(), bits.tolist(), strict=True)]
+
+
+def folded(sketches: list[bytes], bits: int) -> np.ndarray:
+    """Sketches of at least so many bits, folded to them: a row of 64-bit words each."""
+    out = np.empty((len(sketches), bits // 64), np.uint64)
+    sizes = np.array([len(s) for s in sketches], np.int64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[at] = np.bitwise_xor.reduce(np.frombuffer(b"".join([sketches[k] for k in at.tolist()]), np.uint64).reshape(len(at), -1, bits // 64), axis=1)
+    return out
+
+
+def _may_link(a: list[bytes], b: list[bytes], total: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches differ in no more bits than sets of `total` shingles in all that link: the least intersection
+    is percent total / (100 + percent), and no sketch differs in more bits than the sets in shingles."""
+    ok = np.ones(len(a), bool)
+    level = np.minimum([len(s) for s in a], [len(s) for s in b]) * 8 if len(a) else np.zeros(0, np.int64)
+    for bits in np.unique(level).tolist():
+        some = np.flatnonzero(level == bits)
+        for at in range(0, len(some), 4096):
+            k = some[at : at + 4096].tolist()
+            differ = np.bitwise_count(folded([a[i] for i in k], bits) ^ folded([b[i] for i in k], bits)).sum(1, dtype=np.int64)
+            ok[k] = (100 + percent) * (total[k] - differ) >= 2 * percent * total[k]
+    return ok
+
+
 def summaries(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """_id, n, two keys of the whole set, parity sketch, extract, reach (prefix length within the extract)."""
 
@@ -95,17 +130,15 @@ def summaries(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> D
             out: list[list] = [[], [], [], [], [], []]
             for lo, hi, data, offsets in parts(batch.column(1)):
                 h, at = shingles(data, offsets, size)
-                n, text = np.diff(at), np.repeat(np.arange(hi - lo), np.diff(at))
+                n = np.diff(at)
                 sums = [np.concatenate(([U(0)], np.cumsum(mix(h ^ U(salt))))) for salt in (0x5EED, 0xFACE)]
-                parity = (np.bincount(text * SKETCH + (h % U(SKETCH)).astype(np.int64), minlength=(hi - lo) * SKETCH) & 1).astype(np.uint8)
-                sketch = np.packbits(parity.reshape(hi - lo, SKETCH), axis=1)
                 q = _extract(n, percent)
                 fewest = _least(n, percent)
                 reach = q - (_extract(fewest, percent) - _prefix(fewest, percent))
                 out[0].append(n)
                 out[1].append((sums[0][at[1:]] - sums[0][at[:-1]]).view(np.int64))
                 out[2].append((sums[1][at[1:]] - sums[1][at[:-1]]).view(np.int64))
-                out[3] += [s.tobytes() for s in sketch]
+                out[3] += parity_sketches(h, at)
                 out[4] += [h[a : a + k].view(np.int64) for a, k in zip(at[:-1], q, strict=True)]
                 out[5].append(np.minimum(reach, q))
             if out[0]:
@@ -141,11 +174,8 @@ def _linked(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int,
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for k in (4, 5))
-            differ = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
-            # least intersection is percent (n_a + n_b) / (100 + percent)
-            yield batch.filter(pa.array((100 + percent) * (n - differ) >= 2 * percent * n)).select(["a", "b"])
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            yield batch.filter(pa.array(_may_link(*(batch.column(k).to_pylist() for k in (4, 5)), n, percent), pa.bool_())).select(["a", "b"])
 
     near = written(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(close, "a long, b long"), "near")
 
@@ -183,7 +213,8 @@ def _across(shelves: DataFrame, rows: DataFrame, percent: int, block: int = BLOC
     def compare(parts_: list[pd.DataFrame]) -> pd.DataFrame:
         g = pd.concat(parts_) if len(parts_) > 1 else parts_[0]
         ids, n, of, own = (g[c].to_numpy() for c in ("_id", "n", "component", "own"))
-        sketch = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), SKETCH // 64)
+        whole = g["sketch"].tolist()
+        sketch, long = folded(whole, SKETCH), np.array([len(s) * 8 > SKETCH for s in whole])
         same, out = g["lo"].iloc[0] == g["hi"].iloc[0], []
         for at in range(0, len(g), 128):
             s = slice(at, at + 128)
@@ -194,6 +225,8 @@ def _across(shelves: DataFrame, rows: DataFrame, percent: int, block: int = BLOC
             i, j = np.nonzero(ok)
             differ = np.bitwise_count(sketch[at + i] ^ sketch[j]).sum(1, dtype=np.int64)
             left = (100 + percent) * (total[i, j] - differ) >= 2 * percent * total[i, j]
+            more = np.flatnonzero(left & long[at + i] & long[j])  # few of the least sketches tell long texts apart
+            left[more] = _may_link([whole[k] for k in (at + i[more]).tolist()], [whole[k] for k in j[more].tolist()], total[i[more], j[more]], percent)
             out.append(np.stack((ids[at + i[left]], ids[j[left]]), 1))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
