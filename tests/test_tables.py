@@ -71,3 +71,15 @@ def test_dense_rows_make_few_links(spark, monkeypatch):
     monkeypatch.setattr(range_join, "connected", lambda links: plain(seen.append(links.count()) or links))
     d = spark.range(4000).selectExpr("id", "1 AS source", "1000 + id * 0.0005 AS mz", "cast(id % 3 AS double) AS rt")
     assert {r.root for r in range_join.near_components(d, "id", "mz", "rt", 400, 2).collect()} == {0} and seen[0] < 200
+
+
+def test_components_send_no_table_through_the_driver(spark, monkeypatch):
+    """Written tables look as small as their packed files, so Spark would broadcast a million cells or labels."""
+    seen, plain = [], range_join.written
+    for module in (range_join, components):
+        monkeypatch.setattr(module, "written", lambda rows, name: plain(seen.append(rows) or rows, name))
+    d = spark.range(400).selectExpr("id", "id % 5 AS source", "1000 + id * 0.01 AS mz", "cast(id % 7 AS double) AS rt")
+    seen.append(range_join.near_components(d, "id", "mz", "rt", 400, 2))
+    assert seen[-1].count() > 0
+    plans = [rows._jdf.queryExecution().executedPlan().toString() for rows in seen]
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("BroadcastHashJoin" in p for p in plans)

@@ -24,3 +24,9 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def unsent(rows: DataFrame) -> DataFrame:
+    """Rows that a join must not broadcast: Spark takes a written table for as large as its packed files, and keys pack to a
+    tenth and less, so by that size tables of a million rows would be sent through the driver."""
+    return rows.hint("merge")
